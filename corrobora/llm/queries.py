@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filter
+from . import bpe, chat, exact_dedup, mixing, quality, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_chat": chat.op4_chat,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_quality": quality.op10_quality,
 }
-SQL = {"op1_mixing": mixing.OP1_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op9_url_filter": url_filter.OP9_SQL}
+SQL = {"op1_mixing": mixing.OP1_SQL, "op4_chat": chat.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op9_url_filter": url_filter.OP9_SQL}
