@@ -60,3 +60,20 @@ def lookup(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame
     if small.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
     return df.join(small, on, how)
+
+
+def keep_decided(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs that `decided` (doc_id, text_sha256, kept; one row for each of docs) keeps, with all their columns.
+
+    Of rows that agree in doc_id and text, which decisions can't tell apart, one stays.
+    """
+    decided = materialise(decided.select("doc_id", "text_sha256", "kept"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").alias("id"), F.sha2(text_or_empty(), 256).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256"))
+    stay = keyed.join(decided.filter(~F.col("kept")), same, "left_anti")
+    tied = decided.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").drop("count")
+    if not tied.count():
+        return stay.select("row.*")
+    once = stay.join(tied, same, "left_semi").dropDuplicates(["id", "sha"])
+    return stay.join(tied, same, "left_anti").unionByName(once).select("row.*")

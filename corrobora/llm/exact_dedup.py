@@ -174,16 +174,7 @@ def decide(docs: DataFrame, history: tuple[DataFrame, int] | None = None) -> Dat
 
 def deduplicated(docs: DataFrame, history: tuple[DataFrame, int] | None = None) -> DataFrame:
     """The documents that stay, one of each group of equal texts, with all their columns."""
-    decided = common.materialise(decide(docs, history).select("doc_id", "text_sha256", "kept"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, F.col("doc_id").alias("id"), F.sha2(common.text_or_empty(), 256).alias("sha"))
-    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256"))
-    stay = keyed.join(decided.filter(~F.col("kept")), same, "left_anti")
-    tied = decided.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").drop("count")
-    if not tied.count():
-        return stay.select("row.*")
-    once = stay.join(tied, same, "left_semi").dropDuplicates(["id", "sha"])
-    return stay.join(tied, same, "left_anti").unionByName(once).select("row.*")
+    return common.keep_decided(docs, decide(docs, history))
 
 
 def op6_exact_dedup(spark, sf_dir) -> DataFrame:

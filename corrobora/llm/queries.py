@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, quality, url_filter
+from . import bpe, chat, exact_dedup, mixing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_bpe": bpe.op3_bpe,
     "op4_chat": chat.op4_chat,
+    "op5_simhash": simhash.op5_simhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_quality": quality.op10_quality,
