@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, quality, simhash, toxicity, url_filter
+from . import bpe, chat, exact_dedup, html_text, mixing, quality, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_chat": chat.op4_chat,
     "op5_simhash": simhash.op5_simhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_html_text": html_text.op7_html_text,
+    "op8_sharding": sharding.op8_sharding,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_quality": quality.op10_quality,
 }
