@@ -51,10 +51,8 @@ def by_convention(trials: DataFrame) -> DataFrame:
     return rows.filter(~gate).withColumn("is_ongoing", F.col("is_ongoing") & (F.col("convention") == "per transition"))
 
 
-def flag_sources(trials: DataFrame, supported: DataFrame, sources: DataFrame, key: str = "source") -> DataFrame:
+def flag_sources(trials: DataFrame, supported: DataFrame, sources: list[str], key: str = "source") -> DataFrame:
     """Trials once for each source, with has_genetic_evidence: one pass for all of them. supported: (key, gene, efo_id)."""
     pairs = supported.groupBy("gene", "efo_id").agg(F.collect_set(key).alias("_by"))
-    arms = sources.select(key).distinct()
-    flagged = trials.join(pairs, ["gene", "efo_id"], "left")
-    every = arms.agg(F.array_sort(F.collect_set(key)).alias("_all"))  # the names of the sources, one row
-    return flagged.join(F.broadcast(every)).select(*trials.columns, F.explode("_all").alias(key), "_by").withColumn("has_genetic_evidence", F.coalesce(F.array_contains("_by", F.col(key)), F.lit(False))).drop("_by")
+    arms = trials.join(pairs, ["gene", "efo_id"], "left").withColumn(key, F.explode(F.array(*[F.lit(x) for x in sources])))
+    return arms.withColumn("has_genetic_evidence", F.coalesce(F.array_contains("_by", F.col(key)), F.lit(False))).drop("_by")
