@@ -16,7 +16,7 @@ STAGES_DROPPED = ("IND", "PRECLINICAL", "UNKNOWN")
 QUALITY_EXCLUDED = ("INDIRECT_PRIMARY_PURPOSE", "PHASE_IV_NOT_APPROVED")
 PHASE_UP = {"PHASE1/PHASE2": "PHASE2", "PHASE1/PHASE2/PHASE3": "PHASE3", "PHASE2/PHASE3": "PHASE3", "EARLY_PHASE1": "PHASE1"}
 PHASES = {"PHASE1": 1, "PHASE2": 2, "PHASE3": 3, "PHASE4": 4}
-ALIAS_PRIORITY = ("BioMart_HUGO", "Ensembl_HGNC", "Ensembl_gene_name", "UniProt_GN_Name")
+ALIAS_PRIORITY = ("BioMart_HUGO", "Ensembl_HGNC_symbol", "Ensembl_HGNC", "UniProt_GN_Name")
 
 
 def activity_gene_drug(targets: DataFrame, components: DataFrame, synonyms: DataFrame, assays: DataFrame, activities: DataFrame, hierarchy: DataFrame, molecules: DataFrame, min_pchembl: float = 7.0) -> DataFrame:
@@ -52,16 +52,18 @@ def interactions_stitch(actions: DataFrame, chemicals: DataFrame, aliases: DataF
 
 
 def interactions_dgidb(raw: DataFrame) -> DataFrame:
-    """(gene, drug_name, chembl_id, drugbank_id, action_type, subsource), distinct; identifiers by the prefix of concept_id."""
-    by = lambda p: F.when(F.col("concept_id").startswith(p), X.strip_prefix(F.col("concept_id"), p))
-    return raw.select(F.col("gene_name").alias("gene"), "drug_name", by("chembl:").alias("chembl_id"), by("drugbank:").alias("drugbank_id"), F.col("interaction_type").alias("action_type"), F.col("source_db").alias("subsource")).distinct()
+    """(gene, drug_name, dgidb_id, chembl_id, drugbank_id, subsource, action_type, scores), distinct; identifiers by the prefix of the concept."""
+    by = lambda p: F.when(F.col("drug_concept_id").startswith(p), X.strip_prefix(F.col("drug_concept_id"), p))
+    scores = [F.col(c).cast("double").alias(f"dgidb_{c}") for c in ("interaction_score", "drug_specificity_score", "gene_specificity_score", "evidence_score")]
+    return raw.select(F.col("gene_name").alias("gene"), "drug_name", F.col("drug_concept_id").alias("dgidb_id"), by("chembl:").alias("chembl_id"), by("drugbank:").alias("drugbank_id"), F.lit("DGIdb").alias("subsource"), F.col("interaction_types").alias("action_type"), *scores).distinct()
 
 
 def trials_gene_drug(moa: DataFrame, drugs: DataFrame, min_activity: float = 7.0) -> DataFrame:
-    """(gene, drug_name, action_type, pchembl, drugbank_id): human, single genes, with a known source of activity."""
-    kept = moa.filter((F.col("organism") == "Homo sapiens") & ~F.col("gene").contains("|") & F.col("act_source").isNotNull() & X.at_least(F.col("act_value"), min_activity))
-    rows = kept.select("gene", "drug_name", "action_type", F.col("act_value").alias("pchembl")).distinct()
-    return rows.join(drugs.select("drug_name", "drugbank_id").dropna().distinct(), "drug_name", "left")
+    """(gene, drug_name, drug_moa_id, pchembl, subsource, action_type, drugbank_id): human, single genes, with a known source of activity."""
+    known = F.coalesce(F.col("act_source") != "UNKNOWN", F.lit(True))
+    kept = moa.dropna(subset=["gene", "drug_name"]).filter((F.col("organism") == "Homo sapiens") & ~F.col("gene").contains("|") & known & X.at_least(F.col("act_value"), min_activity))
+    rows = kept.select("gene", "drug_name", "drug_moa_id", F.col("act_value").alias("pchembl"), F.col("act_source").alias("subsource"), "action_type").distinct()
+    return rows.join(drugs.select("drug_name", "drugbank_id").distinct(), "drug_name", "left")
 
 
 def trials_indications(drugs: DataFrame, studies: DataFrame, conditions: DataFrame, mesh_map: DataFrame, release=None, types=("INTERVENTIONAL",)) -> DataFrame:
