@@ -104,7 +104,7 @@ def information_content(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, ic), closure): -ln of the share of all terms that are at or below a term."""
     above = closure(edges)
     n = above.select("id").distinct().count()
-    return materialise(above.groupBy(F.col("ancestor").alias("id")).agg((-F.ln(F.count("*") / n)).alias("ic"))), above
+    return materialise(above.groupBy(F.col("ancestor").alias("id")).agg((0.0 - F.ln(F.count("*") / n)).alias("ic"))), above
 
 
 def semantic_similarity(edges: DataFrame, threshold: float, terms: DataFrame | None = None) -> DataFrame:

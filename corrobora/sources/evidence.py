@@ -86,7 +86,12 @@ def map_conditions(rows: DataFrame, live: DataFrame, mesh_map: DataFrame, crossw
     """
     rank = {"MONDO:": ("MONDO", 1), "Orphanet:": ("ORDO", 2), "MeSH:": ("MESH", 3), "HP:": ("HP", 4)}
     distinct = rows.select("condition", "xrefs").distinct()
-    refs = F.concat(*[F.transform(X.xrefs(F.coalesce("xrefs", F.lit("")), p), lambda x, p=p: F.struct(F.lit(rank[p][1]).alias("rank"), F.lit(rank[p][0]).alias("ontology"), x.alias("ref"))) for p in X.XREF_PREFIXES])
+
+    def of(prefix: str):
+        name, place = rank[prefix]
+        return F.transform(X.xrefs(F.coalesce("xrefs", F.lit("")), prefix), lambda x: F.struct(F.lit(place).alias("rank"), F.lit(name).alias("ontology"), x.alias("ref")))
+
+    refs = F.concat(*[of(p) for p in X.XREF_PREFIXES])
     each = distinct.select("condition", "xrefs", F.explode(refs).alias("r")).select("condition", "xrefs", "r.*")
     direct = each.filter("ontology <> 'MESH'").join(small(live.select(F.col("id").alias("ref"))), "ref", "left_semi").withColumn("efo_id", F.col("ref"))
     by_mesh = each.filter("ontology = 'MESH'").join(small(mesh_map.select(F.concat(F.lit("MeSH:"), "mesh_id").alias("ref"), "efo_id")), "ref")
