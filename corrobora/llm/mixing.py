@@ -16,6 +16,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -29,7 +30,7 @@ MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def word_count(text: pd.Series) -> pd.Series:
     """Words of each text; bytes.split() divides at just the six ASCII white-space characters."""
     return pd.Series([len(t.encode().split()) if t else 0 for t in text], dtype="int64")
