@@ -6,8 +6,8 @@ an attachment is recorded with its reference, placeholder and expanded token cou
 for once a model's adapter has filled it in). Turns are marked by a template; a mask names the spans to be trained on,
 which are the texts of the trained roles, without marks.
 
-In texts, roles and references "\\" becomes "\\\\" and every "<" becomes "\\<", so a mark, which starts with a bare
-"<", can't be forged, and unescaping gives back the very text.
+In texts and roles "\\" becomes "\\\\" and every "<" becomes "\\<" (in roles ">" becomes "\\>" too), so a mark, which
+starts with a bare "<", can't be forged, and unescaping gives back the very text.
 
 Turns are rendered row by row; only the assembly of a conversation, a concatenation, needs its rows together, as its
 one formatted string does.
@@ -41,8 +41,8 @@ TRAINED = ("assistant",)
 #: What a placeholder expands to: image tokens by tiles of so many pixels a side, audio and document tokens by second and page.
 TILE, TILE_TOKENS, SECOND_TOKENS, PAGE_TOKENS = 512, 170, 25, 600
 
-_ESCAPE, _UNESCAPE = re.compile(r"[\\<]"), re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"<turn ((?:[^\\<>]|\\.|>(?!\n))*)>\n((?:[^\\<]|\\.|<(?!/turn>))*?)\n</turn>\n", re.S)
+_ESCAPE, _ESCAPE_ROLE, _UNESCAPE = re.compile(r"[\\<]"), re.compile(r"[\\<>]"), re.compile(r"\\(.)", re.S)
+_TURN = re.compile(r"<turn ((?:[^\\<>]|\\.)*)>\n((?:[^\\<]|\\.|<(?!/turn>))*?)\n</turn>\n", re.S)
 _PLACE = re.compile(r"((?:[^\\<]|\\.)+)|<(image|audio|document) (\d+)>", re.S)
 
 
@@ -50,6 +50,11 @@ def escape(text: str) -> str:
     return _ESCAPE.sub(r"\\\g<0>", text)
 
 
+def escape_role(role: str) -> str:
+    """Like escape, and ">" too, which ends the mark that the role stands in."""
+    return _ESCAPE_ROLE.sub(r"\\\g<0>", role)
+
+
 def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
@@ -104,7 +109,7 @@ def render(turns: DataFrame) -> DataFrame:
                     visitor.visit(part)
                 body.append("".join(visitor.out))
                 attachments.append(visitor.attachments)
-            yield pdf[["conv_id", "turn"]].assign(role=[escape(r or "") for r in pdf["role"]], body=body, attachments=attachments)
+            yield pdf[["conv_id", "turn"]].assign(role=[escape_role(r or "") for r in pdf["role"]], body=body, attachments=attachments)
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("parts").cast(f"array<{PART}>").alias("parts"))
     return rows.mapInPandas(run, RENDERED)
@@ -133,7 +138,7 @@ def assemble(rendered: DataFrame, trained=TRAINED) -> DataFrame:
 
     loss_spans: (start, end) in code points of formatted, the bodies of the trained roles. attachments: in order, numbered over the conversation.
     """
-    escaped = {escape(r) for r in trained}
+    escaped = {escape_role(r) for r in trained}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -195,7 +200,7 @@ OP4_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-e AS (SELECT *, length(regexp_replace(role, '([\\<])', '\\\1', 'g')) + length(regexp_replace(text, '([\\<])', '\\\1', 'g')) + 17 AS n FROM t)
+e AS (SELECT *, length(regexp_replace(role, '([\\<>])', '\\\1', 'g')) + length(regexp_replace(text, '([\\<])', '\\\1', 'g')) + 17 AS n FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
