@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 NAN = float("nan")
 #: A table at most this much likelier than the observed one counts as no likelier.
 FISHER_TOLERANCE = 1e-7
+#: Tables of one support that a row of work holds.
+FISHER_BLOCK = 8192
 
 
 def z_of(alpha: float) -> float:
@@ -44,17 +46,11 @@ def odds_ratio(x1: Column, n1: Column, x2: Column, n2: Column, alpha: float = 0.
 
 
 def log_gamma(x: Column) -> Column:
-    """ln Gamma(x) for x >= 1: Stirling's series at x + 8, shifted back."""
+    """ln Gamma(x) for x from 1 to 1e38: Stirling's series at x + 8, less the ln of the product that leads there."""
     y = x + 8.0
-    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
-    shift = F.ln(x)
-    for k in range(1, 8):
-        shift = shift + F.ln(x + float(k))
-    return (y - 0.5) * F.ln(y) - y + 0.9189385332046727 + series - shift
-
-
-def log_choose(n: Column, k: Column) -> Column:
-    return log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (y * y)) / (y * y)) / (y * y)) / y
+    pairs = [(x + float(k)) * (x + float(7 - k)) for k in range(4)]
+    return (y - 0.5) * F.ln(y) - y + 0.9189385332046727 + series - F.ln(pairs[0] * pairs[1] * pairs[2] * pairs[3])
 
 
 def with_fisher(df: DataFrame, x1: str, n1: str, x2: str, n2: str, keys: list[str], name: str = "p_value") -> DataFrame:
@@ -63,10 +59,14 @@ def with_fisher(df: DataFrame, x1: str, n1: str, x2: str, n2: str, keys: list[st
     The tables with the same margins are exploded, one row each; those no likelier than the observed one are summed.
     """
     a, m, c, n = (F.col(x).cast("double") for x in (x1, n1, x2, n2))
-    tables = df.filter((m > 0) & (n > 0)).select(*keys, a.alias("_a"), m.alias("_m"), n.alias("_n"), (a + c).alias("_s"))
-    tables = tables.withColumn("_k", F.explode(F.sequence(F.greatest(F.lit(0.0), F.col("_s") - F.col("_n")).cast("long"), F.least(F.col("_m"), F.col("_s")).cast("long"))))
-    log_p = lambda k: log_choose(F.col("_m"), k) + log_choose(F.col("_n"), F.col("_s") - k) - log_choose(F.col("_m") + F.col("_n"), F.col("_s"))
-    tables = tables.select(*keys, log_p(F.col("_k").cast("double")).alias("_p"), log_p(F.col("_a")).alias("_own"))
+    rows = df.filter((m > 0) & (n > 0)).select(*keys, a.alias("_a"), m.alias("_m"), n.alias("_n"), (a + c).alias("_s"))
+    low, high = F.greatest(F.lit(0.0), F.col("_s") - F.col("_n")).cast("long"), F.least(F.col("_m"), F.col("_s")).cast("long")
+    # A table's support is dealt out in blocks, so that one large table isn't one task.
+    blocks = rows.withColumn("_low", F.explode(F.sequence(low, high, F.lit(FISHER_BLOCK)))).withColumn("_high", F.least(F.col("_low") + FISHER_BLOCK - 1, high))
+    kernel = lambda k: -(log_gamma(k + 1.0) + log_gamma(F.col("_m") - k + 1.0) + log_gamma(F.col("_s") - k + 1.0) + log_gamma(F.col("_n") - F.col("_s") + k + 1.0))
+    margins = log_gamma(F.col("_m") + 1.0) + log_gamma(F.col("_n") + 1.0) + log_gamma(F.col("_s") + 1.0) + log_gamma(F.col("_m") + F.col("_n") - F.col("_s") + 1.0) - log_gamma(F.col("_m") + F.col("_n") + 1.0)
+    blocks = blocks.withColumn("_c", margins).withColumn("_own", F.col("_c") + kernel(F.col("_a"))).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    tables = blocks.withColumn("_k", F.explode(F.sequence("_low", "_high"))).withColumn("_k", F.col("_k").cast("double")).select(*keys, "_own", (F.col("_c") + kernel(F.col("_k"))).alias("_p"))
     summed = tables.filter(F.col("_p") <= F.col("_own") + FISHER_TOLERANCE).groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(F.exp("_p"))).alias(name))
     summed = summed.withColumnsRenamed({k: f"_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import bootstrap as B
 from ..operators import enrichment as E
 from ..operators import matching as M
+from ..storage import materialise
 
 
 @dataclass
@@ -51,6 +52,7 @@ def evaluate(
             raise ValueError("no trial pair has a disease that the lookup knows")
     if genes is not None:
         base = base.join(genes.select("gene").distinct(), "gene", "left_semi").select(*base.columns)
+    base = materialise(base)  # several actions and every arm start from it
     sources = sorted(r[0] for r in evidence.select(key).distinct().collect())  # names of arms
     flagged = E.flag_sources(base, M.supporting_pairs(evidence, similarity, threshold, [key]), sources, key)
     if baseline is not None:

@@ -26,7 +26,7 @@ INPUTS |= {
     "targets": """SELECT 'T' || p_partkey AS id, CASE WHEN p_size % 9 = 0 THEN NULL ELSE 'SYM' || (p_partkey % 450) END AS approvedSymbol, CASE WHEN p_size % 4 = 0 THEN 'lncRNA' ELSE 'protein_coding' END AS biotype FROM {part}""",
     "burden": """SELECT l_discount / 1000000 AS Pvalue, CASE WHEN l_linenumber = 7 THEN ' ' ELSE 'G' || (l_partkey % 300) END AS gene_symbol, 'P' || (l_suppkey % 50) AS phenocode,
         CASE WHEN l_suppkey % 2 = 0 THEN 'c' || (l_suppkey % 3) END AS coding_description, 'own ' || (l_suppkey % 50) AS description FROM {lineitem}""",
-    "manifest": """SELECT 'P' || (s_suppkey % 50) AS phenocode, CASE WHEN s_suppkey % 2 = 0 THEN 'c' || (s_suppkey % 3) END AS coding_description, 'EFO_' || s_nationkey || ', EFO_' || (s_nationkey + 30) AS trait_efos,
+    "manifest": """SELECT DISTINCT 'P' || (s_suppkey % 50) AS phenocode, CASE WHEN s_suppkey % 2 = 0 THEN 'c' || (s_suppkey % 3) END AS coding_description, 'EFO_' || (s_suppkey % 50) || ', EFO_' || (s_suppkey % 50 + 30) AS trait_efos,
         CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'trait ' || (s_suppkey % 50) END AS description FROM {supplier}""",
     "crosswalk": "SELECT DISTINCT 'M' || (s_suppkey % 60) AS mesh_id, 'EFO:' || s_nationkey AS efo_id FROM {supplier}",
     "programmes": """SELECT 'G' || (l_partkey % 300) AS gene, CASE WHEN l_linenumber = 7 THEN NULL ELSE 'M' || (l_suppkey % 90) END AS indication_mesh_id, l_linenumber % 5 + 1 AS ccatnum,
