@@ -35,8 +35,8 @@ INDEX_SCHEMA = "shard int, levels array<int>, bits binary, ranks binary, digests
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest): SHA-256 of the text's UTF-8 bytes."""
-    return docs.select("doc_id", F.unhex(F.sha2(common.text_or_empty(), 256)).alias("digest"))
+    """(doc_id, digest, salt): SHA-256 of the text's UTF-8 bytes, and a number that tells rows apart. Written out, so that the numbers stay when tasks are run again."""
+    return common.materialise(docs.select("doc_id", F.unhex(F.sha2(common.text_or_empty(), 256)).alias("digest"), F.monotonically_increasing_id().alias("salt")))
 
 
 def shard_of(n_shards: int):
@@ -145,10 +145,10 @@ def look_up(key, rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
 
 
 def against(rows: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
-    """(doc_id, digest, winner, known, size) of rows of (doc_id, digest), by lookups in the index."""
+    """(doc_id, digest, winner, known, size) of rows of (doc_id, digest, salt), by lookups in the index."""
     sharded = rows.withColumn("shard", shard_of(n_shards))
     parts = sharded.groupBy("shard").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
-    salted = common.lookup(sharded, parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("parts")).cast("int"))
+    salted = common.lookup(sharded, parts, "shard").withColumn("part", F.pmod(F.xxhash64("salt"), F.col("parts")).cast("int")).drop("salt")
     copies = common.lookup(index, parts.withColumnRenamed("shard", "of"), F.col("shard") == F.col("of")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("of", "parts")
     return salted.drop("parts").groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(look_up, "doc_id long, digest binary, winner long, known boolean, size long")
 
@@ -159,7 +159,7 @@ def decide(docs: DataFrame, history: tuple[DataFrame, int] | None = None) -> Dat
     Without a history, docs are their own: the index is built from all of them. With one (of build_index), its members
     are repeats: keep_id is the history's winner and nothing is kept; nonmembers group among themselves.
     """
-    rows = common.materialise(digests(docs))
+    rows = digests(docs)
     found = against(rows, *(history or index_of(rows)))
     out = ["doc_id", F.col("winner").alias("keep_id"), F.col("size").alias("group_size")]
     sha = F.lower(F.hex("digest")).alias("text_sha256")
