@@ -93,7 +93,7 @@ def _(t):
     return M.matched_pairs_audit(t("ge"), t("ct"), t("sim"), 0.8)
 
 
-@query("m4_check_similarity_lookup", f"WITH {ctes('sim')}, l AS (SELECT * FROM sim WHERE similarity < 1 OR efo_id_1 LIKE '%7'), d AS (SELECT DISTINCT efo_id_1 AS t FROM l EXCEPT SELECT efo_id_1 FROM l WHERE efo_id_1 = efo_id_2) SELECT 'diagonal' AS kind, t AS efo_id_1, t AS efo_id_2 FROM d")
+@query("m4_check_similarity_lookup", f"WITH {ctes('sim')}, l AS (SELECT * FROM sim WHERE similarity < 1 OR efo_id_1 LIKE '%7'), d AS (SELECT efo_id_1 AS t FROM l UNION SELECT efo_id_2 FROM l EXCEPT SELECT efo_id_1 FROM l WHERE efo_id_1 = efo_id_2) SELECT 'diagonal' AS kind, t AS efo_id_1, t AS efo_id_2 FROM d UNION ALL SELECT DISTINCT 'mirror', efo_id_1, efo_id_2 FROM l a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE a.efo_id_1 = b.efo_id_2 AND a.efo_id_2 = b.efo_id_1)")
 def _(t):
     return M.lookup_violations(t("sim").filter((F.col("similarity") < 1) | F.col("efo_id_1").endswith("7")))
 

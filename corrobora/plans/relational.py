@@ -308,7 +308,7 @@ def _(t, spark):
     return M.lookup_violations(rows, require_diagonal=False).select("efo_id_1", "efo_id_2")
 
 
-@query("j6_anti_join_diagonal", f"WITH {ctes('sim')} SELECT DISTINCT efo_id_1 AS term FROM sim WHERE efo_id_1 NOT IN (SELECT efo_id_1 FROM sim WHERE efo_id_1 = efo_id_2 AND efo_id_1 NOT LIKE '%3')")
+@query("j6_anti_join_diagonal", f"WITH {ctes('sim')}, r AS (SELECT * FROM sim WHERE NOT (efo_id_1 = efo_id_2 AND efo_id_1 LIKE '%3')) SELECT term FROM (SELECT efo_id_1 AS term FROM r UNION SELECT efo_id_2 FROM r) WHERE term NOT IN (SELECT efo_id_1 FROM r WHERE efo_id_1 = efo_id_2)")
 def _(t, spark):
     rows = t("sim").filter(~((F.col("efo_id_1") == F.col("efo_id_2")) & F.col("efo_id_1").endswith("3")))
     return M.lookup_violations(rows).filter("kind = 'diagonal'").select(F.col("efo_id_1").alias("term"))
