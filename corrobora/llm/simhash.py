@@ -9,8 +9,8 @@ vantage point and a distance, and sends a fingerprint left if its block is at mo
 point, else right; leaves are shards. Every fingerprint is at home in one shard. As a query with a ball of the block's
 radius r, it goes down a branch only where the triangle bound lets the ball reach it (d - r <= split, d + r > split), so
 it visits the shards that its ball overlaps at a boundary, and there all home fingerprints are compared in full.
-A pair needs to meet once, so queries skip shards before their own. Trees are built from a sample of SAMPLE
-fingerprints; any tree gives exact pairs, the sample only balances it.
+A pair needs to meet once, so queries skip shards before their own. Trees are built from a sample of about LEAF_SAMPLE
+fingerprints a leaf, some LEAF_SAMPLE << MAX_DEPTH at most; any tree gives exact pairs, the sample only balances it.
 
 Shards with many homes or queries (clusters of near copies) are cut into parts by their counts, so no task grows with
 a cluster. A part returns a spanning forest of its links, no more rows than it has fingerprints; components are then
@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 3
-#: Fingerprints that build the trees; those that a shard should hold; most homes and queries that one part compares.
-SAMPLE, SHARD, PART_HOMES, PART_QUERIES = 8192, 2048, 8192, 65_536
+#: Fingerprints that a shard should hold; most homes and queries that one part compares.
+SHARD, PART_HOMES, PART_QUERIES = 2048, 32_768, 65_536
+#: Depth of the trees at most; fingerprints that build them, for each leaf, and at least.
+MAX_DEPTH, LEAF_SAMPLE, LEAST_SAMPLE = 18, 16, 8192
 #: Comparisons that are held in memory at once.
 AT_ONCE = 1 << 21
 
@@ -77,9 +79,9 @@ class Tree:
         self.shift, self.mask, self.depth = np.uint64(shift), np.uint64((1 << bits) - 1), depth
         rng = np.random.default_rng(seed)
         self.points, self.splits = np.zeros(1 << depth, np.uint64), np.zeros(1 << depth, np.int64)
-        own, node = self.block(sample), np.ones(len(sample), np.int64)
+        members = {1: self.block(sample)}
         for at in range(1, 1 << depth):
-            here = own[node == at]
+            here = members.pop(at)
             tries = rng.choice(here, min(4, len(here)), replace=False) if len(here) else rng.integers(0, 1 << bits, 1, dtype=np.uint64)
             best = None
             for point in tries:
@@ -90,8 +92,9 @@ class Tree:
                     if best is None or odds < best[0]:
                         best = odds, point, s
             _, self.points[at], self.splits[at] = best
-            mine = np.flatnonzero(node == at)
-            node[mine] = 2 * at + (np.bitwise_count(own[mine] ^ self.points[at]) > self.splits[at])
+            if 2 * at < 1 << depth:
+                far = np.bitwise_count(here ^ self.points[at]) > self.splits[at]
+                members[2 * at], members[2 * at + 1] = here[~far], here[far]
 
     def block(self, fps: np.ndarray) -> np.ndarray:
         return (fps.astype(np.int64).view(np.uint64) >> self.shift) & self.mask
@@ -115,9 +118,10 @@ class Tree:
 
 
 def plant(fps: DataFrame, count: int, blocks: int) -> list[Tree]:
-    """One tree a block, from a bounded sample; deep enough for shards of about SHARD of `count` fingerprints."""
-    sample = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64)
-    depth = min(16, max(0, int(np.ceil(np.log2(max(1, count / SHARD))))))
+    """One tree a block, deep enough for shards of about SHARD of `count` fingerprints, from a sample by hash."""
+    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, count / SHARD))))))
+    share = max(LEAST_SAMPLE, LEAF_SAMPLE << depth) / max(1, count)
+    sample = np.sort(fps.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40))).toArrow()["fp"].to_numpy())
     edges = [round(64 * b / blocks) for b in range(blocks + 1)]
     return [Tree(sample, low, high - low, depth, b) for b, (low, high) in enumerate(zip(edges, edges[1:]))]
 
@@ -138,7 +142,7 @@ def forest(size: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = N
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(fp, root): links whose components are those of all pairs within the radius. fps: distinct."""
     spark = fps.sparkSession
-    trees = spark.sparkContext.broadcast(plant(fps, fps.count(), blocks))  # at most 2^16 nodes a tree
+    trees = spark.sparkContext.broadcast(plant(fps, fps.count(), blocks))  # at most 2^MAX_DEPTH nodes a tree
     reach = radius // blocks
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
