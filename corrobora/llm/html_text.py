@@ -12,7 +12,8 @@ On each page a class is valid if its tokens occur equally often there, in the cl
 them lies within one slot (the gap between two neighbouring tokens) of every larger valid class or encloses it: valid
 classes nest into the template, and text outside its tokens fills slots. Slots are kept if they lie in the article and
 not in an element for something else (menus, headers, footers, sidebars, notices, adverts, forms, comments). Text
-tokens of the template outside the article are dropped as the host's own words.
+tokens of the template are dropped as the host's own words, in the article too; an article that would lose more than
+half of its text keeps them, as most of the host's pages are then taken for near copies of it.
 
 Defined cases: null html is an empty page with empty text; a null url, or one without "://", belongs to the host "";
 hosts with fewer than LEAST_PAGES pages have no template, and elements alone decide; pages without an article keep all
@@ -193,6 +194,7 @@ def valid_places(tokens: list[int], classes) -> tuple[set[int], int]:
         if token in wanted:
             places.setdefault(token, []).append(at)
     template: list[int] = []  # sorted places of the valid classes so far
+    valid: list[tuple[list, list[int]]] = []  # rounds and sorted places of each
     kept, n_valid = set(), 0
     for members in classes:
         each = [places.get(t, []) for t in members]
@@ -203,16 +205,20 @@ def valid_places(tokens: list[int], classes) -> tuple[set[int], int]:
         flat = [p for s in spans for p in s]
         if flat != sorted(flat):
             continue
-        # Nesting: a round lies within one slot of the template so far, or is a separator of its slots throughout.
-        inside = all(bisect(template, s[0]) == bisect(template, s[-1]) for s in spans)
-        around = rounds == 1
-        if inside or around:
+        # Nesting: each round lies within one slot of the template so far, or else this class and each larger one nest one way or the other.
+        if within(spans, template) or all(within(spans, at) or within(own, flat) for own, at in valid):
             kept.update(flat)
             template = sorted(kept)
+            valid.append((spans, flat))
             n_valid += 1
     return kept, n_valid
 
 
+def within(spans: list[list[int]], places: list[int]) -> bool:
+    """Whether each of the rounds lies between two neighbours of places."""
+    return all(bisect(places, s[0]) == bisect(places, s[-1]) for s in spans)
+
+
 def bisect(places: list[int], at: int) -> int:
     low, high = 0, len(places)
     while low < high:
@@ -226,14 +232,16 @@ def main_text(page: str | None, classes=()) -> tuple[str, int, int]:
     items = list(read(page or ""))
     fixed, n_valid = valid_places([signed(t) for t, _, _ in items], classes) if len(classes) else (set(), 0)
     has_main = any(where.main and not where.other for _, text, where in items if text is None)
-    out, slots, slot = [], set(), 0
+    own, template, slot = [], [], 0
     for at, (_, text, where) in enumerate(items):
-        if at in fixed and (text is None or not where.main):
+        if at in fixed:
             slot += 1
-        elif text is not None and not where.other and (where.main or not has_main):
-            out.append(text)
-            slots.add(slot)
-    return "\n\n".join(out), len(slots), n_valid
+        if text is not None and not where.other and (where.main or not has_main):
+            (template if at in fixed else own).append((at, slot, text))
+    chars = lambda blocks: sum(len(text) for _, _, text in blocks)
+    if has_main and chars(template) > chars(own):
+        own = sorted(own + template)  # copies of one page, near or exact
+    return "\n\n".join(text for _, _, text in own), len({slot for _, slot, _ in own}), n_valid
 
 
 def extract(pages: DataFrame) -> DataFrame:

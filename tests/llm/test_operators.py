@@ -326,6 +326,20 @@ def test_html_without_article_drops_the_template(spark):
     assert all(r["text"] == f"Story {n} begins.\n\nIt ends {n}." for n, r in got.items())
 
 
+def test_html_template_decides_inside_articles(spark):
+    body = "<article><p>You read the Daily.</p><h1>T {n}</h1><p>Story {n} is told at some length, so that it is most of its page.</p><div><p>Write to our desk.</p><p>All rights kept.</p></div></article>"
+    got = texts(spark, [page("d.com", n, body.replace("{n}", str(n))) for n in range(8)])
+    assert all(r["text"] == f"T {n}\n\nStory {n} is told at some length, so that it is most of its page." for n, r in got.items())
+    copies = texts(spark, [page("e.com", n, "<article><p>One.</p><p>Two.</p></article>") for n in range(8)])
+    assert all(r["text"] == "One.\n\nTwo." for r in copies.values())
+
+
+def test_html_classes_nest_also_with_one_round():
+    # 1 to 3 are on all pages, 7 and 8 interleave with them, 5 and 6 lie in one slot, 4 and 9 enclose them.
+    assert html_text.valid_places([1, 7, 2, 5, 6, 3, 8], [[1, 2, 3], [7, 8], [5, 6]]) == ({0, 2, 3, 4, 5}, 2)
+    assert html_text.valid_places([4, 1, 2, 3, 9], [[1, 2, 3], [4, 9]]) == ({0, 1, 2, 3, 4}, 2)
+
+
 def test_html_of_odd_rows(spark):
     rows = [(1, None, None), (2, "no scheme", ""), (None, None, "<article>x"), (4, "http://c.com", "a < b & c"), (5, "http://c.com", "<!-- <p>no</p> --><p>yes"), (5, "http://c.com", "<!-- <p>no</p> --><p>yes"), (6, "http://c.com", "<p>" * 5000 + "deep"), (7, "http://c.com", "<div>" * 5000 + "deep")]
     got = texts(spark, rows)
