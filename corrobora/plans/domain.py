@@ -225,7 +225,7 @@ def _(t):
 
 @query("t7_bootstrap_ci")
 def _(t):
-    return B.bootstrap(arm(t), n=2000)
+    return B.bootstrap(arm(t))
 
 
 # Entities.

@@ -360,7 +360,7 @@ def _(t):
 def _(t):
     flagged = arm(t)
     closed = E.with_ratios(E.transition_counts(flagged)).select("phase_from", "phase_to", "rr_lower", "rr_upper")
-    units = {u: analysis.interval_widening(B.bootstrap(flagged, u, n=1000), closed, ["phase_from", "phase_to"]) for u in ("gene", "efo_id")}
+    units = {u: analysis.interval_widening(B.bootstrap(flagged, u), closed, ["phase_from", "phase_to"]) for u in ("gene", "efo_id")}
     return analysis.named_union(units, "unit").select("unit", "phase_from", "phase_to", "widening")
 
 

@@ -1,4 +1,6 @@
+import hashlib
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +83,29 @@ def test_bootstrap_refuses(spark, cells):
 def test_bootstrap_bounds_may_be_infinite(spark):
     row = B.bootstrap(rows(spark, 6, 12, 1, 12), transitions=((1, 2),), n=400).first()
     assert math.isinf(row["rr_boot_upper"]) and math.isfinite(row["rr_boot_lower"])
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["t7_bootstrap_ci", "b4_cluster_unit_sensitivity"])
+def test_queries_draw_all_replicates(spark, monkeypatch, name):
+    from corrobora.plans import domain, feeds
+
+    asked = []
+    drawn = B.replicates
+    monkeypatch.setattr(B, "replicates", lambda cells, n, *a, **b: asked.append(n) or drawn(cells, n, *a, **b))
+    {**domain.QUERIES, **feeds.QUERIES}[name](spark, SF)
+    assert asked and set(asked) == {10_000}
+
+
+def test_hash_draws_against_brute_force(spark):
+    cells = [("a", 1, 3, 2, 5), ("b", 2, 2, 1, 4), ("c", 3, 6, 2, 2)]
+    df = spark.createDataFrame([(1, 2, *c) for c in cells], "phase_from int, phase_to int, cluster string, x_yes long, n_yes long, x_no long, n_no long")
+    got = {r["r"]: r["rr"] for r in B.hashed_replicates(df, B.REPLICATES).collect()}
+    assert sorted(got) == list(range(B.REPLICATES))
+    for r in got:
+        drawn = [cells[int(hashlib.md5(f"0:{r}:{j}".encode()).hexdigest()[:12], 16) % 3] for j in range(3)]
+        a, m, c, n = (sum(x[k] for x in drawn) for k in range(1, 5))
+        assert got[r] == pytest.approx(a * n / (c * m))
