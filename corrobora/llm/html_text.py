@@ -15,6 +15,13 @@ not in an element for something else (menus, headers, footers, sidebars, notices
 tokens of the template are dropped as the host's own words, in the article too; an article that would lose more than
 half of its text keeps them, as most of the host's pages are then taken for near copies of it.
 
+Words of class, id and role speak against an element, unless it is html or body, and against what it holds, but not
+against an article or main element in it whose own words don't: of these, the ones with the fewest such elements
+around them are the article, so layouts named has-sidebar lose none, and teasers in a section named related give way to
+the page's article. If all have such elements around them, and the blocks outside that nothing speaks against have more
+text, those are taken. On a page without an article or any such block the template's slots decide: of those not in an
+element for something else, the blocks with the fewest such words around them are kept.
+
 Defined cases: null html is an empty page with empty text; a null url, or one without "://", belongs to the host "";
 hosts with fewer than LEAST_PAGES pages have no template, and elements alone decide; pages without an article keep all
 slots that nothing speaks against; unclosed elements end with their parents or the page. Repeated rows are pages of
@@ -65,12 +72,16 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    """An open element: path is told by hash; other: it or one around it holds something else; main: it is in the article."""
+    """An open element: path is told by hash; hard: it or one around it can't hold the article; soft: so many have words that speak against them; main: it is in an article, in whose bounds the two count; outer: soft of what is around that."""
+
+    __slots__ = ("tag", "path", "hard", "soft", "main", "outer")
 
-    __slots__ = ("tag", "path", "other", "main")
+    def __init__(self, tag: str, path: int, hard: bool, soft: int, main: bool, outer: int):
+        self.tag, self.path, self.hard, self.soft, self.main, self.outer = tag, path, hard, soft, main, outer
 
-    def __init__(self, tag: str, path: int, other: bool, main: bool):
-        self.tag, self.path, self.other, self.main = tag, path, other, main
+    @property
+    def other(self) -> bool:
+        return self.hard or self.soft > 0
 
 
 def opened(parent: Node, tag: str, attributes: str) -> Node:
@@ -80,14 +91,21 @@ def opened(parent: Node, tag: str, attributes: str) -> Node:
             value = (m[2] or m[3] or m[4] or "").lower()
             words.update(_SPLIT.split(value))
             names += value + " "
-    main = parent.main or tag in ("article", "main") or "main" in words and not parent.other
-    other = parent.other or tag in OTHER_ELEMENTS or bool(words & OTHER_WORDS) or bool(attributes and _HIDDEN.search(attributes)) or (not main and (tag == "header" or bool(words & HEADER_WORDS)))
-    return Node(tag, xxhash.xxh64_intdigest(f"{parent.path}/{tag}.{names}"), other, main)
+    path = xxhash.xxh64_intdigest(f"{parent.path}/{tag}.{names}")
+    hard = parent.hard or tag in OTHER_ELEMENTS or bool(attributes and _HIDDEN.search(attributes))
+    spoken = tag not in ("html", "body") and bool(words & OTHER_WORDS)
+    if tag in ("article", "main") and not (parent.main or hard or spoken):
+        return Node(tag, path, False, 0, True, parent.soft)
+    main = parent.main or "main" in words and not parent.other
+    if not main:
+        hard = hard or tag == "header"
+        spoken = spoken or tag not in ("html", "body") and bool(words & HEADER_WORDS)
+    return Node(tag, path, hard, parent.soft + spoken, main, parent.outer)
 
 
 def read(page: str) -> Iterator[tuple[int, str | None, Node]]:
     """(token, block of text or None, innermost element) in page order. Inline tags are no tokens; a block's text has its white space made single."""
-    root = Node("", 0, False, False)
+    root = Node("", 0, False, 0, False, 0)
     stack, parts = [root], []
 
     def block():
@@ -231,17 +249,31 @@ def main_text(page: str | None, classes=()) -> tuple[str, int, int]:
     """(text, slots that it was taken from, valid classes)."""
     items = list(read(page or ""))
     fixed, n_valid = valid_places([signed(t) for t, _, _ in items], classes) if len(classes) else (set(), 0)
-    has_main = any(where.main and not where.other for _, text, where in items if text is None)
-    own, template, slot = [], [], 0
+    levels = {where.outer for _, text, where in items if text is None and where.main and not where.other}
+    blocks, slot = [], 0
     for at, (_, text, where) in enumerate(items):
         if at in fixed:
             slot += 1
-        if text is not None and not where.other and (where.main or not has_main):
-            (template if at in fixed else own).append((at, slot, text))
-    chars = lambda blocks: sum(len(text) for _, _, text in blocks)
-    if has_main and chars(template) > chars(own):
-        own = sorted(own + template)  # copies of one page, near or exact
-    return "\n\n".join(text for _, _, text in own), len({slot for _, slot, _ in own}), n_valid
+        if text is not None:
+            blocks.append((slot, text, where, at in fixed))
+    chars = lambda found: sum(len(x[1]) for x in found)
+    own = lambda found: [x for x in found if not x[3]]
+    level = min(levels, default=0)
+    article = [x for x in blocks if x[2].main and not x[2].other and x[2].outer == level]
+    if level:  # words around it speak against each article
+        rest = own(x for x in blocks if not x[2].main and not x[2].other)
+        out = rest if chars(rest) > chars(article) else None
+    else:
+        out = None if levels else own(x for x in blocks if not x[2].other)
+    if out is None:
+        out = own(article)
+        if chars(article) > 2 * chars(out):
+            out = article  # copies of one page, near or exact
+    if not out and not levels and n_valid:
+        left = [x for x in own(blocks) if not x[2].hard]
+        least = min((x[2].soft for x in left), default=0)
+        out = [x for x in left if x[2].soft == least]
+    return "\n\n".join(x[1] for x in out), len({x[0] for x in out}), n_valid
 
 
 def extract(pages: DataFrame) -> DataFrame:

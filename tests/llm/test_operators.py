@@ -340,6 +340,30 @@ def test_html_classes_nest_also_with_one_round():
     assert html_text.valid_places([4, 1, 2, 3, 9], [[1, 2, 3], [4, 9]]) == ({0, 1, 2, 3, 4}, 2)
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<div class='page no-comments'>", "</div>"),
+        ("<div id=search-layout><section class=header-fixed>", "<div class=sidebar>Links</div></section></div>"),
+        ("<main class=with-sidebar>", "<aside>Links</aside></main>"),
+        ("<div class=has-sidebar>", "<div class=related><article>Another story that is far longer than the one here.</article></div></div>"),
+        ("", "<div class=related><article>Another story.</article></div>"),
+    ],
+)
+def test_html_layout_words_around_the_article(before, after):
+    assert html_text.main_text(f"<html class=no-share><body class='has-sidebar'>{before}<article><p>The story.</p><div class=ad>Buy</div></article>{after}</body></html>")[0] == "The story."
+
+
+def test_html_words_still_speak_against_their_own_elements():
+    assert html_text.main_text("<body><p>A story of some length.</p><div id=comments><article>First!</article></div></body>")[0] == "A story of some length."
+    assert html_text.main_text("<body><article>Story.</article><article class=comment>First!</article><aside><article>Ad</article></aside></body>")[0] == "Story."
+
+
+def test_html_slots_decide_under_layout_words(spark):
+    got = texts(spark, [page("f.com", n, f"<div class='page no-comments'><div class=sidebar>Links {n}</div><p>Story {n}.</p></div>") for n in range(8)])
+    assert all(r["text"] == f"Story {n}." for n, r in got.items())
+
+
 def test_html_of_odd_rows(spark):
     rows = [(1, None, None), (2, "no scheme", ""), (None, None, "<article>x"), (4, "http://c.com", "a < b & c"), (5, "http://c.com", "<!-- <p>no</p> --><p>yes"), (5, "http://c.com", "<!-- <p>no</p> --><p>yes"), (6, "http://c.com", "<p>" * 5000 + "deep"), (7, "http://c.com", "<div>" * 5000 + "deep")]
     got = texts(spark, rows)
