@@ -129,6 +129,14 @@ def stratified(flagged: DataFrame, branch: DataFrame, name: str = "stratum") ->
     return E.with_ratios(E.transition_counts(rows, keys=[name]))
 
 
+def overlapping_strata(flagged: DataFrame, branch: DataFrame, name: str = "stratum") -> DataFrame:
+    """Counts and ratios of all rows ("with") and of those outside a branch (id) of diseases ("without")."""
+    inside = branch.select(F.col("id").alias("efo_id")).distinct().withColumn("_in", F.lit(True))
+    strata = F.when(F.col("_in"), F.array(F.lit("with"))).otherwise(F.array(F.lit("with"), F.lit("without")))
+    rows = flagged.join(inside, "efo_id", "left").withColumn(name, F.explode(strata))
+    return E.with_ratios(E.transition_counts(rows, keys=[name]))
+
+
 def prior_art(trials: DataFrame, evidence: DataFrame, branch: DataFrame) -> DataFrame:
     """Exact matching, uncensored, without the diseases of a branch: counts and ratios."""
     rest = trials.join(branch.select(F.col("id").alias("efo_id")).distinct(), "efo_id", "left_anti").withColumn("is_ongoing", F.lit(False))

@@ -443,6 +443,11 @@ def _(t):
     return tidy(analysis.stratified(arm(t), branch(t)))
 
 
+@query("b17_overlapping_strata", f"{ARM.replace('WITH', 'WITH RECURSIVE', 1).replace(ctes('ct', 'ge'), ctes('ct', 'ge', 'is_a') + ', ' + BRANCH)}, g AS (SELECT f.*, 'with' AS stratum FROM f UNION ALL SELECT f.*, 'without' FROM f WHERE efo_id NOT IN (SELECT efo_id FROM br)) {ratios_sql(counts_sql('g', 'stratum'))}")
+def _(t):
+    return tidy(analysis.overlapping_strata(arm(t), branch(t)))
+
+
 @query("b18_prior_art_configuration", f"{ARM.replace('WITH', 'WITH RECURSIVE', 1).replace(ctes('ct', 'ge'), ctes('ct', 'ge', 'is_a') + ', ' + BRANCH)}, g AS (SELECT * REPLACE (false AS is_ongoing) FROM f WHERE efo_id NOT IN (SELECT efo_id FROM br)) {ratios_sql(counts_sql('g'))}")
 def _(t):
     return tidy(analysis.prior_art(t("ct"), t("ge"), branch(t)))

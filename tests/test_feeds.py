@@ -98,3 +98,11 @@ def test_gzipped_tsv_with_comments(spark, tmp_path):
         f.write("# note\ngene\tscore\nA\t1\nB\t\n")
     out = scans.scan_tsv(spark, path, comment="#")
     assert [tuple(r) for r in out.collect()] == [("A", "1"), ("B", None)]
+
+
+def test_strata_with_a_branch_hold_all_rows(spark):
+    from corrobora.plans import analysis
+
+    df = spark.createDataFrame([("G1", "D1", 2, False, True), ("G2", "D1", 1, False, False), ("G3", "D2", 2, False, True), ("G4", "D3", 1, False, False)], "gene string, efo_id string, max_phase int, is_ongoing boolean, has_genetic_evidence boolean")
+    got = {r["stratum"]: (r["n_yes"], r["n_no"]) for r in analysis.overlapping_strata(df, spark.createDataFrame([("D1",)], "id string")).filter("phase_from = 1 AND phase_to = 2").collect()}
+    assert got == {"with": (2, 2), "without": (1, 1)}
