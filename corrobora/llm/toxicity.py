@@ -1,30 +1,40 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; a sample of all documents, whatever their labels, is the unlabelled set.
-Linear classifiers over the presence of words are trained in numpy with the non-negative estimator of the risk:
+Confirmed toxic documents are the positives; all other text, whatever its labels, is unlabelled. Linear classifiers are
+trained in numpy with the non-negative estimator of the risk:
 
     pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)]),     l(z) = log(1 + exp(-z))
 
 where pi is the class prior. When the second term, the risk on the unseen negatives, falls below zero, the classifier
-has begun to fit the unlabelled set itself, and the step goes against that term. Several classifiers, each on its own
-part of the unlabelled sample, give the mean of their probabilities.
-
-Bounds: at most MAX_POSITIVE positives and MAX_UNLABELLED unlabelled documents, those with the lowest hashes of their
-doc_ids, and MAX_WORDS words, those most over-represented among the positives; so the model has a fixed size and may
-be broadcast. Scores cover every word of every document.
-
-Defined cases: null text counts as empty and is scored by the bias alone; a null doc_id is held out and never learned
-from; labels without a document and null labels are ignored; repeated labels of a document count once, toxic if any of
-them is. Without confirmed positives every score is the prior, and without labels 0. Equal texts get equal scores. An
-empty table gives no rows. Only doc_id and text (and the labels' doc_id and toxic) are read, so other columns can't
-clash.
+has begun to fit the unlabelled set itself, and the step goes against that term. Steps take the unlabelled texts in
+small batches; the mean of the later half of the steps is the classifier. Its bias is then moved to where the same
+estimator, with the zero-one loss for l, is least, so that a score of 0.5 parts the classes.
+
+Features are words and beginnings of words (PREFIXES characters), each at several LEVELS: whether a text has it so many
+times. Those that the positives have more often than chance allows are used (Chernoff's bound on a Poisson count, with
+the expectation from all unlabelled texts); what isn't over-represented counts against toxicity by the bias alone.
+
+Every document that isn't held out is unlabelled text to learn from: its features are counted over all of them, and all
+of them are dealt to shards of about SHARD_TEXTS texts, whose CLASSIFIERS classifiers are trained in a task of their own. The model is
+the mean of their weights, summed as whole numbers, so it depends neither on the order of rows nor on partitions. Equal
+texts count once, or one document's words would pass for many's.
+
+Bound: at most MAX_POSITIVE labelled positives are learned from, those with the lowest hashes of their doc_ids; they
+bound the features, and with them what is broadcast or sent to the driver. Scores cover every word of every document.
+
+Defined cases: null text counts as empty and is scored by the bias alone; very long texts are read whole, one at a time;
+a null doc_id is held out and never learned from; labels without a document and null labels are ignored; repeated
+labels of a document count once, toxic if any of them is; of repeated doc_ids each row counts. Without confirmed
+positives every score is near 0. Equal texts get equal scores. An empty table gives no rows. Only doc_id and text (and
+the labels' doc_id and toxic) are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -33,32 +43,73 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 5_000, 15_000, 2_000
-#: Positives that must have a word; how unlikely its count there must be by chance: so many nats beyond one false find among all words tried (below 0: some false finds, which training weighs down).
+#: Labelled positives that are learned from.
+MAX_POSITIVE = 5_000
+#: Lengths of the beginnings of longer words; times that a text has a word or beginning.
+PREFIXES, LEVELS = (5, 6), (1, 2, 4, 8, 16)
+#: Positives that must have a feature; how unlikely its count there must be by chance: so many nats beyond one false find among all features tried (below 0: some false finds, which training weighs down).
 LEAST_DOCUMENTS, SURPRISE = 3, -3.0
 #: Part of the documents that is not learned from: those with crc32(doc_id) mod FOLDS = 0.
 FOLDS = 5
-CLASSIFIERS, STEPS, RATE, DECAY = 3, 400, 0.1, 1e-4
+#: Unlabelled texts of one classifier; texts in a step, steps, their size, and decay of weights.
+SHARD_TEXTS, BATCH, STEPS, RATE, DECAY = 10_000, 1024, 800, 0.3, 1e-3
+#: Classifiers of each shard, which differ in the order of their batches.
+CLASSIFIERS = 3
 #: Size of the step against a negative risk that has fallen below zero.
 BACK = 0.5
+#: Weights are summed in this unit.
+UNIT = 2.0**-24
+#: Words whose features a worker remembers.
+REMEMBERED = 300_000
 
 _WORD = re.compile(r"\w+")
 
 
+def keys_of(word: str) -> list[str]:
+    """The word and its beginnings, which "^" tells from words."""
+    return [word, *("^" + word[:q] for q in PREFIXES if len(word) > q)]
+
+
+@dataclass
+class Features:
+    """columns: by key, the column of each of its levels, -1 where a level isn't used."""
+
+    columns: dict[str, list[int]]
+    known: dict[str, list[str]] = field(default_factory=dict)
+
+    def of(self, text: str | None) -> list[int]:
+        """Sorted columns of the features that the text has."""
+        counts: dict[str, int] = {}
+        known, columns = self.known, self.columns
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            keys = known.get(word)
+            if keys is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                keys = known[word] = [k for k in keys_of(word) if k in columns]
+            for k in keys:
+                counts[k] = counts.get(k, 0) + n
+        return sorted(c for k, n in counts.items() for c, level in zip(columns[k], LEVELS) if n >= level and c >= 0)
+
+    @classmethod
+    def numbered(cls, features) -> Features:
+        """features: (key, level) pairs; their columns are their places."""
+        columns: dict[str, list[int]] = {}
+        for at, (key, level) in enumerate(features):
+            columns.setdefault(key, [-1] * len(LEVELS))[LEVELS.index(level)] = at
+        return cls(columns)
+
+
 @dataclass
 class Model:
-    """weights: a row for each classifier; the last column is the bias."""
+    """weights: of each column, and last the bias."""
 
-    words: dict[str, int]
+    features: Features
     weights: np.ndarray
 
     def score(self, texts) -> np.ndarray:
-        out = np.empty(len(texts))
-        bias = self.weights[:, -1]
-        for k, text in enumerate(texts):
-            at = [self.words[w] for w in self.words.keys() & set(_WORD.findall((text or "").lower()))]
-            out[k] = sigmoid(bias + self.weights[:, sorted(at)].sum(axis=1)).mean()
-        return out
+        w, bias = self.weights[:-1], self.weights[-1]
+        return sigmoid(np.array([w[self.features.of(t)].sum() for t in texts], dtype=float) + bias)
 
 
 def sigmoid(x):
@@ -69,73 +120,122 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def train(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, n_columns: int, prior: float) -> np.ndarray:
-    """Weights and bias of one classifier. (rows, columns): the ones of the sparse matrix; positive, unlabelled: which rows are which (a row may be both)."""
-    n, w = len(positive), np.zeros(n_columns + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    p, u = positive / max(1, positive.sum()) * prior, unlabelled / max(1, unlabelled.sum())
+def as_sparse(lists) -> tuple[np.ndarray, np.ndarray]:
+    """(start of each row and the end, columns)."""
+    ends = np.cumsum([0, *map(len, lists)])
+    return ends, np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
+
+
+def train(positive, unlabelled, n_columns: int, prior: float, seed: int = 0) -> np.ndarray:
+    """Weights and bias of one classifier. positive, unlabelled: lists of columns of each text."""
+    rng, bias = np.random.default_rng(seed), np.log(prior / (1 - prior))
+    (p_ends, p_columns), (u_ends, u_columns) = as_sparse(positive), as_sparse(unlabelled)
+    p_rows = np.repeat(np.arange(len(positive)), np.diff(p_ends))
+    w, later = np.append(np.zeros(n_columns), bias), np.zeros(n_columns + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
+    order, at = rng.permutation(len(unlabelled)), 0
     for step in range(1, STEPS + 1):
-        g = np.bincount(rows, w[columns], n) + w[-1]
-        up, soft = sigmoid(g), np.logaddexp(0, g)  # soft: l(-g)
-        of_negative = (u - p) * up
-        slope = -p * sigmoid(-g) + of_negative if ((u - p) * soft).sum() >= 0 else -BACK * of_negative
-        grad = np.append(np.bincount(columns, slope[rows], n_columns), slope.sum())
+        if at >= len(order):
+            order, at = rng.permutation(len(unlabelled)), 0
+        some = order[at : at + BATCH]
+        at += BATCH
+        lengths = u_ends[some + 1] - u_ends[some]
+        inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(u_ends[some], lengths)
+        columns, rows = u_columns[inside], np.repeat(np.arange(len(some)), lengths)
+        gp = np.bincount(p_rows, w[p_columns], len(positive)) + w[-1]
+        gu = np.bincount(rows, w[columns], len(some)) + w[-1]
+        back_p, back_u = -prior / len(positive) * sigmoid(gp), sigmoid(gu) / len(some)  # slopes of the risk on negatives
+        if np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean() >= 0:
+            back_p -= prior / len(positive) * sigmoid(-gp)
+        else:
+            back_p, back_u = -BACK * back_p, -BACK * back_u
+        grad = np.append(np.bincount(p_columns, back_p[p_rows], n_columns) + np.bincount(columns, back_u[rows], n_columns), back_p.sum() + back_u.sum())
         grad[:-1] += DECAY * w[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        if step > STEPS // 2:
+            later += w
+    w = later / (STEPS - STEPS // 2)
+    gp = np.bincount(p_rows, w[p_columns], len(positive)) + w[-1]
+    gu = np.bincount(np.repeat(np.arange(len(unlabelled)), np.diff(u_ends)), w[u_columns], len(unlabelled)) + w[-1]
+    cuts = np.unique(gp)
+    missed, marked_u = np.searchsorted(np.sort(gp), cuts, "left") / len(gp), 1 - np.searchsorted(np.sort(gu), cuts, "left") / len(gu)
+    w[-1] -= cuts[np.argmin(prior * missed + np.maximum(0.0, marked_u - prior * (1 - missed)))]
     return w
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from rows that aren't held out."""
-    common.small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    common.small_batches(spark)
     labels = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known, toxic = labels.agg(F.count("*"), F.sum("toxic")).first()
-    if not toxic:
-        return Model({}, np.full((1, 1), -35.0))
-    prior = min(max(toxic / known, 1e-3), 0.9)
-
-    positive = labels.filter("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_POSITIVE)
-    unlabelled = docs.filter(F.col("doc_id").isNotNull()).filter(~held_out()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_UNLABELLED)
-    ids = positive.select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u")).union(unlabelled.select("doc_id", F.lit(0), F.lit(1))).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
-
-    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[["doc_id", "p", "u"]].assign(words=[sorted(set(_WORD.findall((t or "").lower()))) for t in pdf["text"]])
-
-    # Bounded by the two limits, so the ids may be broadcast. Copies count once, or one document's words would pass for many's.
-    sample = common.materialise(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(words_of, "doc_id long, p int, u int, words array<string>").dropDuplicates(["words", "p", "u"]))
-    n_p, n_u = sample.agg(F.sum("p"), F.sum("u")).first()
-    if not n_p or not n_u:
-        return Model({}, np.array([[np.log(prior / (1 - prior))]]))
-    counts = sample.select("p", "u", F.explode("words").alias("word")).groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    # Chernoff's bound on a Poisson count of p where the unlabelled sample leads one to expect e.
-    tried = common.materialise(counts.filter(F.col("p") >= LEAST_DOCUMENTS).withColumn("e", (F.col("u") + 1) * n_p / n_u))
-    surprise = F.col("p") * F.ln(F.col("p") / F.col("e")) - F.col("p") + F.col("e")
-    picked = tried.withColumn("z", surprise).filter((F.col("p") > F.col("e")) & (F.col("z") >= float(np.log(max(1, tried.count()))) + SURPRISE))
-    words = {r["word"]: k for k, r in enumerate(picked.orderBy(F.desc("z"), "word").limit(MAX_WORDS).select("word").collect())}
-
-    def columns_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[["doc_id", "p", "u"]].assign(at=[[words[w] for w in ws if w in words] for ws in pdf["words"]])
-
-    # The driver gets the sample alone: MAX_POSITIVE + MAX_UNLABELLED rows of picked words.
-    rows = sample.mapInPandas(columns_of, "doc_id long, p int, u int, at array<int>").toPandas().sort_values("doc_id", kind="stable")
-    lengths = rows["at"].map(len).to_numpy()
-    at = np.concatenate([np.sort(np.asarray(x, dtype=np.int64)) for x in rows["at"]])
-    row_of = np.repeat(np.arange(len(rows)), lengths)
-    p, u = rows["p"].to_numpy(bool), rows["u"].to_numpy(bool)
-    part = np.cumsum(u) % CLASSIFIERS
-    # Each classifier leaves out its own part of the unlabelled sample, if it is large enough for that.
-    left_out = [u & (part != k) if u.sum() >= 30 * CLASSIFIERS else u for k in range(CLASSIFIERS)]
-    return Model(words, np.array([train(row_of, at, p, x, len(words), prior) for x in left_out]))
+    n_known, n_toxic = labels.agg(F.count("*"), F.sum("toxic")).first()
+    none = Model(Features({}), np.array([-35.0]))
+    if not n_toxic:
+        return none
+    prior = min(max(n_toxic / n_known, 1e-3), 0.9)
+    ids = common.materialise(labels.filter("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_POSITIVE))
+    learned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull()).filter(~held_out())
+    learned = learned.join(F.broadcast(ids.select(F.col("doc_id").alias("toxic_id"))), F.col("doc_id") == F.col("toxic_id"), "left")  # MAX_POSITIVE ids
+    same = F.xxhash64(common.text_or_empty(), F.octet_length(common.text_or_empty()))
+
+    @F.pandas_udf("array<string>")
+    def all_features(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            counts: Counter = Counter()
+            for word, n in Counter(_WORD.findall((text or "").lower())).items():
+                for k in keys_of(word):
+                    counts[k] += n
+            out.append([f"{level} {k}" for k, n in counts.items() for level in LEVELS if n >= level])
+        return pd.Series(out)
+
+    positives = learned.filter(F.col("toxic_id").isNotNull()).groupBy(same.alias("same")).agg(F.min("text").alias("text"))
+    found = positives.select(F.explode(all_features("text")).alias("feature")).groupBy("feature").count().filter(F.col("count") >= LEAST_DOCUMENTS)
+    in_positive = {r["feature"]: r["count"] for r in found.collect()}  # bounded by the positives
+    split = lambda names: [(n.partition(" ")[2], int(n.partition(" ")[0])) for n in names]
+    names = sorted(in_positive)
+    shared = spark.sparkContext.broadcast(Features.numbered(split(names)))
+
+    @F.pandas_udf("array<int>")
+    def columns_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            yield pd.Series([shared.value.of(t) for t in some])
+
+    texts = learned.select(same.alias("same"), F.col("toxic_id").isNotNull().alias("p"), columns_of("text").alias("at"))
+    texts = common.materialise(texts.groupBy("same").agg(F.max("p").alias("p"), F.min("at").alias("at")))
+    n_u, n_p = texts.agg(F.count("*"), F.count_if("p")).first()
+    if not n_p:
+        return none
+    counts = {r["at"]: r["count"] for r in texts.select(F.explode("at").alias("at")).groupBy("at").count().collect()}  # by feature
+    p = np.array([in_positive[n] for n in names], dtype=float)
+    e = (np.array([counts.get(k, 0) for k in range(len(names))]) + 1) * n_p / n_u
+    surprise = p * np.log(p / e) - p + e
+    picked = np.flatnonzero((p > e) & (surprise >= np.log(max(1, len(names))) + SURPRISE))
+    column = np.full(len(names), -1)
+    column[picked] = np.arange(len(picked))
+
+    n_shards = max(1, round(n_u / SHARD_TEXTS))
+    own = lambda lists: [[c for c in column[np.asarray(x, dtype=np.int64)].tolist() if c >= 0] for x in lists]
+    positive = spark.sparkContext.broadcast(own(r["at"] for r in texts.filter("p").orderBy("same").select("at").collect()))
+
+    def learn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("same")
+        unlabelled = own(pdf["at"])
+        w = np.mean([train(positive.value, unlabelled, len(picked), prior, CLASSIFIERS * int(key[0]) + k) for k in range(CLASSIFIERS)], axis=0)
+        return pd.DataFrame({"place": np.arange(len(w)), "w": np.rint(w / UNIT).astype(np.int64)})
+
+    dealt = texts.select("same", "at", F.pmod(F.xxhash64("same"), F.lit(n_shards)).cast("int").alias("shard"))
+    trained = dealt.groupBy("shard").applyInPandas(learn, "place int, w long")
+    sums = {r["place"]: (r["w"], r["n"]) for r in trained.groupBy("place").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()}
+    weights = np.array([sums[k][0] / sums[k][1] * UNIT for k in range(len(picked) + 1)])
+    return Model(Features.numbered(split([names[k] for k in picked])), weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
     common.small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_WORDS words and weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the positives
 
     @F.pandas_udf("double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
