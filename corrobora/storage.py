@@ -16,14 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the folder that all executors share (spark.checkpoint.dir, or our own where it is unset) and reads it back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a local master gets a temporary folder, which stays set; a cluster gets an error, as its executors share no local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corrobora-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/corrobora/{uuid.uuid4().hex}"
+    return base
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back, so later stages start from these files: a lost executor costs a retry of its own tasks and no more."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corrobora/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
