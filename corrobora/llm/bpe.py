@@ -3,15 +3,17 @@
 A text is cut into chunks that overlap. Chunks are pre-tokenised in parallel, each from its own start; a chunk that
 starts inside a pre-token finds wrong boundaries at first, but from the first boundary that it shares with the chunk
 before, both agree for good: the pattern looks only ahead. Neighbours are stitched at that boundary, well before the
-earlier chunk's end, so that nothing that the pattern saw was cut off. Where a whole overlap has no shared boundary
-(a run of letters longer than it), the two chunks are left together. The pieces between stitches are then encoded
-independently: each pre-token by the merge ranks, remembered by its bytes. Decoding concatenates the raw bytes of ids.
+earlier chunk's end, so that nothing that the pattern saw was cut off. Where an overlap has no shared boundary (a run
+of letters or white space longer than it), the text is walked on from the last boundary that holds, next to the later
+chunk from its start, until the two meet; there the chunks are stitched, and the later one holds from there on. A run
+longer than a chunk is walked on into the chunk after. The pieces between stitches are then encoded independently: each
+pre-token by the merge ranks, remembered by its bytes. Decoding concatenates the raw bytes of ids.
 
-Texts of at most one chunk are a single piece and need no exchange; only longer ones are spread by chunk.
+A text of at most one chunk is one piece, without an exchange; both kinds go through the same code from there.
 
-Defined cases: null text counts as empty and has no ids; rows with equal doc_id and text have equal results, and are
-all returned; a null doc_id is kept. An empty table gives no rows. Only doc_id and text are read, so other columns
-can't clash.
+Defined cases: null text counts as empty and has no ids; very long texts are encoded piece by piece, and what one task
+holds of them is the text itself; rows with equal doc_id and text have equal results, and are all returned; a null
+doc_id is kept. An empty table gives no rows. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -35,12 +37,10 @@ CHUNK, OVERLAP = 1 << 16, 1 << 12
 #: A pre-token's match looks this many characters past its end at most.
 LOOKAHEAD = 2
 #: Pre-tokens whose ids a worker remembers, of at most so many characters each.
-REMEMBERED, SHORT = 1_000_000, 64
+REMEMBERED, SHORT = 250_000, 64
 #: Pre-tokens of at most so many bytes are merged by scanning, longer ones by a heap.
 SCANNED = 32
 
-RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
 
 def load_ranks(spark: SparkSession, path: str):
     """Broadcasts a vocabulary: the file's lines "base64 rank" as one string (bounded by the vocabulary: under 1 MB), read where the driver finds it."""
@@ -116,9 +116,12 @@ class Encoder:
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
 
-    def ends(self, text: str) -> list[int]:
-        """Where pre-tokens end, other than in or after white space: what white space matches depends on what follows it."""
-        return [e for m in self.pattern.finditer(text) if not text[(e := m.end()) - 1].isspace()]
+    def ends(self, text: str, start: int = 0, stop: int | None = None) -> Iterator[int]:
+        """Where pre-tokens of text[start:stop] end, other than in or after white space: what white space matches depends on what follows it."""
+        for m in self.pattern.finditer(text, start, len(text) if stop is None else stop):
+            end = m.end()
+            if not text[end - 1].isspace():
+                yield end
 
 
 @lru_cache(maxsize=2)
@@ -132,28 +135,45 @@ def chunk_starts(n: int, chunk: int, overlap: int) -> list[int]:
     return [0] if n <= chunk else list(range(0, n - overlap, chunk - overlap))
 
 
-def stitches(chunks: list[tuple[int, list[int], list[int]]]) -> list[int]:
+def stitches(text: str, chunks, own: Encoder, chunk: int) -> list[int]:
     """Where pieces start. chunks: in order, each's start, and the absolute boundaries that it found in its overlap with the chunk before and with the one after."""
-    starts = [0]
-    trusted = chunks[0][2] if chunks else []
-    for _, head, tail in chunks[1:]:
-        shared = sorted(set(trusted) & set(head))
-        if shared:
-            starts.append(shared[0])
-            trusted = tail
-        else:  # not in step yet: what this chunk found can't be trusted, and the piece goes on through the next chunk
-            trusted = []
+    starts, trusted, walk, ahead = [0], [], None, None
+    for k, (start, head, tail) in enumerate(chunks):
+        if k:
+            shared = set(trusted).intersection(head)
+            if shared:
+                at = min(shared)
+            else:
+                if walk is None:
+                    walk = own.ends(text, max(trusted, default=starts[-1]))
+                    ahead = next(walk, None)
+                at, stop = None, min(start + chunk, len(text))
+                for end in own.ends(text, start, stop):
+                    if end > stop - LOOKAHEAD and stop < len(text):
+                        break
+                    while ahead is not None and ahead < end:
+                        ahead = next(walk, None)
+                    if ahead is None or ahead >= stop:
+                        break
+                    if ahead == end:
+                        at = end
+                        break
+            if at is None:  # the run goes on through this chunk
+                trusted = []
+                continue
+            if at > starts[-1]:
+                starts.append(at)
+            tail, walk = [e for e in tail if e >= at], None
+        trusted = tail
     return starts
 
 
-def digest_rows(rows: list[tuple[int | None, bytes, bytes]]) -> pd.DataFrame:
-    out = [(i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()) for i, ids, raw in rows]
-    return pd.DataFrame({"doc_id": pd.array([x[0] for x in out], "Int64"), "n_tokens": [x[1] for x in out], "ids_sha256": [x[2] for x in out], "decoded_sha256": [x[3] for x in out]})
-
-
-def pieces(docs: DataFrame, ranks, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(row, doc_id, n_pieces, piece, text): the pieces of texts longer than a chunk. row tells rows apart."""
-    rows = common.materialise(docs.select("doc_id", common.text_or_empty().alias("text")).filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()))
+def pieces(docs: DataFrame, ranks, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """(row, id, unnamed, n_pieces, piece, text) of texts of at most one chunk, and of the rest. row tells the latter apart; id is the doc_id, 0 if that is null (unnamed), as pandas rounds long numbers next to nulls."""
+    doc_id = F.col("doc_id").cast("long")
+    texts = docs.select(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("unnamed"), common.text_or_empty().alias("text"))
+    one = texts.filter(F.length("text") <= chunk).select(F.lit(-1).cast("long").alias("row"), "id", "unnamed", F.lit(1).alias("n_pieces"), F.lit(0).alias("piece"), "text")
+    rows = common.materialise(texts.filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -161,74 +181,74 @@ def pieces(docs: DataFrame, ranks, pattern: str, chunk: int = CHUNK, overlap: in
                 starts = chunk_starts(len(text), chunk, overlap)
                 for at in range(0, len(starts), 100):
                     some = starts[at : at + 100]
-                    yield pd.DataFrame({"row": row, "start": some, "last": [s + chunk >= len(text) for s in some], "text": [text[s : s + chunk] for s in some]})
+                    yield pd.DataFrame({"row": row, "start": some, "text": [text[s : s + chunk] for s in some]})
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(ranks.value, pattern)
         for pdf in batches:
             head, tail = [], []
             for start, text in zip(pdf["start"], pdf["text"]):
-                ends = own.ends(text)
+                ends = list(own.ends(text))
                 head.append([start + e for e in ends if e <= overlap - LOOKAHEAD])
                 # Those near the end of the chunk may have been cut off.
                 tail.append([start + e for e in ends if len(text) - overlap < e <= len(text) - LOOKAHEAD])
             yield pd.DataFrame({"row": pdf["row"], "chunk": [(int(s), h, t) for s, h, t in zip(pdf["start"], head, tail)]})
 
-    spread = rows.select("row", "text").mapInPandas(cut, "row long, start long, last boolean, text string").repartition("row", "start")
-    found = spread.mapInPandas(find, "row long, chunk struct<start: long, head: array<long>, tail: array<long>>")
-    bounds = found.groupBy("row").agg(F.sort_array(F.collect_list("chunk")).alias("chunks"))
-    starts = bounds.select("row", F.udf(lambda xs: stitches([tuple(x) for x in xs]), "array<long>")("chunks").alias("starts"))
-
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = encoder(ranks.value, pattern)
         for pdf in batches:
-            for row, doc_id, text, at in zip(pdf["row"], pdf["doc_id"].array, pdf["text"], pdf["starts"]):
-                at = [int(x) for x in at]
+            for row, doc_id, unnamed, text, chunks in zip(pdf["row"], pdf["id"], pdf["unnamed"], pdf["text"], pdf["chunks"]):
+                at = stitches(text, [(int(c["start"]), [int(e) for e in c["head"]], [int(e) for e in c["tail"]]) for c in chunks], own, chunk)
                 texts = [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]
-                yield pd.DataFrame({"row": row, "doc_id": pd.array([None if pd.isna(doc_id) else int(doc_id)] * len(at), "Int64"), "n_pieces": len(at), "piece": range(len(at)), "text": texts})
+                yield pd.DataFrame({"row": row, "id": doc_id, "unnamed": unnamed, "n_pieces": len(at), "piece": range(len(at)), "text": texts})
 
-    return rows.join(starts, "row").select("row", "doc_id", "text", "starts").mapInPandas(split, "row long, doc_id long, n_pieces int, piece int, text string")
+    spread = rows.select("row", "text").mapInPandas(cut, "row long, start long, text string").repartition("row", "start")
+    found = spread.mapInPandas(find, "row long, chunk struct<start: long, head: array<long>, tail: array<long>>")
+    bounds = found.groupBy("row").agg(F.sort_array(F.collect_list("chunk")).alias("chunks"))
+    cuts = rows.join(bounds, "row").select("row", "id", "unnamed", "text", "chunks")
+    return one, cuts.mapInPandas(split, "row long, id long, unnamed boolean, n_pieces int, piece int, text string").repartition("row", "piece")
 
 
-def encode_documents(docs: DataFrame, ranks, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, piece, ids, decoded): raw ids and decoded bytes. One row a text, but texts longer than a chunk have one for each piece (row tells such texts apart, else null)."""
-    common.small_batches(docs.sparkSession)
-    schema = "row long, doc_id long, n_pieces int, piece int, ids binary, decoded binary"
+def encoded(some: DataFrame, ranks, pattern: str) -> DataFrame:
+    """Pieces with raw ids and decoded bytes instead of their text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("ids binary, decoded binary")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = encoder(ranks.value, pattern)
-        for pdf in batches:
-            ids = [own.encode(t) for t in pdf["text"]]
-            yield pdf.drop(columns="text").assign(ids=ids, decoded=[own.decode(x) for x in ids])
+        for part in texts:
+            ids = [own.encode(t) for t in part]
+            yield pd.DataFrame({"ids": ids, "decoded": [own.decode(x) for x in ids]})
 
-    short = docs.select(F.lit(None).cast("long").alias("row"), "doc_id", F.lit(1).alias("n_pieces"), F.lit(0).alias("piece"), common.text_or_empty().alias("text")).filter(F.length("text") <= chunk)
-    long = pieces(docs, ranks, pattern, chunk, overlap).repartition("row", "piece")
-    return short.mapInPandas(run, schema).unionByName(long.mapInPandas(run, schema))
+    return some.withColumn("bytes", run("text")).select("row", "id", "unnamed", "n_pieces", "piece", "bytes.ids", "bytes.decoded")
 
 
-def digests(docs: DataFrame, ranks, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; the ids themselves stay in the tasks."""
+def named():
+    return F.when(~F.col("unnamed"), F.col("id")).alias("doc_id")
+
+
+def encode_documents(docs: DataFrame, ranks, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(row, doc_id, n_pieces, piece, ids, decoded): raw ids and decoded bytes, a row for each piece. row tells texts of several pieces apart, -1 for others."""
     common.small_batches(docs.sparkSession)
+    one, many = (encoded(x, ranks, pattern) for x in pieces(docs, ranks, pattern, chunk, overlap))
+    return one.unionByName(many).select("row", named(), "n_pieces", "piece", "ids", "decoded")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoder(ranks.value, pattern)
-        for pdf in batches:
-            ids = [own.encode(t) for t in pdf["text"]]
-            yield digest_rows([(i, x, own.decode(x)) for i, x in zip(pdf["doc_id"].array, ids)])
+
+def digests(docs: DataFrame, ranks, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
+    common.small_batches(docs.sparkSession)
+    one, many = (encoded(x, ranks, pattern) for x in pieces(docs, ranks, pattern, chunk, overlap))
 
     def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("piece")
-        return digest_rows([(pdf["doc_id"].array[0], b"".join(pdf["ids"]), b"".join(pdf["decoded"]))])
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoder(ranks.value, pattern)
-        for pdf in batches:
-            ids = [own.encode(t) for t in pdf["text"]]
-            yield pdf[["row", "doc_id", "piece"]].assign(ids=ids, decoded=[own.decode(x) for x in ids])
-
-    text = docs.select("doc_id", common.text_or_empty().alias("text"))
-    short = text.filter(F.length("text") <= chunk).mapInPandas(run, RESULT)
-    long = pieces(docs, ranks, pattern, chunk, overlap).repartition("row", "piece").mapInPandas(encode, "row long, doc_id long, piece int, ids binary, decoded binary")
-    return short.unionByName(long.groupBy("row").applyInPandas(join_up, RESULT))
+        ids, raw = hashlib.sha256(), hashlib.sha256()
+        for x, y in zip(pdf["ids"], pdf["decoded"]):
+            ids.update(x)
+            raw.update(y)
+        return pd.DataFrame({"id": pdf["id"][:1], "unnamed": pdf["unnamed"][:1], "n_tokens": pdf["ids"].map(len).sum() // 4, "ids_sha256": ids.hexdigest(), "decoded_sha256": raw.hexdigest()})
+
+    alone = one.select("id", "unnamed", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    joined = many.groupBy("row").applyInPandas(join_up, "id long, unnamed boolean, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return alone.unionByName(joined).select(named(), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op3_bpe(spark, sf_dir) -> DataFrame:
