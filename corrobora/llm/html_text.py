@@ -4,29 +4,36 @@ A page is a sequence of tokens: tags, told apart by the path of elements that th
 apart by path and content. Pages of one host are made from one template, and a token of the template occurs as often as
 the template says on each page. So tokens are grouped by their occurrence vector over the host's pages: tokens that
 occur equally often on every page form an equivalence class. The vector isn't gathered: each page adds a hash of
-(page, count) to a token's signature by exclusive or, which Spark sums in parts whatever the host's size; equal
-signatures and supports mean equal vectors. Classes with enough support and pages are kept, in the order of their mean
-positions.
-
-On each page a class is valid if its tokens occur equally often there, in the class's order, and if each round of
-them lies within one slot (the gap between two neighbouring tokens) of every larger valid class or encloses it: valid
-classes nest into the template, and text outside its tokens fills slots. Slots are kept if they lie in the article and
-not in an element for something else (menus, headers, footers, sidebars, notices, adverts, forms, comments). Text
-tokens of the template are dropped as the host's own words, in the article too; an article that would lose more than
-half of its text keeps them, as most of the host's pages are then taken for near copies of it.
-
-Words of class, id and role speak against an element, unless it is html or body, and against what it holds, but not
-against an article or main element in it whose own words don't: of these, the ones with the fewest such elements
-around them are the article, so layouts named has-sidebar lose none, and teasers in a section named related give way to
-the page's article. If all have such elements around them, and the blocks outside that nothing speaks against have more
-text, those are taken. On a page without an article or any such block the template's slots decide: of those not in an
-element for something else, the blocks with the fewest such words around them are kept.
+(page, count) to a token's signature, which Spark sums in parts whatever the host's size; equal signatures and supports
+mean equal vectors. Tags on at least two of the host's pages (or on its only one) and on LEAST_SHARE of them are the
+template's; texts only if more than half of the pages have them beyond doubt (one over the root of the pages more than
+half, so a few pages never tell): texts on fewer pages are content that repeats.
+
+On each page a class is valid if its tokens occur equally often there, in the class's order, and if each round of them
+lies within one slot (the gap between two neighbouring tokens) of every larger valid class or encloses it. A class that
+isn't valid on a page is divided into its tokens, which nest as HTML does. Valid classes nest into the page's template;
+the text between its tokens fills slots.
+
+The template says what a slot is for. Only elements whose tags are the template's have a say, for all slots inside
+them: an article or main element, or another with such a name, makes them slots of the article; a name of menus,
+sidebars, notices, adverts, forms, comments and so on speaks against them. An element that one page alone has is part
+of what fills a slot and has no say, whatever its class, id or title; nor have headings, nor the ids of paragraphs and
+their like, whose class must be just such a word. What can't hold an article by its meaning in HTML (nav, aside,
+footer, form, dialog, button, menu, head and hidden elements; header outside an article) is left out like scripts and
+styles. Text tokens of the template are dropped as the host's own words, in the article too; an article that would lose
+more than half of its text keeps them, as most of the host's pages are then taken for near copies of it.
+
+Names speak against an element, unless it is html or body, and against what it holds, but not against an article or
+main element in it whose own names don't: of these, the ones with the fewest such elements around them are the article,
+so layouts named has-sidebar lose none, and teasers in a section named related give way to the page's article. If all
+have such elements around them, and the slots outside that nothing speaks against have more text, those are taken. On a
+page without an article or any such slot, the slots with the fewest such names around them are kept.
 
 Defined cases: null html is an empty page with empty text; a null url, or one without "://", belongs to the host "";
-hosts with fewer than LEAST_PAGES pages have no template, and elements alone decide; pages without an article keep all
-slots that nothing speaks against; unclosed elements end with their parents or the page. Repeated rows are pages of
-their own and get equal texts. An empty table gives no rows. Only page_id, url and html are read, so other columns
-can't clash.
+the tags of a host's only page are all its template's; a page without a template (main_text with none) is one slot and
+keeps all text that HTML lets it; unclosed elements end with their parents or the page; very long pages are read whole,
+one at a time. Repeated rows are pages of their own and get equal texts; a null page_id is kept. An empty table gives no
+rows. Only page_id, url and html are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -42,8 +49,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A host must have so many pages for a template; a class must be on this share of them.
-LEAST_PAGES, LEAST_SUPPORT = 5, 0.5
+#: Share of a host's pages that a tag must be on to be the template's, and half of them for texts. A page's tags being some hundreds, a template has no more than that over LEAST_SHARE, whatever the host's size.
+LEAST_SHARE, HALF = 0.01, 0.5
 #: Sums that a partition holds before it hands them on.
 HELD = 200_000
 #: Templates of at most so many tokens in all are broadcast.
@@ -61,23 +68,27 @@ WALLS = {"article", "aside", "body", "div", "dl", "footer", "form", "header", "h
 #: Elements, and words of class, id and role, that hold something other than the article.
 OTHER_ELEMENTS = {"aside", "button", "dialog", "footer", "form", "head", "menu", "nav", "title"}
 OTHER_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "reply", "respond", "search", "share", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Headings have no say; of these elements, only a class that is one of the words alone.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+TEXT_ELEMENTS = {"blockquote", "caption", "dd", "dt", "figcaption", "figure", "li", "p", "pre", "summary", "td", "th"}
 #: These speak against an element only outside the article.
 HEADER_WORDS = {"header", "masthead"}
 MAIN_WORDS = {"main", "article"}
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S | re.I)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+_ATTRIBUTES = r"""(?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/]){_ATTRIBUTES}(?<=/)>|<({RAW})(?=[\s/>]|\Z){_ATTRIBUTES}(?:>|\Z).*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)|([^<]+|<)", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/=>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    """An open element: path is told by hash; hard: it or one around it can't hold the article; soft: so many have words that speak against them; main: it is in an article, in whose bounds the two count; outer: soft of what is around that."""
+    """An element: its names (classes, id, role), the element around it, and its path, told by hash. Roles are filled in by judge(): hard: it or one around it can't hold the article; soft: so many have names that speak against them; main: it is in an article, in whose bounds the two count; outer: soft of what is around that."""
 
-    __slots__ = ("tag", "path", "hard", "soft", "main", "outer")
+    __slots__ = ("tag", "parent", "path", "names", "hidden", "hard", "soft", "main", "outer")
 
-    def __init__(self, tag: str, path: int, hard: bool, soft: int, main: bool, outer: int):
-        self.tag, self.path, self.hard, self.soft, self.main, self.outer = tag, path, hard, soft, main, outer
+    def __init__(self, tag: str, parent: Node | None, path: int, names: tuple = ((), ()), hidden: bool = False):
+        self.tag, self.parent, self.path, self.names, self.hidden = tag, parent, path, names, hidden
+        self.hard, self.soft, self.main, self.outer = False, 0, False, 0
 
     @property
     def other(self) -> bool:
@@ -85,28 +96,42 @@ class Node:
 
 
 def opened(parent: Node, tag: str, attributes: str) -> Node:
-    words, names = set(), ""
-    if attributes and "=" in attributes:
-        for m in _NAMED.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            words.update(_SPLIT.split(value))
-            names += value + " "
-    path = xxhash.xxh64_intdigest(f"{parent.path}/{tag}.{names}")
-    hard = parent.hard or tag in OTHER_ELEMENTS or bool(attributes and _HIDDEN.search(attributes))
-    spoken = tag not in ("html", "body") and bool(words & OTHER_WORDS)
-    if tag in ("article", "main") and not (parent.main or hard or spoken):
-        return Node(tag, path, False, 0, True, parent.soft)
-    main = parent.main or "main" in words and not parent.other
-    if not main:
-        hard = hard or tag == "header"
-        spoken = spoken or tag not in ("html", "body") and bool(words & HEADER_WORDS)
-    return Node(tag, path, hard, parent.soft + spoken, main, parent.outer)
+    classes, others, hidden = [], [], False
+    if attributes:
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), "".join(values).lower()
+            if name == "class":
+                classes += value.split()
+            elif name in ("id", "role"):
+                others.append(value)
+            elif name == "hidden":
+                hidden = True
+    path = xxhash.xxh64_intdigest(f"{parent.path}/{tag}.{' '.join([*classes, *others])}")
+    return Node(tag, parent, path, (classes, others), hidden)
+
+
+def judge(node: Node, in_template: bool) -> None:
+    """Fills in the roles of an element from those around it and, if its tag is the template's, its own names."""
+    around = node.parent
+    node.hard, node.soft, node.main, node.outer = around.hard or node.hidden or node.tag in OTHER_ELEMENTS, around.soft, around.main, around.outer
+    words, spoken = (), False
+    if in_template and node.tag not in HEADINGS:
+        classes, others = node.names
+        words = set(classes) if node.tag in TEXT_ELEMENTS else {w for name in (*classes, *others) for w in _SPLIT.split(name)}
+        spoken = node.tag not in ("html", "body") and not words.isdisjoint(OTHER_WORDS)
+    if in_template and node.tag in ("article", "main") and not (around.main or node.hard or spoken):
+        node.soft, node.main, node.outer = 0, True, around.soft
+        return
+    node.main = around.main or in_template and not around.other and not MAIN_WORDS.isdisjoint(words)
+    if not node.main:
+        node.hard = node.hard or node.tag == "header"
+        spoken = spoken or bool(words) and node.tag not in ("html", "body") and not HEADER_WORDS.isdisjoint(words)
+    node.soft += spoken
 
 
 def read(page: str) -> Iterator[tuple[int, str | None, Node]]:
     """(token, block of text or None, innermost element) in page order. Inline tags are no tokens; a block's text has its white space made single."""
-    root = Node("", 0, False, 0, False, 0)
-    stack, parts = [root], []
+    stack, parts = [Node("", None, 0)], []
 
     def block():
         text = " ".join(entities.unescape("".join(parts)).split())
@@ -154,58 +179,55 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def host_of(url: str | None) -> str:
-    _, there, rest = (url or "").partition("://")
-    return re.match(r"[^/?#]*", rest)[0].lower() if there else ""
-
-
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, support, signature, place) sums: pages that have the token, exclusive or of hashes of (page, count), and the sum of mean places in the page."""
+    """(host, token, is_text, support, one, two, place) sums: pages that have the token, both halves of hashes of (page, count), and mean places in the page. Token 0 is the page itself."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, int], list] = {}
+        sums: dict[tuple[str, int, bool], list] = {}
 
         def out() -> pd.DataFrame:
-            rows = [(h, signed(t), n, signed(s), p) for (h, t), (n, s, p) in sums.items()]
+            rows = [(h, signed(t), x, *v) for (h, t, x), v in sums.items()]
             sums.clear()
-            return pd.DataFrame(rows, columns=["host", "token", "support", "signature", "place"])
+            return pd.DataFrame(rows, columns=["host", "token", "is_text", "support", "one", "two", "place"])
 
         for pdf in batches:
-            for page_id, url, page in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                host, page = host_of(url), page or ""
-                name = xxhash.xxh64_hexdigest(f"{page_id} {url} {xxhash.xxh64_hexdigest(page)}")
-                counts: dict[int, list] = {}
-                for at, (token, _, _) in enumerate(read(page)):
-                    x = counts.setdefault(token, [0, 0])
+            for name, host, page in zip(pdf["page"], pdf["host"], pdf["html"]):
+                counts: dict[tuple[int, bool], list] = {(0, False): [1, 0]}
+                for at, (token, text, _) in enumerate(read(page or "")):
+                    x = counts.setdefault((token, text is not None), [0, 0])
                     x[0] += 1
                     x[1] += at
-                counts[0] = [1, 0]  # the page itself
-                for token, (n, at) in counts.items():
-                    x = sums.setdefault((host, token), [0, 0, 0.0])
+                for (token, is_text), (n, at) in counts.items():
+                    x = sums.setdefault((host, token, is_text), [0, 0, 0, 0.0])
+                    h = xxhash.xxh64_intdigest(f"{name} {n}")
                     x[0] += 1
-                    x[1] ^= xxhash.xxh64_intdigest(f"{name} {n}")
-                    x[2] += at / n
+                    x[1] += h >> 32
+                    x[2] += h & 0xFFFFFFFF
+                    x[3] += at / n
             if len(sums) > HELD:
                 yield out()
         yield out()
 
-    parts = pages.select("page_id", "url", "html").mapInPandas(run, "host string, token long, support long, signature long, place double")
-    return parts.groupBy("host", "token").agg(F.sum("support").alias("support"), F.bit_xor("signature").alias("signature"), F.sum("place").alias("place"))
+    named = pages.select(F.xxhash64("page_id", "url", "html").alias("page"), common.host_of(F.col("url")).alias("host"), "html")
+    parts = named.mapInPandas(run, "host string, token long, is_text boolean, support long, one long, two long, place double")
+    return parts.groupBy("host", "token", "is_text").agg(*[F.sum(c).alias(c) for c in ("support", "one", "two", "place")])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the kept classes, each token as (class, token) in the order of mean places; larger classes have smaller numbers."""
+    """(host, template): the classes, each token as (class, token) in the order of mean places; larger classes have smaller numbers."""
     found = common.materialise(occurrences(pages))
-    hosts = found.filter("token = 0 AND support >= " + str(LEAST_PAGES)).select("host", F.col("support").alias("pages"))
-    often = common.lookup(found.filter("token <> 0"), hosts, "host").filter(F.col("support") >= LEAST_SUPPORT * F.col("pages"))
+    hosts = found.filter("token = 0 AND NOT is_text").select("host", F.col("support").alias("pages"))
+    share = F.col("support") / F.col("pages")
+    kept = F.when(F.col("is_text"), share >= HALF + 1 / F.sqrt("pages")).otherwise((share >= LEAST_SHARE) & (F.col("support") >= F.least(F.col("pages"), F.lit(2))))
+    often = common.lookup(found.filter("token <> 0"), hosts, "host").filter(kept)
     tokens = F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("support")).alias("place"), "token")))
-    classes = often.groupBy("host", "support", "signature").agg(tokens.alias("tokens"))
+    classes = often.groupBy("host", "support", "one", "two").agg(tokens.alias("tokens"))
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("support")).alias("a"), (-F.size("tokens")).alias("b"), F.transform("tokens", lambda t: t["token"]).alias("tokens"))))
     return classes.groupBy("host").agg(F.transform(ordered, lambda c: c["tokens"]).alias("template"))
 
 
 def valid_places(tokens: list[int], classes) -> tuple[set[int], int]:
-    """Places of tokens that belong to valid classes of this page, and the number of such classes. Classes: larger first."""
+    """Places of tokens that belong to the page's template, and the number of classes that are valid as a whole. Classes: larger first."""
     places: dict[int, list[int]] = {}
     wanted = {t for c in classes for t in c}
     for at, token in enumerate(tokens):
@@ -213,23 +235,23 @@ def valid_places(tokens: list[int], classes) -> tuple[set[int], int]:
             places.setdefault(token, []).append(at)
     template: list[int] = []  # sorted places of the valid classes so far
     valid: list[tuple[list, list[int]]] = []  # rounds and sorted places of each
-    kept, n_valid = set(), 0
+    kept, divided, n_valid = set(), set(), 0
     for members in classes:
-        each = [places.get(t, []) for t in members]
-        rounds = len(each[0])
-        if not rounds or any(len(x) != rounds for x in each):
-            continue
-        spans = [[x[k] for x in each] for k in range(rounds)]
-        flat = [p for s in spans for p in s]
-        if flat != sorted(flat):
+        each = [places[t] for t in members if t in places]
+        if not each:
             continue
+        rounds = len(each[0])
+        flat = [x[k] for k in range(rounds) for x in each] if all(len(x) == rounds for x in each) else [1, 0]
+        spans = [flat[k : k + len(each)] for k in range(0, len(flat), len(each))]
         # Nesting: each round lies within one slot of the template so far, or else this class and each larger one nest one way or the other.
-        if within(spans, template) or all(within(spans, at) or within(own, flat) for own, at in valid):
+        if len(each) == len(members) and flat == sorted(flat) and (within(spans, template) or all(within(spans, at) or within(own, flat) for own, at in valid)):
             kept.update(flat)
             template = sorted(kept)
             valid.append((spans, flat))
             n_valid += 1
-    return kept, n_valid
+        else:
+            divided.update(p for x in each for p in x)
+    return kept | divided, n_valid
 
 
 def within(spans: list[list[int]], places: list[int]) -> bool:
@@ -249,18 +271,21 @@ def main_text(page: str | None, classes=()) -> tuple[str, int, int]:
     """(text, slots that it was taken from, valid classes)."""
     items = list(read(page or ""))
     fixed, n_valid = valid_places([signed(t) for t, _, _ in items], classes) if len(classes) else (set(), 0)
-    levels = {where.outer for _, text, where in items if text is None and where.main and not where.other}
-    blocks, slot = [], 0
+    levels, blocks, slot, seen = set(), [], 0, set()
     for at, (_, text, where) in enumerate(items):
-        if at in fixed:
-            slot += 1
+        slot += at in fixed
         if text is not None:
             blocks.append((slot, text, where, at in fixed))
+        elif where.parent is not None and id(where) not in seen:  # a start tag
+            seen.add(id(where))
+            judge(where, at in fixed)
+            if where.main and not where.other:
+                levels.add(where.outer)
     chars = lambda found: sum(len(x[1]) for x in found)
     own = lambda found: [x for x in found if not x[3]]
     level = min(levels, default=0)
     article = [x for x in blocks if x[2].main and not x[2].other and x[2].outer == level]
-    if level:  # words around it speak against each article
+    if level:  # names around it speak against each article
         rest = own(x for x in blocks if not x[2].main and not x[2].other)
         out = rest if chars(rest) > chars(article) else None
     else:
@@ -283,16 +308,15 @@ def extract(pages: DataFrame) -> DataFrame:
     size = found.agg(F.sum(F.expr("aggregate(template, 0L, (n, c) -> n + size(c))"))).first()[0] or 0
     if size <= BROADCAST_TOKENS:
         found = F.broadcast(found)
-    host = F.udf(host_of, "string", useArrow=True)
-    own = pages.select("page_id", "url", "html", host("url").alias("host")).join(found, "host", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [main_text(page, [list(map(int, c)) for c in t] if t is not None else ()) for page, t in zip(pdf["html"], pdf["template"])]
-            rows = pd.DataFrame([(x[0], len(x[0]), *x[1:]) for x in out], columns=["text", "n_chars", "n_slots", "n_classes"])
-            yield pd.concat([pdf[["page_id", "url"]].reset_index(drop=True), rows], axis=1)
+    @F.pandas_udf("text string, n_chars long, n_slots int, n_classes int")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for htmls, templates_ in batches:
+            out = [main_text(page, [list(map(int, c)) for c in t] if t is not None else ()) for page, t in zip(htmls, templates_)]
+            yield pd.DataFrame([(x[0], len(x[0]), *x[1:]) for x in out], columns=["text", "n_chars", "n_slots", "n_classes"])
 
-    return own.select("page_id", "url", "html", "template").mapInPandas(run, "page_id long, url string, text string, n_chars long, n_slots int, n_classes int")
+    own = pages.select("page_id", "url", "html", common.host_of(F.col("url")).alias("host")).join(found, "host", "left")
+    return own.select("page_id", "url", run("html", "template").alias("out")).select("page_id", "url", "out.*")
 
 
 def op7_html_text(spark, sf_dir) -> DataFrame:
