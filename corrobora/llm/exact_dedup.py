@@ -8,10 +8,15 @@ if its slot holds the same 32 bytes; all others are nonmembers and are grouped a
 Rows are looked up shard by shard, a shard with many rows (a hot digest) in as many salted parts as its count asks for,
 so no task holds more than about PART_ROWS of them.
 
-Defined cases: null text counts as empty; the empty text is a text like any other. Of equal texts the row with the
-largest doc_id stays, a null doc_id below all others. Rows equal in text and doc_id are equally kept (they are one
-document listed twice); `deduplicated` then leaves one of them. An empty table, or an empty history, gives no members.
-Only doc_id and text are read, so other columns can't clash.
+A table without an older history is taken as one and the batch after it, by a hash of doc_id: its one half is indexed,
+the other is looked up there. Repeats add to the size of their group, and may win it; nonmembers are grouped among
+themselves and get an index of their own, through which their rows find their group.
+
+Defined cases: null text counts as empty; the empty text is a text like any other; very long texts are only hashed, by
+Spark. Of equal texts the row with the largest doc_id stays, a null doc_id below all others. Rows equal in text and
+doc_id are equally kept (they are one document listed twice); `deduplicated` then leaves one of them, see
+common.keep_decided. An empty table, or an empty history, gives no members. Only doc_id and text are read, so other
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -35,8 +40,13 @@ INDEX_SCHEMA = "shard int, levels array<int>, bits binary, ranks binary, digests
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, salt): SHA-256 of the text's UTF-8 bytes, and a number that tells rows apart. Written out, so that the numbers stay when tasks are run again."""
-    return common.materialise(docs.select("doc_id", F.unhex(F.sha2(common.text_or_empty(), 256)).alias("digest"), F.monotonically_increasing_id().alias("salt")))
+    """(id, named, digest, salt): the doc_id (0 if it is null, not named; pandas rounds long numbers next to nulls), SHA-256 of the text's UTF-8 bytes, and a number that tells rows apart. Written out, so that the numbers stay when tasks are run again."""
+    doc_id = F.col("doc_id").cast("long")
+    return common.materialise(docs.select(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNotNull().alias("named"), F.unhex(F.sha2(common.text_or_empty(), 256)).alias("digest"), F.monotonically_increasing_id().alias("salt")))
+
+
+def own_id():
+    return F.when(F.col("named"), F.col("id"))
 
 
 def shard_of(n_shards: int):
@@ -95,11 +105,8 @@ def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.empty(len(words), np.int64)
     order[find_slots(words, widths, bits, ranks)] = np.arange(len(words))
     block = np.add.reduceat(bits, np.arange(0, len(bits), 64)) if len(bits) else np.zeros(0, int)
-    ids = pdf["winner"].to_numpy(dtype="float64", na_value=np.nan)
-    known = ~np.isnan(ids)
-    winners = np.zeros(len(words), [("known", "u1"), ("id", "<i8")])
-    winners["known"] = known
-    winners["id"][known] = pdf["winner"][known].astype("int64")
+    winners = np.zeros(len(words), [("named", "u1"), ("id", "<i8")])
+    winners["named"], winners["id"] = pdf["winner_named"], pdf["winner_id"]
     return pd.DataFrame(
         {
             "shard": [int(pdf["shard"].iloc[0])], "levels": [widths], "bits": [np.packbits(bits).tobytes()], "ranks": [(np.cumsum(block) - block).astype("<i8").tobytes()],
@@ -110,19 +117,26 @@ def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def build_index(docs: DataFrame) -> tuple[DataFrame, int]:
     """The index of a history of documents, and its number of shards. One row per shard, bounded by SHARD_DIGESTS or so."""
-    return index_of(digests(docs))
+    return index_of(grouped(digests(docs)))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """(digest, winner, size) of each distinct digest."""
+    return common.materialise(rows.groupBy("digest").agg(F.max(own_id()).alias("winner"), F.count("*").alias("size")))
+
 
+def index_of(groups: DataFrame) -> tuple[DataFrame, int]:
+    n_shards = max(1, -(-groups.count() // SHARD_DIGESTS))
+    given = groups.select("digest", F.coalesce("winner", F.lit(0).cast("long")).alias("winner_id"), F.col("winner").isNotNull().alias("winner_named"), "size", shard_of(n_shards))
+    return common.materialise(given.groupBy("shard").applyInPandas(build_shard, INDEX_SCHEMA)), n_shards
 
-def index_of(rows: DataFrame) -> tuple[DataFrame, int]:
-    distinct = common.materialise(rows.groupBy("digest").agg(F.max("doc_id").cast("long").alias("winner"), F.count("*").alias("size")))
-    n_shards = max(1, -(-distinct.count() // SHARD_DIGESTS))
-    shards = distinct.withColumn("shard", shard_of(n_shards)).groupBy("shard").applyInPandas(build_shard, INDEX_SCHEMA)
-    return common.materialise(shards), n_shards
+
+FOUND = "id long, named boolean, digest binary, salt long, known boolean, winner_id long, winner_named boolean, size long"
 
 
 def look_up(key, rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one part of a shard with the winner and size of the group that its history has, null for nonmembers."""
-    found = pd.DataFrame({"doc_id": rows["doc_id"], "digest": rows["digest"], "winner": pd.array([None] * len(rows), dtype="Int64"), "known": False, "size": 0})
+    """Rows of one part of a shard with the winner and size of the group that its history has; known is false for nonmembers."""
+    found = rows[["id", "named", "digest", "salt"]].assign(known=False, winner_id=np.int64(0), winner_named=False, size=np.int64(0)).reset_index(drop=True)
     if not len(rows) or not len(index):
         return found
     x = index.iloc[0]
@@ -134,42 +148,50 @@ def look_up(key, rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     slots = find_slots(words, list(x["levels"]), bits, ranks)
     member = slots >= 0
     member[member] = (slots_of[slots[member]] == words[member]).all(axis=1)  # byte by byte
-    winners, sizes = np.frombuffer(x["winners"], [("known", "u1"), ("id", "<i8")]), np.frombuffer(x["sizes"], "<i8")
+    winners, sizes = np.frombuffer(x["winners"], [("named", "u1"), ("id", "<i8")]), np.frombuffer(x["sizes"], "<i8")
     at = slots[member]
-    found.loc[member, "size"] = sizes[at]
     found.loc[member, "known"] = True
-    ids = pd.array(winners["id"][at], dtype="Int64")
-    ids[winners["known"][at] == 0] = pd.NA
-    found.loc[member, "winner"] = ids
+    found.loc[member, "winner_id"] = winners["id"][at]
+    found.loc[member, "winner_named"] = winners["named"][at] > 0
+    found.loc[member, "size"] = sizes[at]
     return found
 
 
 def against(rows: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
-    """(doc_id, digest, winner, known, size) of rows of (doc_id, digest, salt), by lookups in the index."""
-    sharded = rows.withColumn("shard", shard_of(n_shards))
-    parts = sharded.groupBy("shard").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
-    salted = common.lookup(sharded, parts, "shard").withColumn("part", F.pmod(F.xxhash64("salt"), F.col("parts")).cast("int")).drop("salt")
+    """(id, named, digest, salt, known, winner, size) of rows of (id, named, digest, salt), by lookups in the index."""
+    sharded = rows.select("id", "named", "digest", "salt", shard_of(n_shards))
+    parts = common.materialise(sharded.groupBy("shard").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")))
+    salted = common.lookup(sharded, parts, "shard").withColumn("part", F.pmod(F.xxhash64("salt"), F.col("parts")).cast("int"))
     copies = common.lookup(index, parts.withColumnRenamed("shard", "of"), F.col("shard") == F.col("of")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("of", "parts")
-    return salted.drop("parts").groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(look_up, "doc_id long, digest binary, winner long, known boolean, size long")
+    found = salted.drop("parts").groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(look_up, FOUND)
+    return found.withColumn("winner", F.when(F.col("winner_named"), F.col("winner_id"))).drop("winner_id", "winner_named")
+
+
+def by_group(found: DataFrame, kept=None) -> DataFrame:
+    kept = own_id().eqNullSafe(F.col("winner")) if kept is None else kept
+    return found.select(own_id().alias("doc_id"), F.col("winner").alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def decide(docs: DataFrame, history: tuple[DataFrame, int] | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of each row of docs.
 
-    Without a history, docs are their own: the index is built from all of them. With one (of build_index), its members
-    are repeats: keep_id is the history's winner and nothing is kept; nonmembers group among themselves.
+    With a history (of build_index), its members are repeats: keep_id is the history's winner and nothing is kept;
+    nonmembers group among themselves. Without one, half of docs is the history of the other half, and groups are those
+    of both.
     """
     rows = digests(docs)
-    found = against(rows, *(history or index_of(rows)))
-    out = ["doc_id", F.col("winner").alias("keep_id"), F.col("size").alias("group_size")]
-    sha = F.lower(F.hex("digest")).alias("text_sha256")
-    if not history:
-        return found.select(*out, F.col("doc_id").eqNullSafe(F.col("winner")).alias("kept"), sha)
-    found = common.materialise(found)
-    fresh = found.filter(~F.col("known")).select("doc_id", "digest")
-    groups = fresh.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("size"))
-    grouped = fresh.join(groups, "digest").select(*out, F.col("doc_id").eqNullSafe(F.col("winner")).alias("kept"), sha)
-    return found.filter("known").select(*out, F.lit(False).alias("kept"), sha).unionByName(grouped)
+    if history:
+        found = common.materialise(against(rows, *history))
+        fresh = found.filter(~F.col("known"))
+        return by_group(found.filter("known"), F.lit(False)).unionByName(by_group(against(fresh, *index_of(grouped(fresh)))))
+    in_past = F.pmod(F.xxhash64(own_id()), F.lit(2)) == 0
+    past = grouped(rows.filter(in_past))
+    found = common.materialise(against(rows.filter(~in_past), *index_of(past)))
+    fresh, repeats = found.filter(~F.col("known")), found.filter("known")
+    more = repeats.groupBy("digest").agg(F.max(own_id()).alias("more_winner"), F.count("*").alias("more"))
+    merged = past.join(more, "digest", "left").select("digest", F.greatest("winner", "more_winner").alias("winner"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+    known = rows.filter(in_past).unionByName(repeats.select(*rows.columns))
+    return by_group(against(known, *index_of(common.materialise(merged)))).unionByName(by_group(against(fresh, *index_of(grouped(fresh)))))
 
 
 def deduplicated(docs: DataFrame, history: tuple[DataFrame, int] | None = None) -> DataFrame:
