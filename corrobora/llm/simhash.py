@@ -14,9 +14,10 @@ fingerprints a leaf, some LEAF_SAMPLE << MAX_DEPTH at most; any tree gives exact
 
 Shards with many homes or queries (clusters of near copies) are cut into parts by their counts, so no task grows with
 a cluster. A part returns a spanning forest of its links, no more rows than it has fingerprints; components are then
-found by min-label hooking and pointer jumping over tables.
+found by min-label hooking and pointer jumping over tables. Rows look their component up by fingerprint, and only those
+fingerprints that have several rows or links are in that table, so no row meets a large component's label.
 
-Defined cases: null text counts as empty; texts without words have fingerprint zero and are linked like others; texts
+Defined cases: null text counts as empty; very long texts are read whole, with some 100 bytes a word in memory; texts without words have fingerprint zero and are linked like others; texts
 with fewer words than a shingle have one shingle, the whole sequence; a null doc_id is in its component, but isn't its
 name unless no other is (then null). Equal texts have equal fingerprints. An empty table gives no rows. Only doc_id and
 text are read, so other columns can't clash.
@@ -200,28 +201,31 @@ def components(edges: DataFrame) -> DataFrame:
             return state
 
 
-def grouped(docs: DataFrame, radius: int, blocks: int, shingle: int) -> DataFrame:
-    """(doc_id, sha, fp, label, component_id) of each row; label names the component among fingerprints."""
+def groups(docs: DataFrame, radius: int, blocks: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sha, fp) of each row, and (fp, winner) of the fingerprints that have several rows or links: the first row of the component, as (unnamed, doc_id, sha). Any other row is its own component."""
     rows = common.materialise(fingerprints(docs, shingle))
-    fps = common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    named = common.materialise(components(links(fps, radius, blocks)).join(fps, "fp"))
-    names = named.groupBy("label").agg(F.min("first").alias("component"))
-    of_fp = fps.join(named.select("fp", "label").join(names, "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component", "first").alias("component_id"))
-    return rows.join(of_fp, "fp")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sha")
+    fps = common.materialise(rows.groupBy("fp").agg(F.min(own).alias("first"), F.count("*").alias("n")))
+    linked = common.materialise(components(links(fps, radius, blocks)).join(fps, "fp").select("fp", "label", "first"))
+    winners = linked.groupBy("label").agg(F.min("first").alias("winner"))
+    of_linked = common.lookup(linked.select("fp", "label"), common.materialise(winners), "label").select("fp", "winner")
+    of_copies = fps.filter("n > 1").join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("winner"))
+    return rows, common.materialise(of_linked.unionByName(of_copies))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row."""
-    return grouped(docs, radius, blocks, shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, winners = groups(docs, radius, blocks, shingle)
+    named = F.when(F.col("winner").isNotNull(), F.col("winner.doc_id")).otherwise(F.col("doc_id"))
+    return common.lookup(rows, winners, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), named.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shingle: int = SHINGLE) -> DataFrame:
-    """The documents, one of each component, with all their columns: the one with the smallest doc_id, of several with it the one whose text has the lowest digest."""
-    rows = common.materialise(grouped(docs, radius, blocks, shingle))
+    """The documents, one of each component, with all their columns: the one with the smallest doc_id, of several with it the one whose text has the lowest digest, then see common.keep_decided."""
+    rows, winners = groups(docs, radius, blocks, shingle)
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sha")
-    winners = rows.groupBy("label").agg(F.min(own).alias("winner"))
-    decided = rows.join(winners, "label").select("doc_id", F.col("sha").alias("text_sha256"), F.col("winner").eqNullSafe(own).alias("kept"))
-    return common.keep_decided(docs, decided)
+    kept = F.col("winner").isNull() | F.col("winner").eqNullSafe(own)
+    return common.keep_decided(docs, common.lookup(rows, winners, "fp", "left").select("doc_id", F.col("sha").alias("text_sha256"), kept.alias("kept")))
 
 
 def op5_simhash(spark, sf_dir) -> DataFrame:
