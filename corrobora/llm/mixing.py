@@ -6,17 +6,15 @@ subset of what a larger one takes. A threshold is found by summing sizes by sour
 in which the running sum crosses the budget, and refining that bucket alone until it holds one hash. The rows are
 filtered by their hashes; nothing is sorted.
 
-Defined cases: null text counts as empty (size 0); null source is a source of its own, the last; null doc_id hashes
+Defined cases: null text counts as empty (size 0), and very long texts count whole; null source is a source of its own, the last; null doc_id hashes
 like the empty string; rows of one source with equal doc_id have equal hashes and are taken alike; a source of size 0
 has target 0; an empty table gives no rows. Only doc_id, source and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -30,10 +28,10 @@ MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
 
 
-@F.pandas_udf(T.LongType())
-def word_count(text: pd.Series) -> pd.Series:
-    """Words of each text; bytes.split() divides at just the six ASCII white-space characters."""
-    return pd.Series([len(t.encode().split()) if t else 0 for t in text], dtype="int64")
+def word_count(text):
+    """Words of a text column: each becomes one character, then what is between them goes."""
+    short = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), common.WORD, "w"), common.SPACE, "")
+    return F.length(short).cast("long")
 
 
 def doc_hash(doc_id):
@@ -42,8 +40,7 @@ def doc_hash(doc_id):
 
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h) of each row, written out: the rounds read these narrow rows, not the texts."""
-    common.small_batches(docs.sparkSession)
-    return common.materialise(docs.select("doc_id", "source", word_count("text").alias("size"), doc_hash(F.col("doc_id")).alias("h")))
+    return common.materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("h")))
 
 
 def source_targets(rows: DataFrame, weights=WEIGHTS, share: float = 1.0, most_copies: int = MOST_COPIES) -> DataFrame:
