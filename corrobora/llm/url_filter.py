@@ -6,8 +6,9 @@ a soft term weighs 1, and repeats of a term count once, so a URL is rejected for
 terms. Allow and block rules of (host, path prefix) come before the vocabulary; the longest that fits decides.
 
 Defined cases: a null URL, or one without "://", has an empty host and path, no rule fits it, and its verdict is that
-of the vocabulary on whatever text there is (allow for null or empty). Equal URLs get equal verdicts. An empty table
-gives no rows. Only page_id and url are read, so other columns can't clash.
+of the vocabulary on whatever text there is (allow for null or empty). Very long URLs are read whole. Equal URLs get
+equal verdicts; a null page_id is kept. An empty table gives no rows. Only page_id and url are read, so other columns
+can't clash. An empty vocabulary blocks nothing.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: The vocabulary: fixed values of this library.
+#: The vocabulary by default; load_vocabulary reads larger ones.
 STRICT = ("adult", "casino", "porn", "porno", "sex", "xxx", "viagra", "escort", "hentai", "nsfw")
 SOFT = ("ads", "bet", "bets", "betting", "bonus", "cheap", "click", "deal", "deals", "farm", "free", "gambling", "jackpot", "lottery", "pill", "pills", "poker", "popup", "promo", "seo", "spam", "track", "tracker", "win")
 #: Distinct soft terms that reject a URL; a strict term weighs as much.
@@ -41,8 +42,21 @@ def automaton(strict=STRICT, soft=SOFT, limit: int = SOFT_LIMIT):
     return found
 
 
+def load_vocabulary(spark: SparkSession, path: str, most: int = 1_000_000) -> tuple[list[str], list[str]]:
+    """(strict, soft) terms of a tab-separated file of (term, strict or soft). It is sent to all tasks, so more than `most` terms are an error."""
+    rows = spark.read.csv(path, sep="\t", schema="term string, kind string").filter("term IS NOT NULL").distinct()
+    rows = rows.select(F.lower("term").alias("term"), "kind").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary of more than {most} terms")
+    if unknown := sorted({str(r["kind"]) for r in rows} - {"strict", "soft"}):
+        raise ValueError(f"unknown kinds of terms: {unknown[:5]}")
+    return tuple(sorted({r["term"] for r in rows if r["kind"] == kind}) for kind in ("strict", "soft"))
+
+
 def weight(url: str, terms) -> int:
     """The summed weights of the distinct terms that stand between boundaries in url."""
+    if not len(terms):
+        return 0
     low = url.lower()
     hits = {}
     for end, (term, w) in terms.iter(low):
@@ -86,18 +100,19 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, limit: i
         host, _, path = rule.partition("/")
         by_host.setdefault(host, []).append(("/" + path, verdict))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("host string, path string, rule string, verdict string, weight int")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         terms = automaton(strict, soft, limit)
-        for pdf in batches:
+        for urls in batches:
             out = []
-            for url in pdf["url"]:
+            for url in urls:
                 host, path = split_url(url)
                 rule, verdict = rule_for(host, path, by_host)
                 w = weight(url or "", terms)
                 out.append((host, path, rule, verdict or ("block" if w >= limit else "allow"), w))
-            yield pd.concat([pdf[["page_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["host", "path", "rule", "verdict", "weight"])], axis=1)
+            yield pd.DataFrame(out, columns=["host", "path", "rule", "verdict", "weight"])
 
-    return pages.select("page_id", "url").mapInPandas(judge, "page_id long, host string, path string, rule string, verdict string, weight int")
+    return pages.select("page_id", judge(F.col("url").cast("string")).alias("out")).select("page_id", "out.*")
 
 
 def op9_url_filter(spark, sf_dir) -> DataFrame:
