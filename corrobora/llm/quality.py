@@ -2,23 +2,27 @@
 
 The words of a text are numbered and their suffix array is built by prefix doubling: the rank of each suffix by its
 first 1, 2, 4, ... words. The kept ranks give the longest common prefix of neighbours in the array from the highest
-power down. Runs of neighbours that share at least m words are the LCP intervals; each names a repeated substring with
-all its places. The spans of the maximal ones are united: the share of words that they cover, and the longest, are
-limited. Both passes are sorts and comparisons of whole numpy arrays, and cover the whole text.
+power down. Neighbours that share m words make an LCP interval: a repeated substring with all its places. Intervals
+nest, and the innermost around a suffix is as deep as the larger of the common prefixes with its two neighbours: that
+is the longest repeated substring that starts there. The union of the spans of all maximal repeats is the union of
+these, so intervals aren't listed (a text of one repeated word has as many as words, nested): the share of words that
+repeats of at least REPEAT_WORDS words cover, and the longest, are limited. Both passes are sorts and comparisons of
+whole numpy arrays, and cover the whole text.
 
 Defined cases: null and empty texts have no words, no repeats, fail the base rule (fewer than 20 words) and aren't
-kept; texts in which every word is the same are covered wholly. Equal texts get equal results. An empty table gives no
-rows. Only doc_id and text are read, so other columns can't clash.
+kept; very long texts are rated whole, with some 40 bytes a word and power of two up to the longest repeat in memory;
+texts in which every word is the same are covered wholly. Equal texts get equal results; a null doc_id is kept. An
+empty table gives no rows. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -31,7 +35,7 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 #: The method's limits: words that make a repeat worth counting, share of words that such repeats cover, words of the longest.
 REPEAT_WORDS, MOST_COVERED, LONGEST_REPEAT = 12, 0.2, 50
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered long, longest_repeat long, longest_at long"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered long, longest_repeat long, longest_at long"
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 
@@ -67,23 +71,6 @@ def longest_from(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return longest
 
 
-def maximal_repeats(ids: np.ndarray, least: int) -> list[tuple[int, list[int]]]:
-    """(words, places) of each LCP interval of at least `least` words that can't be extended to the left."""
-    order, lcp = suffix_array(ids)
-    found, open_ = [], []  # open intervals: (words, first place in the order)
-    for at in range(len(lcp) + 1):
-        now, first = (int(lcp[at]) if at < len(lcp) else 0), at - 1
-        while open_ and open_[-1][0] > now:
-            words, first = open_.pop()
-            places = sorted(int(x) for x in order[first:at])
-            before = {int(ids[p - 1]) if p else None for p in places}
-            if words >= least and (len(before) > 1 or None in before):
-                found.append((words, places))
-        if now and (not open_ or open_[-1][0] < now):
-            open_.append((now, first))
-    return found
-
-
 def covered(starts: np.ndarray, lengths, n: int) -> int:
     """Positions in the union of spans."""
     edges = np.zeros(n + 1, np.int64)
@@ -120,15 +107,13 @@ def measure(text: str | None) -> tuple:
 def rate(docs: DataFrame) -> DataFrame:
     """The base counts, the verdicts, and the covered words, longest repeat and its first word's place, by document."""
     common.small_batches(docs.sparkSession)
-    names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = pd.DataFrame([measure(t) for t in pdf["text"]], columns=names)
-            rows.insert(0, "doc_id", pdf["doc_id"].array)
-            yield rows
+    @F.pandas_udf(SCHEMA)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(t) for t in texts], columns=names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.select("doc_id", run(F.col("text").cast("string")).alias("out")).select("doc_id", "out.*")
 
 
 def op10_quality(spark, sf_dir) -> DataFrame:
