@@ -8,7 +8,8 @@ trained in numpy with the non-negative estimator of the risk:
 where pi is the class prior. When the second term, the risk on the unseen negatives, falls below zero, the classifier
 has begun to fit the unlabelled set itself, and the step goes against that term. Steps take the unlabelled texts in
 small batches; the mean of the later half of the steps is the classifier. Its bias is then moved to where the same
-estimator, with the zero-one loss for l, is least, so that a score of 0.5 parts the classes.
+estimator, with the zero-one loss for l, is least, halfway to the next text below, so that a score of 0.5 parts the
+classes.
 
 Features are words and beginnings of words (PREFIXES characters), each at several LEVELS: whether a text has it so many
 times. Those that the positives have more often than chance allows are used (Chernoff's bound on a Poisson count, with
@@ -160,7 +161,9 @@ def train(positive, unlabelled, n_columns: int, prior: float, seed: int = 0) ->
     gu = np.bincount(np.repeat(np.arange(len(unlabelled)), np.diff(u_ends)), w[u_columns], len(unlabelled)) + w[-1]
     cuts = np.unique(gp)
     missed, marked_u = np.searchsorted(np.sort(gp), cuts, "left") / len(gp), 1 - np.searchsorted(np.sort(gu), cuts, "left") / len(gu)
-    w[-1] -= cuts[np.argmin(prior * missed + np.maximum(0.0, marked_u - prior * (1 - missed)))]
+    cut = cuts[np.argmin(prior * missed + np.maximum(0.0, marked_u - prior * (1 - missed)))]
+    below = np.concatenate((gp[gp < cut], gu[gu < cut]))
+    w[-1] -= (cut + below.max()) / 2 if len(below) else cut - 1
     return w
 
 

@@ -37,7 +37,7 @@ def empty(df):
 
 def clashing(df):
     """Columns with names that operators use."""
-    names = ("size", "h", "fp", "digest", "shard", "part", "row", "score", "label", "kept", "copies", "target", "sha", "id", "winner")
+    names = ("size", "h", "fp", "digest", "shard", "part", "row", "score", "label", "kept", "copies", "target", "sha", "id", "winner", "out", "maybe", "tied", "named", "bytes")
     return df.withColumns({n: F.lit("clash") for n in names})
 
 
@@ -103,13 +103,34 @@ def test_toxicity_is_learned_from_positives_and_unlabelled(spark):
     assert clean.columns == docs.columns and clean.count() == sum(1 - r["predicted"] for r in got)
 
 
+def brute_risk(w, positive, unlabelled, prior):
+    g = lambda x: w[-1] + sum(w[c] for c in x)
+    loss = lambda z: np.log1p(np.exp(-z))
+    mean = lambda xs: sum(xs) / len(xs)
+    return prior * mean([loss(g(x)) for x in positive]) + max(0.0, mean([loss(-g(x)) for x in unlabelled]) - prior * mean([loss(-g(x)) for x in positive]))
+
+
 def test_non_negative_step_keeps_the_unseen_risk_up():
     rng = np.random.default_rng(0)
     n, hidden = 400, 60  # 60 of the unlabelled are positives
-    columns = np.concatenate([np.zeros(100 + hidden, int), rng.integers(1, 6, n - hidden)])
-    positive = np.arange(n + 100) < 100
-    w = toxicity.train(np.arange(n + 100), columns, positive, ~positive, 6, hidden / n)
-    assert toxicity.sigmoid(w[0] + w[-1]) > 0.8 and all(toxicity.sigmoid(w[k] + w[-1]) < 0.3 for k in range(1, 6))
+    positive = [[0]] * 100
+    unlabelled = [[0]] * hidden + [[int(c)] for c in rng.integers(1, 6, n - hidden)]
+    w = toxicity.train(positive, unlabelled, 6, hidden / n)
+    assert w[0] + w[-1] >= 0 and all(w[k] + w[-1] < -1 for k in range(1, 6))
+    least = brute_risk(w, positive, unlabelled, hidden / n)
+    for k in (0, 1):  # no large step along a weight betters the estimator
+        for step in (-2.0, 2.0):
+            assert least <= brute_risk(w + step * np.eye(7)[k], positive, unlabelled, hidden / n) + 0.05
+
+
+def test_toxicity_is_the_same_for_any_partitions(spark):
+    rng = random.Random(12)
+    rows = [(i, words(rng, 30) + (" vile rotten" if i % 4 == 0 else "") + (" rottenness" * (i % 3)), "s") for i in range(600)]
+    rows += [(1000 + k, rows[k % 8][1], "s") for k in range(300)]  # copies, toxic and not
+    docs, labels = docs_of(spark, rows), spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int")
+    one = toxicity.fit(docs, labels)
+    other = toxicity.fit(docs.orderBy(F.desc("doc_id")).coalesce(1), labels.repartition(5))
+    assert one.features.columns == other.features.columns and (one.weights == other.weights).all() and len(one.weights) > 2
 
 
 def test_toxicity_of_odd_rows(spark, odd):
@@ -159,17 +180,34 @@ def test_stitched_chunks_encode_alike(vocabulary):
     for _ in range(1500):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80)))
         chunk, overlap = rng.choice([(12, 6), (20, 8), (9, 5)])
-        chunks = []
-        for s in bpe.chunk_starts(len(text), chunk, overlap):
-            part = text[s : s + chunk]
-            ends = own.ends(part)
-            chunks.append((s, [s + e for e in ends if e <= overlap - bpe.LOOKAHEAD], [s + e for e in ends if len(part) - overlap < e <= len(part) - bpe.LOOKAHEAD]))
-        at = bpe.stitches(chunks)
+        at = stitched(own, text, chunk, overlap)
+        assert at == sorted(set(at))
         ids = b"".join(own.encode(text[a:b]) for a, b in zip(at, [*at[1:], len(text)]))
         assert list(memoryview(ids).cast("I")) == library.encode_ordinary(text)
         assert own.decode(ids) == text.encode()
 
 
+def stitched(own, text, chunk, overlap):
+    chunks = []
+    for s in bpe.chunk_starts(len(text), chunk, overlap):
+        part = text[s : s + chunk]
+        ends = list(own.ends(part))
+        chunks.append((s, [s + e for e in ends if e <= overlap - bpe.LOOKAHEAD], [s + e for e in ends if len(part) - overlap < e <= len(part) - bpe.LOOKAHEAD]))
+    return bpe.stitches(text, chunks, own, chunk)
+
+
+@pytest.mark.parametrize("run, least", [(" " * 800, 36), ("x" * 800, 36), ("\n" * 900, 36), ("y" * 20_000, 36), (" " * 20_000, 36)])
+def test_stitching_goes_on_after_overlaps_without_a_boundary(vocabulary, run, least):
+    with open(vocabulary.path("byte_bpe_50k.tiktoken")) as f:
+        own = bpe.Encoder(f.read(), vocabulary.PATTERN)
+    rng = random.Random(13)
+    text = words(rng, 900) + run + words(rng, 24_000) + run + words(rng, 24_000)
+    at = stitched(own, text, 6553, 409)
+    assert len(at) >= least
+    ids = b"".join(own.encode(text[a:b]) for a, b in zip(at, [*at[1:], len(text)]))
+    assert list(memoryview(ids).cast("I")) == reference(vocabulary).encode_ordinary(text)
+
+
 # Chat
 
 
@@ -202,9 +240,22 @@ def test_chat_parts(spark):
 def test_chat_of_odd_rows(spark):
     rows = [(1, 0, None, None), (1, 0, "user", None), (1, None, "user", "x"), (None, 2, "assistant", "y"), (None, 2, "assistant", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("body", F.lit(1)).withColumn("attachments", F.lit(2))
-    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    df = df.withColumn("parts", F.lit(3))
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(chat.render(chat.with_parts(df)))).collect()}
     assert got[1]["n_turns"] == 3 and got[None]["n_turns"] == 2 and got[None]["loss_chars"] == 2
     assert chat.format_conversations(df.limit(0)).count() == 0
+    assert chat.read_back(chat.format_turns(chat.render(chat.text_parts(df.limit(0))))).count() == 0
+
+
+def test_chat_pieces_of_a_long_conversation(spark):
+    rows = [(1, n, "assistant" if n % 2 else "user", f"turn {n} <") for n in range(3000)] + [(2, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(chat.render(chat.text_parts(df)))).collect()}
+    said = "".join(f"{r}\n{t}\n" for c, _, r, t in rows if c == 1)
+    loss = "".join(t for c, _, r, t in rows if c == 1 and r == "assistant")
+    assert got[1]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[1]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[1]["n_turns"] == 3000
+    whole = chat.format_conversations(df).filter("conv_id = 1").first()
+    assert len(whole["formatted"]) == got[1]["formatted_chars"] and len(whole["loss_spans"]) == 1500
 
 
 # SimHash
@@ -292,6 +343,27 @@ def test_history_takes_members_and_leaves_the_rest(spark, monkeypatch):
     assert exact_dedup.deduplicated(new, exact_dedup.build_index(old)).count() == 40
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_exact_dedup_against_brute_force(spark, monkeypatch, broadcast):
+    from corrobora.llm import common
+
+    monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 20)
+    monkeypatch.setattr(exact_dedup, "PART_ROWS", 15)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)  # 0: bitmaps and shuffled joins
+    rng = random.Random(14)
+    rows = [(i, f"text {rng.randrange(120)}" if i % 3 else "hot", f"s{i % 7}") for i in range(600)] + [(5000, "twice", "b"), (5000, "twice", "a"), (5001, None, "c"), (5001, "", "b")]
+    docs = docs_of(spark, rows)
+    best, size = {}, {}
+    for i, t, _ in rows:
+        best[t or ""] = max(best.get(t or "", -1), i)
+        size[t or ""] = size.get(t or "", 0) + 1
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.decide(docs).collect())
+    assert got == sorted((i, best[t or ""], size[t or ""], i == best[t or ""]) for i, t, _ in rows)
+    kept = [sorted((r["doc_id"], r["text"], r["source"]) for r in exact_dedup.deduplicated(docs.repartition(n)).collect() if r["text"] is not None) for n in (1, 3, 7)]
+    assert kept[0] == kept[1] == kept[2] and (5000, "twice", "a") in kept[0] and (5000, "twice", "b") not in kept[0]
+    assert exact_dedup.deduplicated(docs).count() == len(best)
+
+
 def test_exact_dedup_of_odd_rows(spark, odd):
     got = exact_dedup.decide(clashing(odd)).collect()
     empties = [r for r in got if r["text_sha256"] == hashlib.sha256(b"").hexdigest()]
@@ -310,7 +382,7 @@ def page(host, n, body, more=""):
 
 def texts(spark, rows):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
-    return {r["page_id"]: r for r in html_text.extract(df.withColumn("text", F.lit("clash"))).collect()}
+    return {r["page_id"]: r for r in html_text.extract(df.withColumns({c: F.lit("clash") for c in ("text", "host", "template", "out", "page")})).collect()}
 
 
 def test_html_main_text(spark):
@@ -335,9 +407,39 @@ def test_html_template_decides_inside_articles(spark):
 
 
 def test_html_classes_nest_also_with_one_round():
-    # 1 to 3 are on all pages, 7 and 8 interleave with them, 5 and 6 lie in one slot, 4 and 9 enclose them.
-    assert html_text.valid_places([1, 7, 2, 5, 6, 3, 8], [[1, 2, 3], [7, 8], [5, 6]]) == ({0, 2, 3, 4, 5}, 2)
+    # 1 to 3 are on all pages, 7 and 8 interleave with them, 5 and 6 lie in one slot, 4 and 9 enclose them. Classes that aren't valid are divided.
+    assert html_text.valid_places([1, 7, 2, 5, 6, 3, 8], [[1, 2, 3], [7, 8], [5, 6]]) == ({0, 1, 2, 3, 4, 5, 6}, 2)
     assert html_text.valid_places([4, 1, 2, 3, 9], [[1, 2, 3], [4, 9]]) == ({0, 1, 2, 3, 4}, 2)
+    assert html_text.valid_places([4, 1, 2, 3, 9], [[1, 3], [8]]) == ({1, 3}, 1)
+
+
+def test_html_classes_against_literal_occurrence_vectors(spark):
+    rng = random.Random(15)
+    rows = []
+    for n in range(40):
+        host = f"h{n % 3}.com"
+        body = "<article>" + "".join(f"<p>Said {rng.randrange(10**6)}</p>" for _ in range(rng.randrange(4))) + ("<p>Same on most.</p>" if n % 7 else "") + "</article>"
+        rows.append(page(host, n, body, "<div class=ad>x</div>" if n % 2 else ""))
+    rows.append(rows[0])  # a repeated row is a page of its own
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["host"]: {frozenset(c) for c in r["template"]} for r in html_text.templates(df).collect()}
+    for host in got:
+        own = [list(html_text.read(h)) for _, u, h in rows if host in u]
+        vectors = {}
+        for k, items in enumerate(own):
+            for token, text, _ in items:
+                vectors.setdefault((html_text.signed(token), text is not None), [0] * len(own))[k] += 1
+        n, classes = len(own), {}
+        for (token, is_text), v in vectors.items():
+            support = sum(x > 0 for x in v)
+            if support >= n * (0.5 + n**-0.5) if is_text else support >= max(2, 0.01 * n):
+                classes.setdefault(tuple(v), set()).add(token)
+        assert got[host] == {frozenset(c) for c in classes.values()}
+
+
+def alone(html):
+    """main_text of the only page of its host: its tags are the template."""
+    return html_text.main_text(html, [[html_text.signed(t) for t, text, _ in html_text.read(html) if text is None]])[0]
 
 
 @pytest.mark.parametrize(
@@ -351,12 +453,33 @@ def test_html_classes_nest_also_with_one_round():
     ],
 )
 def test_html_layout_words_around_the_article(before, after):
-    assert html_text.main_text(f"<html class=no-share><body class='has-sidebar'>{before}<article><p>The story.</p><div class=ad>Buy</div></article>{after}</body></html>")[0] == "The story."
+    assert alone(f"<html class=no-share><body class='has-sidebar'>{before}<article><p>The story.</p><div class=ad>Buy</div></article>{after}</body></html>") == "The story."
 
 
 def test_html_words_still_speak_against_their_own_elements():
-    assert html_text.main_text("<body><p>A story of some length.</p><div id=comments><article>First!</article></div></body>")[0] == "A story of some length."
-    assert html_text.main_text("<body><article>Story.</article><article class=comment>First!</article><aside><article>Ad</article></aside></body>")[0] == "Story."
+    assert alone("<body><p>A story of some length.</p><div id=comments><article>First!</article></div></body>") == "A story of some length."
+    assert alone("<body><article>Story.</article><article class=comment>First!</article><aside><article>Ad</article></aside></body>") == "Story."
+
+
+def test_html_names_and_titles_leave_headings_and_paragraphs(spark):
+    inside = "<h2 id='search-results'>Search results</h2><h2 id=comments-on-style class=comments>On style</h2><p class='related-work'>Related.</p><p class='lead notice-period'>Notice.</p><h2 title='The hidden cost of tea'>Tea</h2><p><img alt=\"5\" disk\" src=x>Shown.</p><p class=ad>Buy</p><p hidden>no</p>"
+    want = "Search results\n\nOn style\n\nRelated.\n\nNotice.\n\nTea\n\nShown."
+    assert alone(f"<body><nav>Home</nav><article>{inside}</article></body>") == want
+    body = "<article><p>Story {n} that is long enough to be most of what its page says, told anew.</p>{x}</article>"
+    one = "<div class='share widget'>Only here {n}</div>"
+    got = texts(spark, [page("g.com", n, body.replace("{x}", one if n == 3 else "<div class=promo>Buy {n}</div>").replace("{n}", str(n))) for n in range(8)])
+    assert all(r["text"].endswith("told anew.") for n, r in got.items() if n != 3) and got[3]["text"].endswith("Only here 3")
+
+
+def test_html_template_decides_most_pages(spark):
+    rows = [page("i.com", n, f"<div class=ad>Buy {n}</div><article><p>Story {n}</p></article>") for n in range(8)]
+    assert all(r["text"] == f"Story {n}" for n, r in texts(spark, rows).items())
+    assert all(html_text.main_text(h)[0] == f"Buy {n}\n\nStory {n}" for n, _, h in rows)
+
+
+def test_html_long_pages_are_linear():
+    for bad in ("<a " * 200_000, "<p title=\"" * 100_000, "<" * 200_000, "<!--" * 100_000, "<script" * 50_000, "<div class='x" * 50_000):
+        html_text.main_text(bad)
 
 
 def test_html_slots_decide_under_layout_words(spark):
@@ -397,6 +520,21 @@ def test_shards_are_near_equal(spark):
     assert len(by) == 24 and max(sizes) - min(sizes) <= 2 * max(r["size"] for r in got)
 
 
+def test_splitters_against_sorted_prefix_sums(spark):
+    rng = random.Random(16)
+    docs = docs_of(spark, [(i, "hot" if i % 3 == 0 else words(rng, rng.randint(0, 50), 40), "s") for i in range(900)] + [(5000, words(rng, 4000), "s")])  # one row is larger than a shard
+    rows = sorted((r["h"], r["id"], r["size"]) for r in sharding.measured(docs).collect())
+    bounds, parts = sharding.find_splitters(sharding.measured(docs))
+    assert parts == 1
+    total, at = sum(r[2] for r in rows), 0
+    sums = np.cumsum([0] + [r[2] for r in rows])
+    for k, b in enumerate(bounds, 1):
+        below = sum(1 for h, i, _ in rows if (h, i) < b.splitter)
+        assert b.counts == (sums[below], below)
+        wanted = total * k / 24
+        assert abs(sums[below] - wanted) <= min(abs(x - wanted) for x in sums) + sharding.TOLERANCE * total / 24
+
+
 def test_shards_of_many_parts_keep_slots_gapless(spark, monkeypatch):
     rng = random.Random(7)
     docs = docs_of(spark, [(i % 90, words(rng, rng.randint(0, 9), 30), "s") for i in range(900)])
@@ -430,6 +568,19 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_vocabulary_from_a_file(spark, tmp_path):
+    path = tmp_path / "terms.tsv"
+    path.write_text("Roulette\tstrict\nwin\tsoft\nspin\tsoft\nspin\tsoft\n")
+    strict, soft = url_filter.load_vocabulary(spark, str(path))
+    assert (strict, soft) == (["roulette"], ["spin", "win"])
+    df = spark.createDataFrame([(1, "http://a.fr/roulette"), (2, "http://a.fr/win"), (3, "http://a.fr/win/spin"), (4, "http://a.fr/casino"), (5, "http://a.fr/" + "x" * 200_000 + "/roulette")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(df, (), strict, soft).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "block"}
+    assert url_filter.judge_urls(df, (), (), ()).filter("verdict = 'block'").count() == 0
+    path.write_text("x\thard\n")
+    with pytest.raises(ValueError, match="kinds"):
+        url_filter.load_vocabulary(spark, str(path))
+
+
 # Quality
 
 
@@ -454,10 +605,40 @@ def test_suffix_array_against_all_pairs():
         assert list(order) == sorted(range(len(ids)), key=lambda i: ids[i:])
         longest = brute_repeats(ids)
         assert list(quality.longest_from(order, lcp)) == longest
-        union = {x for w, places in quality.maximal_repeats(np.array(ids, dtype=np.int64), 3) for p in places for x in range(p, p + w)}
+        union = {x for w, places in maximal_repeats(order, lcp, ids, 3) for p in places for x in range(p, p + w)}
         assert union == {x for p, w in enumerate(longest) if w >= 3 for x in range(p, p + w)}
 
 
+def maximal_repeats(order, lcp, ids, least):
+    """(words, places) of each LCP interval, listed one by one, of at least `least` words that can't be extended to the left."""
+    found, open_ = [], []  # open intervals: (words, first place in the order)
+    for at in range(len(lcp) + 1):
+        now, first = (int(lcp[at]) if at < len(lcp) else 0), at - 1
+        while open_ and open_[-1][0] > now:
+            n, first = open_.pop()
+            places = sorted(int(x) for x in order[first:at])
+            before = {ids[p - 1] if p else None for p in places}
+            if n >= least and (len(before) > 1 or None in before):
+                found.append((n, places))
+        if now and (not open_ or open_[-1][0] < now):
+            open_.append((now, first))
+    return found
+
+
+def test_quality_base_against_brute_windows():
+    rng = random.Random(17)
+    for _ in range(200):
+        lines = [" ".join(f"w{rng.randrange(3)}" for _ in range(rng.randint(0, 12))) for _ in range(4)]
+        text = "\n".join(rng.choice(lines + ["#a *", " \t", ""]) for _ in range(rng.randint(0, 9)))
+        w, space = text.split(), " \t\n\v\f\r"
+        windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        twice = {x for i, v in enumerate(windows) if windows.count(v) > 1 for x in range(i, i + 8)}
+        split = text.split("\n")
+        dup = sum(1 for i, x in enumerate(split) if x.strip(space) and x in split[:i])
+        got = quality.measure(text)
+        assert got[:6] == (len(w), sum(map(len, w)), sum(c in quality.SYMBOLS for c in text), dup, len(twice), len(w) < 20 or 100 * len(twice) > 30 * len(w))
+
+
 def test_quality_base_and_verdicts(spark):
     rng = random.Random(10)
     fresh = " ".join(f"u{k}" for k in range(300))
@@ -474,3 +655,22 @@ def test_quality_of_odd_rows(spark, odd):
     got = quality.rate(clashing(odd)).collect()
     assert len(got) == odd.count() and not any(r["kept"] for r in got if not r["n_words"])
     assert quality.rate(empty(odd)).count() == 0
+
+
+# Long numbers next to nulls
+
+
+def test_large_and_null_ids_stay_as_they_are(spark, vocabulary):
+    big = [2**60 + 1, None, 2**60 + 3, -(2**62) - 1]
+    docs = spark.createDataFrame([(i, f"text {k} of some words", "en", "s", 1) for k, i in enumerate(big)], DOC).coalesce(1)
+    pages = spark.createDataFrame([(i, f"http://a.com/{k}", f"<article>{k}</article>") for k, i in enumerate(big)], "page_id long, url string, html string").coalesce(1)
+    turns = spark.createDataFrame([(i, 2**60 + 5 if k else None, "user", "x") for k, i in enumerate(big)], "conv_id long, turn long, role string, text string").coalesce(1)
+    labels = spark.createDataFrame([(2**60 + 1, 1, 1)], "doc_id long, quality int, toxic int")
+    ranks = bpe.load_ranks(spark, vocabulary.path("byte_bpe_50k.tiktoken"))
+    results = [
+        (mixing.mix(docs), "doc_id"), (toxicity.score(docs, toxicity.fit(docs, labels)), "doc_id"), (bpe.digests(docs, ranks, vocabulary.PATTERN), "doc_id"), (bpe.digests(docs, ranks, vocabulary.PATTERN, 12, 6), "doc_id"),
+        (bpe.encode_documents(docs, ranks, vocabulary.PATTERN), "doc_id"), (chat.read_back(chat.format_turns(chat.render(chat.text_parts(turns)))), "conv_id"), (chat.format_conversations(turns), "conv_id"), (simhash.near_duplicates(docs), "doc_id"),
+        (exact_dedup.decide(docs), "doc_id"), (exact_dedup.decide(docs), "keep_id"), (exact_dedup.decide(docs, exact_dedup.build_index(docs)), "keep_id"), (html_text.extract(pages), "page_id"), (sharding.assign(docs), "doc_id"), (url_filter.judge_urls(pages), "page_id"), (quality.rate(docs), "doc_id"),
+    ]
+    for df, name in results:
+        assert sorted(map(str, (r[name] for r in df.collect()))) == sorted(map(str, big)), df.columns
