@@ -11,7 +11,7 @@ small batches; the mean of the later half of the steps is the classifier. Its bi
 estimator, with the zero-one loss for l, is least, halfway to the next text below, so that a score of 0.5 parts the
 classes.
 
-Features are words and beginnings of words (PREFIXES characters), each at several LEVELS: whether a text has it so many
+Features are words, and beginnings of words (PREFIXES characters) at several LEVELS: whether a text has it so many
 times. Those that the positives have more often than chance allows are used (Chernoff's bound on a Poisson count, with
 the expectation from all unlabelled texts); what isn't over-represented counts against toxicity by the bias alone.
 
@@ -46,7 +46,7 @@ from . import common
 
 #: Labelled positives that are learned from.
 MAX_POSITIVE = 5_000
-#: Lengths of the beginnings of longer words; times that a text has a word or beginning.
+#: Lengths of the beginnings of longer words; times that a text has a beginning.
 PREFIXES, LEVELS = (5, 6), (1, 2, 4, 8, 16)
 #: Positives that must have a feature; how unlikely its count there must be by chance: so many nats beyond one false find among all features tried (below 0: some false finds, which training weighs down).
 LEAST_DOCUMENTS, SURPRISE = 3, -3.0
@@ -71,6 +71,10 @@ def keys_of(word: str) -> list[str]:
     return [word, *("^" + word[:q] for q in PREFIXES if len(word) > q)]
 
 
+def levels_of(key: str) -> tuple[int, ...]:
+    return LEVELS if key[0] == "^" else LEVELS[:1]
+
+
 @dataclass
 class Features:
     """columns: by key, the column of each of its levels, -1 where a level isn't used."""
@@ -90,7 +94,7 @@ class Features:
                 keys = known[word] = [k for k in keys_of(word) if k in columns]
             for k in keys:
                 counts[k] = counts.get(k, 0) + n
-        return sorted(c for k, n in counts.items() for c, level in zip(columns[k], LEVELS) if n >= level and c >= 0)
+        return sorted([c for k, n in counts.items() for c, level in zip(columns[k], LEVELS) if n >= level and c >= 0])
 
     @classmethod
     def numbered(cls, features) -> Features:
@@ -178,9 +182,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return none
     prior = min(max(n_toxic / n_known, 1e-3), 0.9)
     ids = common.materialise(labels.filter("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_POSITIVE))
-    learned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull()).filter(~held_out())
+    learned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(common.text_or_empty(), F.octet_length(common.text_or_empty())).alias("same")).filter(F.col("doc_id").isNotNull()).filter(~held_out())
     learned = learned.join(F.broadcast(ids.select(F.col("doc_id").alias("toxic_id"))), F.col("doc_id") == F.col("toxic_id"), "left")  # MAX_POSITIVE ids
-    same = F.xxhash64(common.text_or_empty(), F.octet_length(common.text_or_empty()))
+    groups = common.materialise(learned.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.max(F.col("toxic_id").isNotNull()).alias("p")))
+    n_u, n_p = groups.agg(F.count("*"), F.count_if("p")).first()
+    if not n_p:
+        return none
+    copied = common.materialise(groups.filter("n > 1").select("same", "first"))
+    once = common.lookup(learned, copied, "same", "left").filter(F.coalesce(F.col("first") == F.col("doc_id"), F.lit(True)))
 
     @F.pandas_udf("array<string>")
     def all_features(texts: pd.Series) -> pd.Series:
@@ -190,41 +199,44 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             for word, n in Counter(_WORD.findall((text or "").lower())).items():
                 for k in keys_of(word):
                     counts[k] += n
-            out.append([f"{level} {k}" for k, n in counts.items() for level in LEVELS if n >= level])
+            out.append([f"{level} {k}" for k, n in counts.items() for level in levels_of(k) if n >= level])
         return pd.Series(out)
 
-    positives = learned.filter(F.col("toxic_id").isNotNull()).groupBy(same.alias("same")).agg(F.min("text").alias("text"))
+    positives = learned.filter(F.col("toxic_id").isNotNull()).groupBy("same").agg(F.min("text").alias("text"))
     found = positives.select(F.explode(all_features("text")).alias("feature")).groupBy("feature").count().filter(F.col("count") >= LEAST_DOCUMENTS)
     in_positive = {r["feature"]: r["count"] for r in found.collect()}  # bounded by the positives
     split = lambda names: [(n.partition(" ")[2], int(n.partition(" ")[0])) for n in names]
     names = sorted(in_positive)
-    shared = spark.sparkContext.broadcast(Features.numbered(split(names)))
+    candidates = spark.sparkContext.broadcast(Features.numbered(split(names)))
 
-    @F.pandas_udf("array<int>")
-    def columns_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in texts:
-            yield pd.Series([shared.value.of(t) for t in some])
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(len(names), np.int64)
+        for pdf in batches:
+            for text in pdf["text"]:
+                sums[candidates.value.of(text)] += 1
+        at = np.flatnonzero(sums)
+        yield pd.DataFrame({"at": at, "n": sums[at]})
 
-    texts = learned.select(same.alias("same"), F.col("toxic_id").isNotNull().alias("p"), columns_of("text").alias("at"))
-    texts = common.materialise(texts.groupBy("same").agg(F.max("p").alias("p"), F.min("at").alias("at")))
-    n_u, n_p = texts.agg(F.count("*"), F.count_if("p")).first()
-    if not n_p:
-        return none
-    counts = {r["at"]: r["count"] for r in texts.select(F.explode("at").alias("at")).groupBy("at").count().collect()}  # by feature
+    counts = {r["at"]: r["n"] for r in once.select("text").mapInPandas(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}  # by feature
     p = np.array([in_positive[n] for n in names], dtype=float)
     e = (np.array([counts.get(k, 0) for k in range(len(names))]) + 1) * n_p / n_u
     surprise = p * np.log(p / e) - p + e
     picked = np.flatnonzero((p > e) & (surprise >= np.log(max(1, len(names))) + SURPRISE))
-    column = np.full(len(names), -1)
-    column[picked] = np.arange(len(picked))
+    features = Features.numbered(split([names[k] for k in picked]))
+    shared = spark.sparkContext.broadcast(features)
+
+    @F.pandas_udf("array<int>")
+    def columns_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            yield pd.Series([shared.value.of(t) for t in some])
 
+    texts = common.materialise(once.select("same", columns_of("text").alias("at")).groupBy("same").agg(F.min("at").alias("at")))
+    toxic = groups.filter("p").select("same")
+    positive = spark.sparkContext.broadcast([list(r["at"]) for r in texts.join(F.broadcast(toxic), "same").orderBy("same").select("at").collect()])  # MAX_POSITIVE texts
     n_shards = max(1, round(n_u / SHARD_TEXTS))
-    own = lambda lists: [[c for c in column[np.asarray(x, dtype=np.int64)].tolist() if c >= 0] for x in lists]
-    positive = spark.sparkContext.broadcast(own(r["at"] for r in texts.filter("p").orderBy("same").select("at").collect()))
 
     def learn(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("same")
-        unlabelled = own(pdf["at"])
+        unlabelled = list(pdf.sort_values("same")["at"])
         w = np.mean([train(positive.value, unlabelled, len(picked), prior, CLASSIFIERS * int(key[0]) + k) for k in range(CLASSIFIERS)], axis=0)
         return pd.DataFrame({"place": np.arange(len(w)), "w": np.rint(w / UNIT).astype(np.int64)})
 
@@ -232,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     trained = dealt.groupBy("shard").applyInPandas(learn, "place int, w long")
     sums = {r["place"]: (r["w"], r["n"]) for r in trained.groupBy("place").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()}
     weights = np.array([sums[k][0] / sums[k][1] * UNIT for k in range(len(picked) + 1)])
-    return Model(Features.numbered(split([names[k] for k in picked])), weights)
+    return Model(features, weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
