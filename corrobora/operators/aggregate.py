@@ -120,7 +120,7 @@ def aggregate_trials(gene_drug: dict[str, DataFrame], drug_indication: dict[str,
     members = materialise(entities.membership(clustered))
     edges = materialise(gene_drug_records(gene_drug, members))
     records = materialise(drug_indication_records({s: d for s, d in drug_indication.items() if s not in EXCLUDED_INDICATIONS}, members, unknown_ongoing))
-    mapped, indicated = gene_drug_mapping(edges), drug_indication_mapping(records)
+    mapped, indicated = materialise(gene_drug_mapping(edges)), materialise(drug_indication_mapping(records))
     return {
         "drug_id_mapping": entities.representatives(clustered), "gene_drug_mapping": mapped, "gene_drug_mapping_by_source": gene_drug_by_source(edges),
         "drug_indication_mapping": indicated, "drug_indication_mapping_by_source": drug_indication_by_source(records), "gene_indication_max_phase": gene_indication_max_phase(mapped, indicated),

@@ -17,17 +17,36 @@ def transition_counts(trials: DataFrame, transitions=TRANSITIONS, keys=(), flag:
 
     Eligible: at or past phase_from. Censored: still running below phase_to.
     """
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("phase_from"), F.lit(b).alias("phase_to")) for a, b in transitions])).alias("step")
     ongoing = F.col("is_ongoing") if "is_ongoing" in trials.columns else F.lit(False)
-    rows = trials.select(*keys, "max_phase", F.col(flag).alias("yes"), ongoing.alias("ongoing"), steps).select("*", "step.*")
+    cells = trials.groupBy(*keys, "max_phase", F.col(flag).alias("yes"), ongoing.alias("ongoing")).agg(F.count("*").alias("n"))
+    return step_counts(cells, transitions, keys)
+
+
+def step_counts(cells: DataFrame, transitions=TRANSITIONS, keys=()) -> DataFrame:
+    """transition_counts of trials counted by (keys, max_phase, yes, ongoing) as n: only these few rows are multiplied by the transitions."""
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("phase_from"), F.lit(b).alias("phase_to")) for a, b in transitions])).alias("step")
+    rows = cells.select(*keys, "max_phase", "yes", "ongoing", "n", steps).select("*", "step.*")
     counted = (F.col("max_phase") >= F.col("phase_from")) & ~(F.col("ongoing") & (F.col("max_phase") < F.col("phase_to")))
     reached = counted & (F.col("max_phase") >= F.col("phase_to"))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     return rows.groupBy(*keys, "phase_from", "phase_to").agg(
-        F.count_if(reached & F.col("yes")).alias("x_yes"), F.count_if(counted & F.col("yes")).alias("n_yes"),
-        F.count_if(reached & ~F.col("yes")).alias("x_no"), F.count_if(counted & ~F.col("yes")).alias("n_no"),
+        total(reached & F.col("yes")).alias("x_yes"), total(counted & F.col("yes")).alias("n_yes"),
+        total(reached & ~F.col("yes")).alias("x_no"), total(counted & ~F.col("yes")).alias("n_no"),
     )
 
 
+def counts_by_arm(trials: DataFrame, supported: DataFrame, keys, transitions=TRANSITIONS) -> DataFrame:
+    """transition_counts for each arm (keys) of supported (keys, gene, efo_id; distinct). Trials aren't multiplied by arms: what an arm doesn't support is what all trials have less what it does."""
+    ongoing = F.col("is_ongoing").alias("ongoing")
+    yes = trials.join(supported, ["gene", "efo_id"]).groupBy(*keys, "max_phase", ongoing).agg(F.count("*").alias("n_yes"))
+    all_ = trials.groupBy("max_phase", ongoing).count().collect()  # a row for each phase and state
+    cells = F.array(*[F.struct(F.lit(r["max_phase"]).cast("int").alias("max_phase"), F.lit(r["ongoing"]).alias("ongoing"), F.lit(r["count"]).cast("long").alias("n")) for r in all_]) if all_ else F.array().cast("array<struct<max_phase: int, ongoing: boolean, n: bigint>>")
+    grid = supported.select(*keys).distinct().select(*keys, F.explode(cells).alias("cell")).select(*keys, "cell.*")
+    both = grid.join(yes.withColumn("max_phase", F.col("max_phase").cast("int")), [*keys, "max_phase", "ongoing"], "left").withColumn("n_yes", F.coalesce("n_yes", F.lit(0).cast("long")))
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("yes"), F.col("n_yes").alias("n")), F.struct(F.lit(False).alias("yes"), (F.col("n") - F.col("n_yes")).alias("n"))))
+    return step_counts(both.select(*keys, "max_phase", "ongoing", sides.alias("side")).select(*keys, "max_phase", "ongoing", "side.*"), transitions, keys)
+
+
 def with_ratios(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Adds rates (0 for an empty arm), risk and odds ratios with intervals."""
     x1, n1, x2, n2 = (F.col(c).cast("double") for c in ("x_yes", "n_yes", "x_no", "n_no"))

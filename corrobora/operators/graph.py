@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = materialise(state.join(near, "node").select("node", "label", F.least("label", "near").alias("next")))
         hooks = step.groupBy(F.col("label").alias("node")).agg(F.min("next").alias("hook"))
-        lower = materialise(step.join(hooks, "node", "left").select("node", "label", F.least("next", "hook").alias("next")))
+        lower = step.join(hooks, "node", "left").select("node", "label", F.least("next", "hook").alias("next"))
         jump = lower.select(F.col("node").alias("of"), F.col("next").alias("top"))
         after = materialise(lower.join(jump, F.col("next") == F.col("of")).select("node", "label", F.least("next", "top").alias("next")))
         state = after.select("node", F.col("next").alias("label"))

@@ -136,6 +136,11 @@ def _(t):
     return tidy(evaluate(t("ct"), t("ge"), t("sim")).enrichment)
 
 
+@query("m10_validate_clustered")
+def _(t):
+    return evaluate(t("ct"), t("ge"), t("sim"), cluster="gene").enrichment.select("source", "phase_from", "phase_to", "rr", "rr_boot_lower", "rr_boot_upper", "or", "or_boot_lower", "or_boot_upper")
+
+
 @query("m11_validate_batch", f"{BATCH} SELECT source, gene, efo_id, max_phase, is_ongoing, yes AS has_genetic_evidence FROM f")
 def _(t):
     return evaluate(t("ct"), t("ge"), t("sim")).trials.select("source", "gene", "efo_id", "max_phase", "is_ongoing", "has_genetic_evidence")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap as B
 from ..operators import enrichment as E
 from ..operators import matching as M
+from ..sources.scans import scan
 from ..storage import materialise
 
 
@@ -24,11 +25,11 @@ class Evaluation:
 
 
 def evaluate(
-    trials: DataFrame,
-    evidence: DataFrame,
-    similarity: DataFrame | None = None,
-    baseline: DataFrame | None = None,
-    genes: DataFrame | None = None,
+    trials: DataFrame | str,
+    evidence: DataFrame | str,
+    similarity: DataFrame | str | None = None,
+    baseline: DataFrame | str | None = None,
+    genes: DataFrame | str | None = None,
     threshold: float = 0.8,
     transitions=E.TRANSITIONS,
     cluster: str | None = None,
@@ -37,22 +38,25 @@ def evaluate(
     check_similarity: bool = False,
     key: str = "source",
 ) -> Evaluation:
-    """Enrichment of each source of the evidence (column `key`). With a baseline, trials that it alone supports are left out."""
+    """Enrichment of each source of the evidence (column `key`). With a baseline, trials that it alone supports are left out. Inputs are frames or Parquet paths."""
+    spark = SparkSession.active()
+    trials, evidence, similarity, baseline, genes = (None if x is None else scan(spark, x) for x in (trials, evidence, similarity, baseline, genes))
     M.require_columns(evidence, [key, *M.PAIR], "evidence")
+    M.require_columns(trials, [*M.PAIR, "max_phase"], "clinical trials")
     if cluster and cluster not in trials.columns:
         raise ValueError(f"no column {cluster} to resample by")
-    base, report = M.clean_trials(trials), None
+    base, report = M.clean_trials(materialise(trials)), None  # checks, and every arm, start from what is written out
     if similarity is not None:
         M.require_columns(similarity, ["efo_id_1", "efo_id_2", "similarity"], "similarity lookup")
         if check_similarity:
             M.check_similarity_lookup(similarity)
+        similarity = materialise(similarity)
         report = M.unmatchable_report(evidence, similarity, key)
         base = M.drop_unmatchable(base, similarity)
         if base.isEmpty():
             raise ValueError("no trial pair has a disease that the lookup knows")
     if genes is not None:
         base = base.join(genes.select("gene").distinct(), "gene", "left_semi").select(*base.columns)
-    base = materialise(base)  # several actions and every arm start from it
     sources = sorted(r[0] for r in evidence.select(key).distinct().collect())  # names of arms
     flagged = E.flag_sources(base, M.supporting_pairs(evidence, similarity, threshold, [key]), sources, key)
     if baseline is not None:

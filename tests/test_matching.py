@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corrobora.operators import bootstrap as B
 from corrobora.operators import enrichment as E
 from corrobora.operators import matching as M
 from corrobora.plans.evaluate import evaluate
@@ -97,3 +98,27 @@ def test_baseline_drops_what_it_alone_supports(trials, evidence):
     target = evidence.filter("gene = 'GENE1'")
     out = M.annotate_evidence(trials, target, evidence)
     assert out.count() == 8 and out.filter("has_genetic_evidence").count() == 1
+
+
+def test_evaluation_by_path_and_with_clusters(spark, trials, evidence, similarity, tmp_path):
+    paths = {}
+    for name, df in {"trials": trials.withColumn("is_ongoing", F.lit(False)), "evidence": evidence, "similarity": similarity}.items():
+        paths[name] = f"{tmp_path}/it's {name}"
+        df.write.parquet(paths[name])
+    out = evaluate(paths["trials"], paths["evidence"], paths["similarity"], cluster="gene", replicates=300)
+    with pytest.warns(UserWarning):
+        frames = evaluate(trials, evidence, similarity)
+    names = ["source", "phase_from", "phase_to", "x_yes", "n_yes", "x_no", "n_no"]
+    assert sorted(out.enrichment.select(names).collect()) == sorted(frames.enrichment.select(names).collect())
+    boot = B.bootstrap(out.trials, "gene", 300, keys=["source"])
+    own = ["source", "phase_from", "phase_to", "rr_boot_lower", "or_boot_upper"]
+    assert sorted(map(repr, out.enrichment.select(own).collect())) == sorted(map(repr, boot.select(own).collect()))
+
+
+def test_counts_by_arm_are_those_of_flags(trials, evidence, similarity):
+    flags = trials.withColumn("is_ongoing", F.col("max_phase") == 2)
+    two = evidence.withColumn("source", F.when(F.col("gene") < "GENE4", "a").otherwise("b"))
+    supported = M.supporting_pairs(two, similarity, 0.5, ["source"])
+    want = E.transition_counts(E.flag_sources(flags, supported, ["a", "b"]), keys=["source"])
+    assert sorted(E.counts_by_arm(flags, supported, ["source"]).collect()) == sorted(want.collect())
+    assert E.counts_by_arm(flags.limit(0), supported, ["source"]).count() == 0

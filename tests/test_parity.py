@@ -41,7 +41,7 @@ def test_rows(spark, con, name):
 
 
 def test_every_query_has_sql_but_the_drawn_ones():
-    assert set(QUERIES) - set(SQL) == {"t7_bootstrap_ci", "b4_cluster_unit_sensitivity"}
+    assert set(QUERIES) - set(SQL) == {"t7_bootstrap_ci", "b4_cluster_unit_sensitivity", "m10_validate_clustered"}
 
 
 def test_entry(spark):
