@@ -114,6 +114,11 @@ def pooled_sweep(associations: DataFrame, thresholds=(0.0, 0.25, 0.5, 0.75)) ->
     return with_thresholds(best, "score", thresholds).select("threshold", "gene", "efo_id")
 
 
+def enrich_arms(trials: DataFrame, evidence: DataFrame, keys: list[str], similarity: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
+    """Counts and ratios of each arm of the evidence (keys: scope, datasource and threshold, ...), in one pass over the trials."""
+    return E.with_ratios(E.counts_by_arm(trials, M.supporting_pairs(evidence, similarity, threshold, keys), keys))
+
+
 def similarity_sweep(trials: DataFrame, evidence: DataFrame, similarity: DataFrame, thresholds=(0.5, 0.6, 0.7, 0.8, 0.9, 1.0)) -> DataFrame:
     """Counts and ratios by similarity threshold: the best match of each pair is found once, then held against all."""
     best = M.best_similarity(evidence, trials, similarity)

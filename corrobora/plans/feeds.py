@@ -376,6 +376,24 @@ def _(t):
     return analysis.evidence_scope(t("assoc").select(F.concat(F.lit("G"), "targetId").alias("gene"), F.col("diseaseId").alias("efo_id"), F.col("datasourceId").alias("datasource")))
 
 
+SCOPED = "SELECT DISTINCT v.source, gene, efo_id FROM ge, (VALUES ('germline'), ('with somatic')) v(source) WHERE ge.source IN ('click', 'purchase') OR (v.source = 'with somatic' AND ge.source = 'view')"
+
+
+def keyed_arms(evidence: str, keys: str, *inputs: str) -> str:
+    """Ratios by arm of a relation of (keys, gene, efo_id), matched by the lookup."""
+    on = " AND ".join(f"s.{k} = a.{k}" for k in keys.split(", "))
+    arms = ", ".join(f"a.{k}" for k in keys.split(", "))
+    return f"""WITH {ctes('ct', 'ge', 'sim')}, ev AS ({evidence}), s AS (SELECT DISTINCT {keys}, gene, efo_id_2 AS efo_id FROM ev JOIN sim ON efo_id = efo_id_1 AND similarity >= 0.8),
+        f AS (SELECT {arms}, ct.*, s.gene IS NOT NULL AS yes FROM ct CROSS JOIN (SELECT DISTINCT {keys} FROM s) a LEFT JOIN s ON {on} AND s.gene = ct.gene AND s.efo_id = ct.efo_id) {ratios_sql(counts_sql('f', keys))}"""
+
+
+@query("b6_scope_enrichment", keyed_arms(SCOPED, "source"))
+def _(t):
+    names = F.expr("CASE source WHEN 'click' THEN 'eva' WHEN 'view' THEN 'eva_somatic' WHEN 'purchase' THEN 'orphanet' ELSE source END")
+    scoped = analysis.evidence_scope(t("ge").select("gene", "efo_id", names.alias("datasource")))
+    return tidy(analysis.enrich_arms(t("ct"), scoped, ["source"], t("sim")))
+
+
 @query("b7_rebuild_subset_arm", f"WITH {ctes('gd', 'di')} SELECT gene, efo_id, max(phase) AS max_phase FROM gd JOIN di ON di.drug = gd.drug WHERE gd.source = 'ChEMBL' AND di.source = 'OpenTargets' GROUP BY gene, efo_id")
 def _(t):
     return analysis.rebuild(*legs(t), ["chembl", "opentargets"])["gene_indication_max_phase"].select("gene", "efo_id", "max_phase")
@@ -426,6 +444,18 @@ def _(t):
     return analysis.pooled_sweep(t("ge")).groupBy("threshold").agg(F.count("*").alias("n"))
 
 
+@query("b14_datasource_enrichment", keyed_arms(f"SELECT DISTINCT datasource, CAST(threshold AS DOUBLE) AS threshold, gene, efo_id FROM (SELECT source AS datasource, gene, efo_id, score FROM ge UNION ALL SELECT 'overall', gene, efo_id, score FROM ge), {SWEEP} WHERE score >= threshold", "datasource, threshold"))
+def _(t):
+    swept = analysis.datasource_sweep(t("ge").withColumnRenamed("source", "datasource"))
+    return tidy(analysis.enrich_arms(t("ct"), swept, ["datasource", "threshold"], t("sim")))
+
+
+@query("b15_pooled_enrichment", keyed_arms(f"SELECT CAST(threshold AS DOUBLE) AS threshold, gene, efo_id FROM (SELECT gene, efo_id, max(score) AS score FROM ge WHERE source IN ('click', 'purchase') GROUP BY ALL), {SWEEP} WHERE score >= threshold", "threshold"))
+def _(t):
+    swept = analysis.pooled_sweep(t("ge").filter(F.col("source").isin("click", "purchase")))  # the germline sources
+    return tidy(analysis.enrich_arms(t("ct"), swept, ["threshold"], t("sim")))
+
+
 @query("b16_similarity_threshold_sweep", f"WITH {ctes('ct', 'ge', 'sim')}, b AS (SELECT ct.gene, ct.efo_id, max(similarity) AS best FROM ct JOIN sim ON efo_id_2 = ct.efo_id JOIN ge ON ge.gene = ct.gene AND ge.efo_id = efo_id_1 GROUP BY ALL), f AS (SELECT ct.*, CAST(threshold AS DOUBLE) AS threshold, coalesce(best >= threshold, false) AS yes FROM ct LEFT JOIN b ON b.gene = ct.gene AND b.efo_id = ct.efo_id, (VALUES (0.5), (0.6), (0.7), (0.8), (0.9), (1.0)) v(threshold)) {ratios_sql(counts_sql('f', 'threshold'))}")
 def _(t):
     return tidy(analysis.similarity_sweep(t("ct"), t("ge"), t("sim")))
@@ -451,3 +481,9 @@ def _(t):
 @query("b18_prior_art_configuration", f"{ARM.replace('WITH', 'WITH RECURSIVE', 1).replace(ctes('ct', 'ge'), ctes('ct', 'ge', 'is_a') + ', ' + BRANCH)}, g AS (SELECT * REPLACE (false AS is_ongoing) FROM f WHERE efo_id NOT IN (SELECT efo_id FROM br)) {ratios_sql(counts_sql('g'))}")
 def _(t):
     return tidy(analysis.prior_art(t("ct"), t("ge"), branch(t)))
+
+
+@query("b18_prior_art_composition", f"WITH {ctes('ct', 'dim')}, o AS (SELECT max_phase, count(*) AS n FROM ct GROUP BY max_phase), p AS (SELECT phase AS max_phase, count(*) AS published_n FROM dim GROUP BY phase) SELECT o.max_phase, n, published_n, round((n / (SELECT sum(n) FROM o)) / (published_n / (SELECT sum(published_n) FROM p)), 6) AS ratio FROM o JOIN p ON o.max_phase = p.max_phase")
+def _(t):
+    published = t("dim").groupBy(F.col("phase").alias("max_phase")).agg(F.count("*").alias("published_n"))
+    return tidy(analysis.composition_ratio(t("ct"), published))

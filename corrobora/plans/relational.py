@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import matching as M
 from ..operators import ontology as O
 from ..sources import evidence, scans, status
+from ..storage import shared_dir
 from .inputs import ctes, frame
 
 QUERIES, SQL = {}, {}
@@ -27,15 +28,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def scratch(spark) -> str:
+def scratch(spark, name: str = "") -> str:
     """A new path in the folder that all executors see."""
-    from ..storage import materialise
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        materialise(spark.range(1))
-        base = spark.conf.get("spark.checkpoint.dir")
-    return f"{base}/corrobora/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/corrobora/{uuid.uuid4().hex}{name}"
 
 
 # Scans and sinks. Files are written from the given tables first, and read back by the scan in question.
@@ -43,7 +38,9 @@ def scratch(spark) -> str:
 
 @query("s1_scan_parquet", "SELECT p_partkey, p_name FROM part")
 def _(t, spark):
-    return scans.scan(spark, t("part"), ["p_partkey", "p_name"])
+    path = scratch(spark, "/it's parts")
+    scans.sink_table(t("part"), path)
+    return scans.scan(spark, path, ["p_partkey", "p_name"])
 
 
 @query("s2_scan_parquet_dir", "SELECT p_partkey, p_brand FROM part")
@@ -55,7 +52,9 @@ def _(t, spark):
 
 @query("s3_scan_parquet_filtered", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000")
 def _(t, spark):
-    return scans.scan(spark, t("orders"), ["o_orderkey", "o_custkey"], (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 1000))
+    path = scratch(spark, "/it's orders")
+    scans.sink_table(t("orders"), path)
+    return scans.scan(spark, path, ["o_orderkey", "o_custkey"], (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 1000))
 
 
 @query("s4_scan_tsv", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")
@@ -118,7 +117,7 @@ def _(t, spark):
 
 @query("s11_scan_relational_export", "SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def _(t, spark):
-    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = scans.scan_export(t("orders"), ("o_custkey", t("customer"), "c_custkey"), ("c_nationkey", t("nation"), "n_nationkey"), ("n_regionkey", t("region"), "r_regionkey"))
     return rows.select("o_orderkey", "c_name", "n_name", "r_name")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import small
+
 
 def scan(spark: SparkSession, source: DataFrame | str, columns: Sequence[str] | None = None, where=None) -> DataFrame:
     """A frame or a Parquet path (file or folder), cut to columns and filtered; both reach the scan."""
@@ -15,6 +17,13 @@ def scan(spark: SparkSession, source: DataFrame | str, columns: Sequence[str] |
     return df.select(*columns) if columns else df
 
 
+def scan_export(rows: DataFrame, *links: tuple[str, DataFrame, str]) -> DataFrame:
+    """The rows of a relational export with the columns of the tables that they point to. links: (column, table, its key), followed in turn; rows without a counterpart are dropped. Tables of few rows are broadcast."""
+    for column, other, key in links:
+        rows = rows.join(small(other), F.col(column) == F.col(key))
+    return rows
+
+
 def scan_tsv(spark: SparkSession, path: str, schema: str | None = None, comment: str | None = None, columns: Sequence[str] | None = None, header: bool = True) -> DataFrame:
     """Tab-separated text, gzipped or not; without a schema all columns are text. columns renames by place."""
     reader = spark.read.option("sep", "\t").option("header", header).option("quote", "")
