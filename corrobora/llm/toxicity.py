@@ -46,14 +46,16 @@ from . import common
 
 #: Labelled positives that are learned from.
 MAX_POSITIVE = 5_000
-#: Lengths of the beginnings of longer words; times that a text has a beginning.
-PREFIXES, LEVELS = (5, 6), (1, 2, 4, 8, 16)
+#: Lengths of the beginnings of longer words; times that a text has a beginning, powers of two.
+PREFIXES, LEVELS = (5,), (1, 2, 4, 8, 16)
 #: Positives that must have a feature; how unlikely its count there must be by chance: so many nats beyond one false find among all features tried (below 0: some false finds, which training weighs down).
 LEAST_DOCUMENTS, SURPRISE = 3, -3.0
 #: Part of the documents that is not learned from: those with crc32(doc_id) mod FOLDS = 0.
 FOLDS = 5
 #: Unlabelled texts of one classifier; texts in a step, steps, their size, and decay of weights.
 SHARD_TEXTS, BATCH, STEPS, RATE, DECAY = 10_000, 1024, 800, 0.3, 1e-3
+#: Positives in a step.
+POSITIVE_BATCH = 384
 #: Classifiers of each shard, which differ in the order of their batches.
 CLASSIFIERS = 3
 #: Size of the step against a negative risk that has fallen below zero.
@@ -77,32 +79,44 @@ def levels_of(key: str) -> tuple[int, ...]:
 
 @dataclass
 class Features:
-    """columns: by key, the column of each of its levels, -1 where a level isn't used."""
+    """upto: by key, for each number of levels that a text reaches, the columns of those that are used. seen: words looked at so far; known: those of them with keys among these: the word's own columns, and its beginnings."""
 
-    columns: dict[str, list[int]]
-    known: dict[str, list[str]] = field(default_factory=dict)
+    upto: dict[str, list[list[int]]]
+    seen: set[str] = field(default_factory=set)
+    known: dict[str, tuple[list[int], list[str]]] = field(default_factory=dict)
 
     def of(self, text: str | None) -> list[int]:
-        """Sorted columns of the features that the text has."""
+        """Columns of the features that the text has, in no order."""
+        words, upto = Counter(_WORD.findall((text or "").lower())), self.upto
+        if new := words.keys() - self.seen:
+            if len(self.seen) >= REMEMBERED:
+                self.seen, self.known, new = set(), {}, words.keys()
+            self.seen |= new
+            for word in new:
+                own, starts = upto.get(word), [k for k in keys_of(word)[1:] if k in upto]
+                if own or starts:
+                    self.known[word] = own[1] if own else [], starts
+        out: list[int] = []
         counts: dict[str, int] = {}
-        known, columns = self.known, self.columns
-        for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            keys = known.get(word)
-            if keys is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                keys = known[word] = [k for k in keys_of(word) if k in columns]
-            for k in keys:
-                counts[k] = counts.get(k, 0) + n
-        return sorted([c for k, n in counts.items() for c, level in zip(columns[k], LEVELS) if n >= level and c >= 0])
+        for word in words.keys() & self.known.keys():
+            own, starts = self.known[word]
+            out += own
+            for k in starts:
+                counts[k] = counts.get(k, 0) + words[word]
+        most = len(LEVELS)
+        for k, n in counts.items():
+            out += upto[k][min(n.bit_length(), most)]
+        return out
 
     @classmethod
     def numbered(cls, features) -> Features:
         """features: (key, level) pairs; their columns are their places."""
-        columns: dict[str, list[int]] = {}
+        upto: dict[str, list[list[int]]] = {}
         for at, (key, level) in enumerate(features):
-            columns.setdefault(key, [-1] * len(LEVELS))[LEVELS.index(level)] = at
-        return cls(columns)
+            reached = upto.setdefault(key, [[] for _ in range(len(LEVELS) + 1)])
+            for k in range(LEVELS.index(level) + 1, len(LEVELS) + 1):
+                reached[k].append(at)
+        return cls(upto)
 
 
 @dataclass
@@ -114,7 +128,7 @@ class Model:
 
     def score(self, texts) -> np.ndarray:
         w, bias = self.weights[:-1], self.weights[-1]
-        return sigmoid(np.array([w[self.features.of(t)].sum() for t in texts], dtype=float) + bias)
+        return sigmoid(np.array([w[sorted(self.features.of(t))].sum() for t in texts], dtype=float) + bias)
 
 
 def sigmoid(x):
@@ -131,27 +145,36 @@ def as_sparse(lists) -> tuple[np.ndarray, np.ndarray]:
     return ends, np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
 
 
+def rows_of(sparse, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the entries of some rows, which are numbered anew."""
+    ends, columns = sparse
+    lengths = ends[some + 1] - ends[some]
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(np.arange(len(some)), lengths), columns[np.arange(lengths.sum()) + np.repeat(ends[some] - before, lengths)]
+
+
+def deal(rng, n: int, size: int) -> Iterator[np.ndarray]:
+    """Batches of 0 to n - 1 without end, each round in a new order."""
+    while True:
+        order = rng.permutation(n)
+        yield from (order[at : at + size] for at in range(0, n, size))
+
+
 def train(positive, unlabelled, n_columns: int, prior: float, seed: int = 0) -> np.ndarray:
     """Weights and bias of one classifier. positive, unlabelled: lists of columns of each text."""
     rng, bias = np.random.default_rng(seed), np.log(prior / (1 - prior))
-    (p_ends, p_columns), (u_ends, u_columns) = as_sparse(positive), as_sparse(unlabelled)
-    p_rows = np.repeat(np.arange(len(positive)), np.diff(p_ends))
+    of_positive, of_unlabelled = as_sparse(positive), as_sparse(unlabelled)
     w, later = np.append(np.zeros(n_columns), bias), np.zeros(n_columns + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
-    order, at = rng.permutation(len(unlabelled)), 0
+    next_positive, next_unlabelled = deal(rng, len(positive), POSITIVE_BATCH), deal(rng, len(unlabelled), BATCH)
     for step in range(1, STEPS + 1):
-        if at >= len(order):
-            order, at = rng.permutation(len(unlabelled)), 0
-        some = order[at : at + BATCH]
-        at += BATCH
-        lengths = u_ends[some + 1] - u_ends[some]
-        inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(u_ends[some], lengths)
-        columns, rows = u_columns[inside], np.repeat(np.arange(len(some)), lengths)
-        gp = np.bincount(p_rows, w[p_columns], len(positive)) + w[-1]
+        chosen, some = next(next_positive), next(next_unlabelled)
+        (p_rows, p_columns), (rows, columns) = rows_of(of_positive, chosen), rows_of(of_unlabelled, some)
+        gp = np.bincount(p_rows, w[p_columns], len(chosen)) + w[-1]
         gu = np.bincount(rows, w[columns], len(some)) + w[-1]
-        back_p, back_u = -prior / len(positive) * sigmoid(gp), sigmoid(gu) / len(some)  # slopes of the risk on negatives
+        back_p, back_u = -prior / len(chosen) * sigmoid(gp), sigmoid(gu) / len(some)  # slopes of the risk on negatives
         if np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean() >= 0:
-            back_p -= prior / len(positive) * sigmoid(-gp)
+            back_p -= prior / len(chosen) * sigmoid(-gp)
         else:
             back_p, back_u = -BACK * back_p, -BACK * back_u
         grad = np.append(np.bincount(p_columns, back_p[p_rows], n_columns) + np.bincount(columns, back_u[rows], n_columns), back_p.sum() + back_u.sum())
@@ -161,8 +184,7 @@ def train(positive, unlabelled, n_columns: int, prior: float, seed: int = 0) ->
         if step > STEPS // 2:
             later += w
     w = later / (STEPS - STEPS // 2)
-    gp = np.bincount(p_rows, w[p_columns], len(positive)) + w[-1]
-    gu = np.bincount(np.repeat(np.arange(len(unlabelled)), np.diff(u_ends)), w[u_columns], len(unlabelled)) + w[-1]
+    gp, gu = (np.bincount(rows, w[columns], len(ends) - 1) + w[-1] for ends, columns in (of_positive, of_unlabelled) for rows in [np.repeat(np.arange(len(ends) - 1), np.diff(ends))])
     cuts = np.unique(gp)
     missed, marked_u = np.searchsorted(np.sort(gp), cuts, "left") / len(gp), 1 - np.searchsorted(np.sort(gu), cuts, "left") / len(gu)
     cut = cuts[np.argmin(prior * missed + np.maximum(0.0, marked_u - prior * (1 - missed)))]
@@ -210,12 +232,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     candidates = spark.sparkContext.broadcast(Features.numbered(split(names)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(len(names), np.int64)
+        own, sums = candidates.value, Counter()
         for pdf in batches:
             for text in pdf["text"]:
-                sums[candidates.value.of(text)] += 1
-        at = np.flatnonzero(sums)
-        yield pd.DataFrame({"at": at, "n": sums[at]})
+                sums.update(own.of(text))
+        yield pd.DataFrame({"at": list(sums), "n": list(sums.values())})
 
     counts = {r["at"]: r["n"] for r in once.select("text").mapInPandas(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}  # by feature
     p = np.array([in_positive[n] for n in names], dtype=float)
@@ -228,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     @F.pandas_udf("array<int>")
     def columns_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for some in texts:
-            yield pd.Series([shared.value.of(t) for t in some])
+            yield pd.Series([sorted(shared.value.of(t)) for t in some])
 
     texts = common.materialise(once.select("same", columns_of("text").alias("at")).groupBy("same").agg(F.min("at").alias("at")))
     toxic = groups.filter("p").select("same")
