@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise, small
 from .enrichment import TRANSITIONS
 
 REPLICATES, BLOCK = 10_000, 500
@@ -51,9 +52,10 @@ def hashed_replicates(cells: DataFrame, replicates: int, seed: int = 0, keys=())
     place = Window.partitionBy(*keys, *STEP).orderBy(F.col("cluster").isNotNull(), "cluster")
     slots = cells.withColumn("slot", F.row_number().over(place) - 1)
     arms = slots.groupBy(*keys, *STEP).agg(F.count("*").alias("n"))
-    draws = arms.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    draws = arms.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(-(-replicates // BLOCK), *keys, *STEP, "r")  # a number, or adaptive execution puts these few short rows in one task
+    draws = draws.withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     word = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "j")), 1, 12)
-    drawn = draws.withColumn("slot", (F.conv(word, 16, 10).cast("long") % F.col("n")).cast("int")).join(slots, [*keys, *STEP, "slot"])
+    drawn = draws.withColumn("slot", (F.conv(word, 16, 10).cast("long") % F.col("n")).cast("int")).join(small(materialise(slots)), [*keys, *STEP, "slot"])
     totals = drawn.groupBy(*keys, *STEP, "r").agg(*[F.sum(c).cast("double").alias(c) for c in ("x_yes", "n_yes", "x_no", "n_no")])
     rr, odds = ratios(*(F.col(c) for c in ("x_yes", "n_yes", "x_no", "n_no")))
     return totals.select(*keys, *STEP, "r", rr.alias("rr"), odds.alias("or_"))
@@ -81,7 +83,7 @@ def replicates(cells: DataFrame, n: int = REPLICATES, seed: int = 0, keys=()) ->
                 rr[(n1 == 0) | (n2 == 0)] = odds[(n1 == 0) | (n2 == 0)] = np.nan
                 yield pd.DataFrame({**{k: [getattr(row, k)] * size for k in shared}, "r": row.block * BLOCK + np.arange(size), "rr": rr, "or_": odds})
 
-    drawn = blocks.repartition(*shared, "block").mapInPandas(draw, f"{schema}, r long, rr double, or_ double")
+    drawn = blocks.repartition(-(-n // BLOCK), *shared, "block").mapInPandas(draw, f"{schema}, r long, rr double, or_ double")
     return drawn.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("rr", "or_")})
 
 
