@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, new_path
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -43,12 +43,16 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def descendants(edges: DataFrame, root: str) -> DataFrame:
-    """(id) at or below a root of (child, parent): a frontier that goes down and drops what was seen."""
-    down = edges.select("child", "parent").dropna()
-    frontier = seen = materialise(edges.sparkSession.createDataFrame([(root,)], "id string"))
+    """(id) at or below a root of (child, parent): a frontier that goes down and drops what was seen. Each frontier is written once, as a partition of one table."""
+    spark = edges.sparkSession
+    path, depth = new_path(spark), 0
+    down = materialise(edges.select(F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent")).dropna())
+    frontier = spark.createDataFrame([(root,)], "id string")
     while True:
-        below = down.join(frontier, down["parent"] == frontier["id"], "left_semi").select(F.col("child").alias("id")).distinct()
-        frontier = materialise(below.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
+        frontier.write.parquet(f"{path}/depth={depth}")
+        table = spark.read.schema("id string, depth int").parquet(path)
+        last, seen = table.filter(F.col("depth") == depth).select("id"), table.select("id")
+        if last.isEmpty():
             return seen
-        seen = materialise(seen.union(frontier))
+        below = down.join(last, down["parent"] == last["id"], "left_semi").select(F.col("child").alias("id")).distinct()
+        frontier, depth = below.join(seen, "id", "left_anti"), depth + 1

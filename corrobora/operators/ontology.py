@@ -107,6 +107,25 @@ def information_content(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialise(above.groupBy(F.col("ancestor").alias("id")).agg((0.0 - F.ln(F.count("*") / n)).alias("ic"))), above
 
 
+def scored_ancestors(edges: DataFrame):
+    """((ancestor, id, ic_a, ic_m), score): all terms with their ancestors and the information content of both; score gives the similarity by the contents of two terms and a common ancestor."""
+    ic, above = information_content(edges)
+    top = ic.agg(F.max("ic")).first()[0] or 0.0
+    rows = above.join(small(ic.select("id", F.col("ic").alias("ic_a"))), "id").join(small(ic.select(F.col("id").alias("ancestor"), F.col("ic").alias("ic_m"))), "ancestor")
+    return rows, lambda a, b, m: (F.when(a + b > 0, 2 * m / F.when(a + b > 0, a + b)).otherwise(0.0) + (m / top if top else F.lit(0.0))) / 2
+
+
+def similarity_rows(edges: DataFrame, queries: DataFrame) -> DataFrame:
+    """(efo_id_1, efo_id_2, similarity): rows of the full matrix, each of the queries (id) against all terms that share an ancestor with it; 1 on the diagonal."""
+    rows, score = scored_ancestors(edges)
+    rows = materialise(rows)
+    own = rows.join(small(queries.select("id").distinct()), "id", "left_semi")
+    other = rows.select("ancestor", F.col("id").alias("id_b"), F.col("ic_a").alias("ic_b"))
+    pairs = own.join(other, "ancestor").groupBy("id", "id_b", "ic_a", "ic_b").agg(F.max("ic_m").alias("ic_m"))
+    same = F.when(F.col("id") == F.col("id_b"), 1.0)
+    return pairs.select(F.col("id").alias("efo_id_1"), F.col("id_b").alias("efo_id_2"), same.otherwise(score(F.col("ic_a"), F.col("ic_b"), F.col("ic_m"))).alias("similarity"))
+
+
 def semantic_similarity(edges: DataFrame, threshold: float, terms: DataFrame | None = None) -> DataFrame:
     """(efo_id_1, efo_id_2, similarity), both directions and the diagonal: the mean of Lin's and Resnik's over the largest information content.
 
@@ -114,13 +133,10 @@ def semantic_similarity(edges: DataFrame, threshold: float, terms: DataFrame | N
     (2 ic_m / (ic_a + ic_m) + ic_m / max_ic) / 2 does, as ic_b >= ic_m: rows (a, m) below it are dropped before the
     self-join, which takes away the root's fan-out and loses no pair.
     """
-    ic, above = information_content(edges)
-    top = ic.agg(F.max("ic")).first()[0] or 0.0
-    rows = above.join(small(ic.select("id", F.col("ic").alias("ic_a"))), "id").join(small(ic.select(F.col("id").alias("ancestor"), F.col("ic").alias("ic_m"))), "ancestor")
+    rows, score = scored_ancestors(edges)
     if terms is not None:
         rows = rows.join(small(terms.select("id").distinct()), "id", "left_semi")
     ids = rows.select("id").distinct()
-    score = lambda a, b, m: (F.when(a + b > 0, 2 * m / F.when(a + b > 0, a + b)).otherwise(0.0) + (m / top if top else F.lit(0.0))) / 2
     reach = materialise(rows.filter(score(F.col("ic_a"), F.col("ic_m"), F.col("ic_m")) >= threshold - 1e-12))
     other = reach.select(F.col("ancestor"), F.col("id").alias("id_b"), F.col("ic_a").alias("ic_b"))
     pairs = reach.join(other, "ancestor").filter("id < id_b").groupBy("id", "id_b", "ic_a", "ic_b").agg(F.max("ic_m").alias("ic_m"))

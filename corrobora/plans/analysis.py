@@ -134,11 +134,20 @@ def stratified(flagged: DataFrame, branch: DataFrame, name: str = "stratum") ->
     return E.with_ratios(E.transition_counts(rows, keys=[name]))
 
 
-def overlapping_strata(flagged: DataFrame, branch: DataFrame, name: str = "stratum") -> DataFrame:
-    """Counts and ratios of all rows ("with") and of those outside a branch (id) of diseases ("without")."""
+def crosswalked_branch(branch: DataFrame, crosswalk: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """(id) of a branch and of the diseases that the crosswalk (mesh_id, efo_id) has for descriptors (id)."""
+    targets = crosswalk.join(descriptors.select(F.col("id").alias("mesh_id")), "mesh_id", "left_semi").select(F.col("efo_id").alias("id"))
+    return branch.select("id").union(targets).dropna().distinct()
+
+
+def overlapping_strata(flagged: DataFrame, branch: DataFrame, name: str = "stratum", descriptors: DataFrame | None = None) -> DataFrame:
+    """Counts and ratios of all rows ("with") and of those outside a branch (id) of diseases ("without"). With descriptors (id), rows whose mesh_id is among them are inside too."""
     inside = branch.select(F.col("id").alias("efo_id")).distinct().withColumn("_in", F.lit(True))
+    rows = flagged.join(inside, "efo_id", "left")
+    if descriptors is not None:
+        rows = rows.join(descriptors.select(F.col("id").alias("mesh_id")).distinct().withColumn("_by", F.lit(True)), "mesh_id", "left").withColumn("_in", F.coalesce("_in", "_by"))
     strata = F.when(F.col("_in"), F.array(F.lit("with"))).otherwise(F.array(F.lit("with"), F.lit("without")))
-    rows = flagged.join(inside, "efo_id", "left").withColumn(name, F.explode(strata))
+    rows = rows.withColumn(name, F.explode(strata))
     return E.with_ratios(E.transition_counts(rows, keys=[name]))
 
 

@@ -353,3 +353,11 @@ def _(t):
     """Unthresholded, over the coarse ontology of part sizes: every pair of terms is asked for."""
     part = t("part")
     return tidy(O.semantic_similarity(part.sparkSession.sql(COARSE, part=part), 0.0))
+
+
+@query("g12_similarity_rows", f"{CONTENT}, p AS (SELECT a.id AS x, b.id AS y, max(m.ic) AS m FROM up a JOIN up b ON a.ancestor = b.ancestor JOIN ic m ON m.id = a.ancestor WHERE CAST(substr(a.id, 3) AS BIGINT) % 20 = 0 GROUP BY ALL) SELECT x AS efo_id_1, y AS efo_id_2, round(CASE WHEN x = y THEN 1 ELSE (CASE WHEN i.ic + j.ic > 0 THEN 2 * m / (i.ic + j.ic) ELSE 0 END + m / {TOP}) / 2 END, 6) + 0 AS similarity FROM p JOIN ic i ON i.id = x JOIN ic j ON j.id = y")
+def _(t):
+    """Unthresholded rows of the whole ontology's matrix: terms with numbers divisible by 20 against all terms."""
+    edges = t("is_a")
+    terms = edges.select(F.explode(F.array("child", "parent")).alias("id")).distinct()
+    return tidy(O.similarity_rows(edges, terms.filter(F.substring("id", 3, 99).cast("long") % 20 == 0)).withColumn("similarity", F.col("similarity") + 0.0))

@@ -9,11 +9,12 @@ from ..operators import bootstrap as B
 from ..operators import enrichment as E
 from ..operators import graph
 from ..operators import matching as M
+from ..operators import ontology as O
 from ..sources import evidence as V
 from ..sources import status as S
 from ..sources import trials as N
 from . import analysis
-from .domain import ARM, CELLS, DIGITS, FLAGS, SUPPORTED, YES, arm, counts_sql, ratios_sql, tidy  # noqa: F401
+from .domain import ARM, CELLS, DIGITS, FLAGS, GONE, RESOLVED, SUPPORTED, YES, arm, counts_sql, ratios_sql, release, tidy  # noqa: F401
 from .inputs import INPUTS, ctes, frame
 
 QUERIES, SQL = {}, {}
@@ -134,15 +135,31 @@ def _(t):
     return N.activity_gene_drug(targets, components, synonyms, assays, activities, hierarchy, molecules)
 
 
-@query("n8_normalize_activity_indications", "SELECT DISTINCT 'C' || c_custkey AS chembl_id, c_name AS drug_name, 'M' || c_nationkey AS mesh_id, 'H' || c_nationkey AS mesh_heading, 'EFO:' || (o_orderkey % 99) AS efo_id, 'T' AS efo_term, CAST(floor(o_totalprice) % 4 AS INT) AS phase, r AS \"references\" FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, array_to_string(list_sort(list(l_returnflag || ':' || l_partkey)), '|') AS r FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' AND o_custkey % 2 = 0")
-def _(t):
+N8 = "SELECT DISTINCT 'C' || c_custkey AS chembl_id, c_name AS drug_name, 'M' || c_nationkey AS mesh_id, 'H' || c_nationkey AS mesh_heading, 'EFO:' || (o_orderkey % 99) AS efo_id, 'T' AS efo_term, CAST(floor(o_totalprice) % 4 AS INT) AS phase, r AS \"references\" FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, array_to_string(list_sort(list(l_returnflag || ':' || l_partkey)), '|') AS r FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' AND o_custkey % 2 = 0"
+
+
+def indications(t):
+    """(indications, references, molecules) of the activity feed."""
     ind = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("drugind_id"), F.col("o_custkey").alias("molregno"), F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("http://x/EFO_"), F.col("o_orderkey") % 99)).alias("efo_id"), F.concat(F.lit("M"), "c_nationkey").alias("mesh_id"),
         F.concat(F.lit("H"), "c_nationkey").alias("mesh_heading"), F.lit("T").alias("efo_term"), (F.floor("o_totalprice") % 4 + F.when(F.col("o_custkey") % 2 == 0, 0.0).otherwise(0.5)).alias("max_phase_for_ind"),
     )
     refs = t("lineitem").select(F.col("l_orderkey").alias("drugind_id"), F.col("l_returnflag").alias("ref_type"), F.col("l_partkey").cast("string").alias("ref_id"))
     molecules = t("customer").select(F.col("c_custkey").alias("molregno"), F.concat(F.lit("C"), "c_custkey").alias("chembl_id"), F.col("c_name").alias("pref_name"))
-    return N.activity_indications(ind, refs, molecules)
+    return ind, refs, molecules
+
+
+@query("n8_normalize_activity_indications", N8)
+def _(t):
+    return N.activity_indications(*indications(t))
+
+
+REMAPPED = "SELECT x.* REPLACE (coalesce(d.successor, x.efo_id) AS efo_id) FROM x LEFT JOIN d ON d.id = x.efo_id WHERE d.successor IS NOT NULL OR x.efo_id IS NULL OR x.efo_id NOT IN (SELECT id FROM o)"
+
+
+@query("n8_activity_indications_remapped", f"{RESOLVED}, {GONE}, x AS ({N8}) {REMAPPED}")
+def _(t):
+    return N.activity_indications(*indications(t), release=release(t)[1:])
 
 
 @query("n9_normalize_interactions_stitch", "SELECT DISTINCT 'HGNC' || p_size AS gene, 'CID' || l_suppkey AS stitch_id, CASE WHEN l_suppkey % 2 = 0 THEN 'CHEMBL' || l_suppkey END AS chembl_id, CASE WHEN l_suppkey % 2 = 1 THEN 'DB' || l_suppkey END AS drugbank_id, CASE l_linestatus WHEN 'O' THEN 'ACTIVATION' ELSE 'INHIBITION' END AS action_type, CAST(l_quantity * 20 AS INT) AS stitch_score FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'A' AND l_quantity * 20 >= 700")
@@ -165,11 +182,19 @@ def _(t):
     return N.trials_gene_drug(t("moa"), t("study_drugs"))
 
 
-@query("n12_normalize_trials_indications", f"WITH {ctes('study_drugs', 'studies', 'conditions', 'crosswalk')} SELECT drug_name, drugbank_id, substr(c.mesh_id, 6) AS mesh_id, mesh_term AS mesh_heading, w.efo_id, CASE phase WHEN 'PHASE1/PHASE2' THEN 2 WHEN 'PHASE3' THEN 3 WHEN 'EARLY_PHASE1' THEN 1 ELSE 4 END AS phase, status, d.study_id, status = 'COMPLETED' AS is_concluded FROM study_drugs d JOIN studies s ON s.study_id = d.study_id JOIN conditions c ON c.study_id = d.study_id LEFT JOIN crosswalk w ON w.mesh_id = substr(c.mesh_id, 6) WHERE phase <> 'NA' AND study_type = 'INTERVENTIONAL' AND status NOT IN ('', 'WITHDRAWN') AND mesh_type = 'mesh-list'")
+N12 = "SELECT drug_name, drugbank_id, substr(c.mesh_id, 6) AS mesh_id, mesh_term AS mesh_heading, w.efo_id, CASE phase WHEN 'PHASE1/PHASE2' THEN 2 WHEN 'PHASE3' THEN 3 WHEN 'EARLY_PHASE1' THEN 1 ELSE 4 END AS phase, status, d.study_id, status = 'COMPLETED' AS is_concluded FROM study_drugs d JOIN studies s ON s.study_id = d.study_id JOIN conditions c ON c.study_id = d.study_id LEFT JOIN crosswalk w ON w.mesh_id = substr(c.mesh_id, 6) WHERE phase <> 'NA' AND study_type = 'INTERVENTIONAL' AND status NOT IN ('', 'WITHDRAWN') AND mesh_type = 'mesh-list'"
+
+
+@query("n12_normalize_trials_indications", f"WITH {ctes('study_drugs', 'studies', 'conditions', 'crosswalk')} {N12}")
 def _(t):
     return N.trials_indications(t("study_drugs"), t("studies"), t("conditions"), t("crosswalk"))
 
 
+@query("n12_trials_indications_remapped", f"{RESOLVED}, {GONE}, {ctes('study_drugs', 'studies', 'conditions', 'crosswalk')}, y AS ({REMAPPED.replace('FROM x', 'FROM crosswalk x')}) {N12.replace('crosswalk w', 'y w')}")
+def _(t):
+    return N.trials_indications(t("study_drugs"), t("studies"), t("conditions"), t("crosswalk"), release=release(t)[1:])
+
+
 def known_drug(t):
     lists = {c: F.array(F.lit("a"), F.lit(" "), F.col("drugType")) for c in ("targetClass", "tradeNames", "synonyms")}
     urls = F.when(F.col("drugType") == "R", F.array(F.struct(F.lit("FDA").alias("niceName")), F.struct(F.lit("ATC").alias("niceName"))))
@@ -191,20 +216,28 @@ def named_molecules(t):
     return t("molecules").select("*", label("name").alias("synonyms"), label("drugType").alias("tradeNames"))
 
 
-@query("n14_normalize_mechanisms", f"WITH {ctes('targets', 'molecules')}, y AS (SELECT x.chembl_id, x.action_type, x.target, r.src FROM (SELECT DISTINCT 'C' || l_suppkey AS chembl_id, l_linestatus AS action_type, l_returnflag AS f, unnest(['T' || l_partkey, 'T' || (l_partkey + 1)]) AS target FROM lineitem) x, unnest([f, 'fixed']) r(src)) SELECT approvedSymbol AS gene, chembl_id, action_type, name AS drug_name, drugType AS molecule_type, 'K' || biotype AS target_class, string_agg(DISTINCT src, '|' ORDER BY src) AS subsource FROM (SELECT chembl_id, action_type, target, src FROM y) z JOIN targets t ON t.id = target AND approvedSymbol <> '' LEFT JOIN molecules m ON m.id = chembl_id GROUP BY ALL")
-def _(t):
+def mechanism_rows(t):
+    """(mechanisms, molecules, targets) of the newer layout."""
     ref = lambda c: F.struct(c.alias("source"), F.lit("i").alias("ids"), F.lit("u").alias("urls"))
     moa = t("lineitem").select(F.array(F.concat(F.lit("C"), "l_suppkey")).alias("chemblIds"), F.array(F.concat(F.lit("T"), "l_partkey"), F.concat(F.lit("T"), F.col("l_partkey") + 1)).alias("targets"), F.col("l_linestatus").alias("actionType"), F.array(ref(F.col("l_returnflag")), ref(F.lit("fixed"))).alias("references"))
     level = lambda n, c: F.struct(F.lit(1).alias("id"), c.alias("label"), F.lit(n).alias("level"))
     classes = F.array(level("l1", F.concat(F.lit("K"), "biotype")), level("l2", F.lit("deep")))
-    return N.mechanisms(moa, named_molecules(t), t("targets").withColumn("targetClass", classes))
+    return moa, named_molecules(t), t("targets").withColumn("targetClass", classes)
 
 
-@query("n15_normalize_clinical_reports", f"WITH {ctes('reports', 'molecules')}, d AS (SELECT l_orderkey, 'C' || l_suppkey AS chembl_id, 'EFO:' || (l_partkey % 99) || '_x' AS efo_id FROM lineitem), x AS (SELECT a.chembl_id, b.efo_id, r.* FROM reports r JOIN d a ON a.l_orderkey = r.id JOIN d b ON b.l_orderkey = r.id) SELECT DISTINCT efo_id, CASE clinicalStage WHEN 'PHASE_1_2' THEN 2 WHEN 'PHASE_2' THEN 2 WHEN 'PHASE_3' THEN 3 ELSE 4 END AS phase, trialOverallStatus AS status, CASE WHEN trialOverallStatus IS NULL THEN clinicalStage IN ('APPROVAL', 'WITHDRAWAL') OR phaseFromSource IS NOT NULL ELSE trialOverallStatus = 'COMPLETED' END AS is_concluded, m.name AS drug_name, chembl_id, source AS subsource, m.drugType AS molecule_type FROM x LEFT JOIN molecules m ON m.id = chembl_id WHERE clinicalStage <> 'IND' AND trialOverallStatus IS DISTINCT FROM 'WITHDRAWN' AND coalesce(trialStudyType, 'INTERVENTIONAL') = 'INTERVENTIONAL' AND control IS DISTINCT FROM 'PHASE_IV_NOT_APPROVED'")
+@query("n14_normalize_mechanisms", f"WITH {ctes('targets', 'molecules')}, y AS (SELECT x.chembl_id, x.action_type, x.target, r.src FROM (SELECT DISTINCT 'C' || l_suppkey AS chembl_id, l_linestatus AS action_type, l_returnflag AS f, unnest(['T' || l_partkey, 'T' || (l_partkey + 1)]) AS target FROM lineitem) x, unnest([f, 'fixed']) r(src)) SELECT approvedSymbol AS gene, chembl_id, action_type, name AS drug_name, drugType AS molecule_type, 'K' || biotype AS target_class, string_agg(DISTINCT src, '|' ORDER BY src) AS subsource FROM (SELECT chembl_id, action_type, target, src FROM y) z JOIN targets t ON t.id = target AND approvedSymbol <> '' LEFT JOIN molecules m ON m.id = chembl_id GROUP BY ALL")
 def _(t):
+    return N.mechanisms(*mechanism_rows(t))
+
+
+def report_rows(t):
     lines = t("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(F.concat(F.lit("C"), "l_suppkey").alias("drugId"), F.lit("d").alias("drugFromSource"))).alias("drugs"), F.collect_list(F.struct(F.concat(F.lit("EFO_"), F.col("l_partkey") % 99, F.lit("_x")).alias("diseaseId"), F.lit("d").alias("diseaseFromSource"))).alias("diseases"))
-    rows = t("reports").join(lines, "id").withColumn("qualityControls", F.when(F.col("control").isNotNull(), F.array("control")))
-    return N.clinical_reports(rows, named_molecules(t))
+    return t("reports").join(lines, "id").withColumn("qualityControls", F.when(F.col("control").isNotNull(), F.array("control")))
+
+
+@query("n15_normalize_clinical_reports", f"WITH {ctes('reports', 'molecules')}, d AS (SELECT l_orderkey, 'C' || l_suppkey AS chembl_id, 'EFO:' || (l_partkey % 99) || '_x' AS efo_id FROM lineitem), x AS (SELECT a.chembl_id, b.efo_id, r.* FROM reports r JOIN d a ON a.l_orderkey = r.id JOIN d b ON b.l_orderkey = r.id) SELECT DISTINCT efo_id, CASE clinicalStage WHEN 'PHASE_1_2' THEN 2 WHEN 'PHASE_2' THEN 2 WHEN 'PHASE_3' THEN 3 ELSE 4 END AS phase, trialOverallStatus AS status, CASE WHEN trialOverallStatus IS NULL THEN clinicalStage IN ('APPROVAL', 'WITHDRAWAL') OR phaseFromSource IS NOT NULL ELSE trialOverallStatus = 'COMPLETED' END AS is_concluded, m.name AS drug_name, chembl_id, source AS subsource, m.drugType AS molecule_type FROM x LEFT JOIN molecules m ON m.id = chembl_id WHERE clinicalStage <> 'IND' AND trialOverallStatus IS DISTINCT FROM 'WITHDRAWN' AND coalesce(trialStudyType, 'INTERVENTIONAL') = 'INTERVENTIONAL' AND control IS DISTINCT FROM 'PHASE_IV_NOT_APPROVED'")
+def _(t):
+    return N.clinical_reports(report_rows(t), named_molecules(t))
 
 
 @query("n16_resolve_trial_status", f"WITH {ctes('studies')} SELECT study_id, status, status = 'COMPLETED' AS is_concluded FROM studies WHERE status NOT IN ('', 'WITHDRAWN')")
@@ -212,11 +245,20 @@ def _(t):
     return S.resolve_status(t("studies").filter("status <> ''").select("study_id", "status"), S.CODES, S.CODES_DROPPED)
 
 
-@query("n17_normalize_programmes", f"WITH {ctes('programmes', 'insights', 'crosswalk')}, x AS (SELECT gene, efo_id, ccatnum - 1 AS phase, ccatnum - 1 - CASE WHEN acat IS NOT NULL AND acat <> 'Launched' THEN 1 ELSE 0 END AS c FROM programmes p JOIN crosswalk w ON w.mesh_id = indication_mesh_id WHERE indication_mesh_id IN (SELECT indication_mesh_id FROM insights WHERE genetic_insight <> 'none')) SELECT gene, efo_id, CAST(max(phase) AS INT) AS max_phase, CAST(max(c) AS INT) AS max_phase_concluded, max(c) < max(phase) AS is_ongoing FROM x GROUP BY gene, efo_id")
+N17_X = "x AS (SELECT gene, efo_id, ccatnum - 1 AS phase, ccatnum - 1 - CASE WHEN acat IS NOT NULL AND acat <> 'Launched' THEN 1 ELSE 0 END AS c FROM programmes p JOIN crosswalk w ON w.mesh_id = indication_mesh_id WHERE indication_mesh_id IN (SELECT indication_mesh_id FROM insights WHERE genetic_insight <> 'none'))"
+N17 = "SELECT gene, efo_id, CAST(max(phase) AS INT) AS max_phase, CAST(max(c) AS INT) AS max_phase_concluded, max(c) < max(phase) AS is_ongoing FROM x GROUP BY gene, efo_id"
+
+
+@query("n17_normalize_programmes", f"WITH {ctes('programmes', 'insights', 'crosswalk')}, {N17_X} {N17}")
 def _(t):
     return N.programmes(t("programmes"), t("crosswalk"), t("insights"))
 
 
+@query("n17_programmes_remapped", f"{RESOLVED}, {GONE}, {ctes('programmes', 'insights', 'crosswalk')}, {N17_X}, y AS ({REMAPPED}) {N17.replace('FROM x', 'FROM y')}")
+def _(t):
+    return N.programmes(t("programmes"), t("crosswalk"), t("insights"), release=release(t)[1:])
+
+
 @query("n18_normalize_published_associations", f"WITH {ctes('published', 'crosswalk')} SELECT gene, efo_id, string_agg(DISTINCT source, '&' ORDER BY source) AS source FROM published JOIN crosswalk USING (mesh_id) WHERE source <> 'intOGen' AND (l2g_share IS NULL OR l2g_share >= 0.5) GROUP BY gene, efo_id")
 def _(t):
     return V.normalize_published(t("published"), t("crosswalk"))
@@ -227,6 +269,14 @@ def _(t):
     return N.choose_dataset(known_drug=known_drug(t))[0].agg(F.count_distinct("gene").alias("genes"))
 
 
+@query("n19_dataset_choice_reports", f"SELECT DISTINCT 'gene-drug' AS leg, gene AS a, chembl_id AS b FROM ({SQL['n14_normalize_mechanisms']}) UNION ALL SELECT DISTINCT 'drug-indication', chembl_id, efo_id FROM ({SQL['n15_normalize_clinical_reports']})")
+def _(t):
+    moa, molecules, targets = mechanism_rows(t)
+    gene_drug, indications = N.choose_dataset(reports=report_rows(t), moa=moa, molecules=molecules, targets=targets)
+    pairs = gene_drug.select(F.lit("gene-drug").alias("leg"), F.col("gene").alias("a"), F.col("chembl_id").alias("b"))
+    return pairs.union(indications.select(F.lit("drug-indication"), "chembl_id", "efo_id")).distinct()
+
+
 # Aggregation of sources. Legs of two sources on either side, drugs known by one identifier each.
 
 
@@ -478,6 +528,17 @@ def _(t):
     return tidy(analysis.overlapping_strata(arm(t), branch(t)))
 
 
+DESCRIPTORS = "ms AS (SELECT DISTINCT 'M' || (s_suppkey % 60) AS id FROM supplier WHERE s_suppkey % 7 = 0), bb AS (SELECT efo_id FROM br UNION SELECT w.efo_id FROM crosswalk w JOIN ms ON ms.id = w.mesh_id)"
+
+
+@query("b17_crosswalked_strata", f"WITH RECURSIVE {ctes('ctm', 'ge', 'is_a', 'crosswalk')}, {BRANCH}, {DESCRIPTORS}, f AS (SELECT ct.*, {YES} AS yes FROM ctm ct), g AS (SELECT f.*, 'with' AS stratum FROM f UNION ALL SELECT f.*, 'without' FROM f WHERE efo_id NOT IN (SELECT efo_id FROM bb) AND mesh_id NOT IN (SELECT id FROM ms)) {ratios_sql(counts_sql('g', 'stratum'))}")
+def _(t):
+    record = "concat('RECTYPE = D', chr(10), 'MN = ', if(s_suppkey % 7 = 0, 'C04', 'D12'), '.588', chr(10), 'UI = M', s_suppkey % 60)"
+    descriptors = O.mesh_descriptors(t("supplier").select(F.expr(record).alias("value")), "C04")
+    flagged = M.annotate_evidence(t("ctm"), t("ge"))
+    return tidy(analysis.overlapping_strata(flagged, analysis.crosswalked_branch(branch(t), t("crosswalk"), descriptors), descriptors=descriptors))
+
+
 @query("b18_prior_art_configuration", f"{ARM.replace('WITH', 'WITH RECURSIVE', 1).replace(ctes('ct', 'ge'), ctes('ct', 'ge', 'is_a') + ', ' + BRANCH)}, g AS (SELECT * REPLACE (false AS is_ongoing) FROM f WHERE efo_id NOT IN (SELECT efo_id FROM br)) {ratios_sql(counts_sql('g'))}")
 def _(t):
     return tidy(analysis.prior_art(t("ct"), t("ge"), branch(t)))

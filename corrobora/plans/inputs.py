@@ -25,6 +25,10 @@ INPUTS = {
     # Trial pairs.
     "ct": """SELECT gene, efo_id, max(phase) AS max_phase, coalesce(max(phase) < 4, true) AND coalesce(max(phase_concluded) < max(phase), true) AS is_ongoing
         FROM (SELECT DISTINCT gene, drug FROM {gd}) g JOIN {dim} m ON g.drug = m.drug GROUP BY gene, efo_id""",
+    # Trial pairs with their least descriptor.
+    "ctm": """SELECT ct.gene, ct.efo_id, ct.max_phase, ct.is_ongoing, m.mesh_id FROM {ct} ct JOIN (SELECT gene, efo_id, min(mesh_id) AS mesh_id
+        FROM (SELECT DISTINCT gene, drug FROM {gd}) g JOIN (SELECT drug, efo_id, min(mesh_id) AS mesh_id FROM {di} GROUP BY drug, efo_id) d ON g.drug = d.drug GROUP BY gene, efo_id) m
+        ON m.gene = ct.gene AND m.efo_id = ct.efo_id""",
     # Evidence pairs.
     "ge": """SELECT 'G' || (user_id % 997) AS gene, 'EFO:' || ((event_id * 7 + user_id) % 701) AS efo_id, event_type AS source, value / 500 AS score FROM {events}""",
     # Similarity lookup: symmetric, with its diagonal.

@@ -27,10 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/corrobora/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, so later stages start from these files: a lost executor costs a retry of its own tasks and no more."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corrobora/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
