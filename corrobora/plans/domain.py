@@ -214,10 +214,10 @@ DRAWN = B.REPLICATES
 CELLS = f"{ARM.replace('ct.*', 'ct.*, ct.gene AS cluster')}, c AS (SELECT *, row_number() OVER (PARTITION BY phase_from, phase_to ORDER BY cluster NULLS FIRST) - 1 AS slot FROM ({counts_sql('f', 'cluster')}) WHERE n_yes + n_no > 0), k AS (SELECT phase_from, phase_to, count(*) AS n FROM c GROUP BY ALL), r AS (SELECT phase_from, phase_to, n, r, unnest(range(n)) AS j FROM k, range({DRAWN}) x(r)), d AS (SELECT phase_from, phase_to, r, CAST('0x' || substr(md5('0:' || r || ':' || j), 1, 12) AS BIGINT) % n AS slot FROM r), w AS (SELECT d.phase_from, d.phase_to, CAST(r AS INT) AS r, sum(x_yes)::DOUBLE AS a, sum(n_yes)::DOUBLE AS m, sum(x_no)::DOUBLE AS c, sum(n_no)::DOUBLE AS n FROM d JOIN c ON c.phase_from = d.phase_from AND c.phase_to = d.phase_to AND c.slot = d.slot GROUP BY ALL), z AS (SELECT phase_from, phase_to, r, CASE WHEN m > 0 AND n > 0 AND c > 0 THEN a * n / (c * m) WHEN m > 0 AND n > 0 AND a > 0 THEN 'inf'::DOUBLE END AS rr, CASE WHEN m > 0 AND n > 0 AND (m - a) * c > 0 THEN a * (n - c) / ((m - a) * c) WHEN m > 0 AND n > 0 AND a * (n - c) > 0 THEN 'inf'::DOUBLE END AS or_ FROM w)"
 
 
-@query("t5_bootstrap_replicates", f"{CELLS} SELECT phase_from, phase_to, r, CASE WHEN isfinite(rr) THEN round(rr, 6) END AS rr, CASE WHEN isfinite(or_) THEN round(or_, 6) END AS or_ FROM z")
+@query("t5_bootstrap_replicates", f"{CELLS} SELECT phase_from, phase_to, r, CASE WHEN isfinite(rr) THEN rr END AS rr, CASE WHEN isfinite(or_) THEN or_ END AS or_ FROM z")
 def _(t):
     drawn = B.hashed_replicates(B.cluster_cells(arm(t), "gene"), DRAWN)
-    finite = lambda c: F.when(F.col(c) < float("inf"), F.round(c, DIGITS)).alias(c)
+    finite = lambda c: F.when(F.col(c) < float("inf"), F.col(c)).alias(c)
     return drawn.select("phase_from", "phase_to", "r", finite("rr"), finite("or_"))
 
 
