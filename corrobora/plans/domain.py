@@ -44,15 +44,15 @@ def counts_sql(source: str, keys: str = "") -> str:
         count(*) FILTER (WHERE {ok} AND NOT yes AND max_phase >= phase_to) AS x_no, count(*) FILTER (WHERE {ok} AND NOT yes) AS n_no FROM {source}, {STEPS} GROUP BY {k}phase_from, phase_to"""
 
 
-def ratios_sql(counts: str, more: str = "") -> str:
+def ratios_sql(counts: str, more: str = "", digits: int = DIGITS) -> str:
     """counts with rates, ratios and intervals."""
     z = "1.959963984540054"
     return f"""SELECT * EXCLUDE (h, a, b, c, d, m, n, e1, e2), {more}
-        round(CASE WHEN n_yes > 0 THEN x_yes / n_yes ELSE 0 END, {DIGITS}) AS rate_yes, round(CASE WHEN n_no > 0 THEN x_no / n_no ELSE 0 END, {DIGITS}) AS rate_no,
-        CASE WHEN n_yes > 0 AND n_no > 0 THEN round((a / m) / (c / n), {DIGITS}) END AS rr,
-        CASE WHEN n_yes > 0 AND n_no > 0 THEN round(exp(ln((a / m) / (c / n)) - {z} * e1), {DIGITS}) END AS rr_lower, CASE WHEN n_yes > 0 AND n_no > 0 THEN round(exp(ln((a / m) / (c / n)) + {z} * e1), {DIGITS}) END AS rr_upper,
-        CASE WHEN n_yes > 0 AND n_no > 0 THEN round((a * d) / (b * c), {DIGITS}) END AS "or",
-        CASE WHEN n_yes > 0 AND n_no > 0 THEN round(exp(ln((a * d) / (b * c)) - {z} * e2), {DIGITS}) END AS or_lower, CASE WHEN n_yes > 0 AND n_no > 0 THEN round(exp(ln((a * d) / (b * c)) + {z} * e2), {DIGITS}) END AS or_upper
+        round(CASE WHEN n_yes > 0 THEN x_yes / n_yes ELSE 0 END, {digits}) AS rate_yes, round(CASE WHEN n_no > 0 THEN x_no / n_no ELSE 0 END, {digits}) AS rate_no,
+        CASE WHEN n_yes > 0 AND n_no > 0 THEN round((a / m) / (c / n), {digits}) END AS rr,
+        CASE WHEN n_yes > 0 AND n_no > 0 THEN round(exp(ln((a / m) / (c / n)) - {z} * e1), {digits}) END AS rr_lower, CASE WHEN n_yes > 0 AND n_no > 0 THEN round(exp(ln((a / m) / (c / n)) + {z} * e1), {digits}) END AS rr_upper,
+        CASE WHEN n_yes > 0 AND n_no > 0 THEN round((a * d) / (b * c), {digits}) END AS "or",
+        CASE WHEN n_yes > 0 AND n_no > 0 THEN round(exp(ln((a * d) / (b * c)) - {z} * e2), {digits}) END AS or_lower, CASE WHEN n_yes > 0 AND n_no > 0 THEN round(exp(ln((a * d) / (b * c)) + {z} * e2), {digits}) END AS or_upper
         FROM (SELECT *, CASE WHEN n_yes > 0 AND n_no > 0 THEN sqrt(1 / a - 1 / m + 1 / c - 1 / n) END AS e1, CASE WHEN n_yes > 0 AND n_no > 0 THEN sqrt(1 / a + 1 / b + 1 / c + 1 / d) END AS e2
         FROM (SELECT *, x_yes + h AS a, n_yes - x_yes + h AS b, x_no + h AS c, n_no - x_no + h AS d, n_yes + 2 * h AS m, n_no + 2 * h AS n
         FROM (SELECT *, CASE WHEN x_yes = 0 OR x_yes = n_yes OR x_no = 0 OR x_no = n_no THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS h FROM ({counts}))))"""
@@ -233,6 +233,22 @@ def _(t):
     return B.bootstrap(arm(t))
 
 
+def bounds_sql(unit: str) -> str:
+    """Bounds of the hash-drawn bootstrap of an arm, whose clusters are those of a column."""
+    usable = "sum(x_yes) > 0 AND sum(x_no) > 0 AND sum(x_yes) < sum(n_yes) AND sum(x_no) < sum(n_no) AND count(*) FILTER (WHERE n_yes > 0) > 1 AND count(*) FILTER (WHERE n_no > 0) > 1"
+    values = lambda c: f"list_sort(list({c}) FILTER (WHERE {c} IS NOT NULL))"
+    bound = lambda v, side, at: f"CASE WHEN usable AND len({v}s) >= {1 - B.MOST_UNDEFINED} * times THEN {v}s[CAST({at} AS INT) + 1] END AS {v}_boot_{side}".replace("LEN", f"(len({v}s) - 1)")
+    bounds = [bound(v, side, at) for v in ("rr", "or") for side, at in (("lower", "floor(LEN * 0.025)"), ("upper", "ceil(LEN * 0.975)"))]
+    return f"""{CELLS.replace('ct.gene AS cluster', f'ct.{unit} AS cluster')}, q AS (SELECT phase_from, phase_to, {usable} AS usable FROM c GROUP BY ALL),
+        v AS (SELECT phase_from, phase_to, count(*) AS times, {values('rr')} AS rrs, {values('or_')} AS ors FROM z GROUP BY ALL)
+        SELECT phase_from, phase_to, {', '.join(bounds)} FROM q JOIN v USING (phase_from, phase_to)"""
+
+
+@query("t7_bootstrap_ci_hashed", f"SELECT phase_from, phase_to, {', '.join(f'round({c}, {DIGITS}) AS {c}' for c in ('rr_boot_lower', 'rr_boot_upper', 'or_boot_lower', 'or_boot_upper'))} FROM ({bounds_sql('gene')})")
+def _(t):
+    return tidy(B.bootstrap(arm(t), n=DRAWN, draw=B.hashed_replicates))
+
+
 # Entities.
 
 IDS = ("chembl_id", "drugbank_id", "drug_name_normalized", "stitch_id")

@@ -13,8 +13,9 @@ from ..operators import ontology as O
 from ..sources import evidence as V
 from ..sources import status as S
 from ..sources import trials as N
+from ..storage import materialise
 from . import analysis
-from .domain import ARM, CELLS, DIGITS, FLAGS, GONE, RESOLVED, SUPPORTED, YES, arm, counts_sql, ratios_sql, release, tidy  # noqa: F401
+from .domain import ARM, CELLS, DIGITS, DRAWN, FLAGS, GONE, RESOLVED, SUPPORTED, YES, arm, bounds_sql, counts_sql, ratios_sql, release, tidy  # noqa: F401
 from .inputs import INPUTS, ctes, frame
 
 QUERIES, SQL = {}, {}
@@ -406,14 +407,26 @@ def _(t):
     return analysis.pivot_metric(rows, ["phase_from", "phase_to"], "arm", ["concluded", "running"], "rr").drop("movement")
 
 
-@query("b4_cluster_unit_sensitivity")
-def _(t):
-    flagged = arm(t)
+def widening(t, **more):
+    flagged = materialise(arm(t))
     closed = E.with_ratios(E.transition_counts(flagged)).select("phase_from", "phase_to", "rr_lower", "rr_upper")
-    units = {u: analysis.interval_widening(B.bootstrap(flagged, u), closed, ["phase_from", "phase_to"]) for u in ("gene", "efo_id")}
+    units = {u: analysis.interval_widening(B.bootstrap(flagged, u, **more), closed, ["phase_from", "phase_to"]) for u in ("gene", "efo_id")}
     return analysis.named_union(units, "unit").select("unit", "phase_from", "phase_to", "widening")
 
 
+@query("b4_cluster_unit_sensitivity")
+def _(t):
+    return widening(t)
+
+
+WIDER = " UNION ALL ".join(f"SELECT '{u}' AS unit, * FROM ({bounds_sql(u)})" for u in ("gene", "efo_id"))
+
+
+@query("b4_cluster_unit_sensitivity_hashed", f"SELECT unit, phase_from, phase_to, round(CASE WHEN rr_boot_lower > 0 AND rr_upper > rr_lower THEN (ln(rr_boot_upper) - ln(rr_boot_lower)) / (ln(rr_upper) - ln(rr_lower)) END, {DIGITS}) AS widening FROM ({WIDER}) JOIN ({ARM} {ratios_sql(counts_sql('f'), digits=15)}) USING (phase_from, phase_to)")
+def _(t):
+    return tidy(widening(t, n=DRAWN, draw=B.hashed_replicates))
+
+
 @query("b5_per_source_enrichment", f"WITH {ctes('ct', 'ge', 'sim')}, s AS ({SUPPORTED}), {FLAGS} {ratios_sql(counts_sql('f', 'source'))}")
 def _(t):
     sources = sorted(r[0] for r in t("ge").select("source").distinct().collect())
