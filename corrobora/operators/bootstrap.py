@@ -103,7 +103,8 @@ def intervals(drawn: DataFrame, sums: DataFrame, alpha: float = 0.05, keys=()) -
     return out.select(*keys, *STEP, *[F.when(F.col("usable"), F.coalesce(n, F.lit(float("nan")))).otherwise(F.lit(float("nan"))).alias(n) for n in names])
 
 
-def bootstrap(trials: DataFrame, cluster: str = "gene", n: int = REPLICATES, seed: int = 0, alpha: float = 0.05, transitions=TRANSITIONS, keys=(), flag: str = "has_genetic_evidence", draw=replicates) -> DataFrame:
-    """Intervals by resampling clusters, for each arm and transition. draw: replicates or hashed_replicates."""
+def bootstrap(trials: DataFrame, cluster: str = "gene", n: int = REPLICATES, seed: int = 0, alpha: float = 0.05, transitions=TRANSITIONS, keys=(), flag: str = "has_genetic_evidence", hashed: bool = False) -> DataFrame:
+    """Intervals by resampling clusters, for each arm and transition. hashed: draws by MD5, which other engines repeat."""
     cells = materialise(cluster_cells(trials, cluster, transitions, keys, flag))
+    draw = hashed_replicates if hashed else replicates
     return intervals(draw(cells, n, seed, keys), arm_sums(cells, keys), alpha, keys)

@@ -246,7 +246,7 @@ def bounds_sql(unit: str) -> str:
 
 @query("t7_bootstrap_ci_hashed", f"SELECT phase_from, phase_to, {', '.join(f'round({c}, {DIGITS}) AS {c}' for c in ('rr_boot_lower', 'rr_boot_upper', 'or_boot_lower', 'or_boot_upper'))} FROM ({bounds_sql('gene')})")
 def _(t):
-    return tidy(B.bootstrap(arm(t), n=DRAWN, draw=B.hashed_replicates))
+    return tidy(B.bootstrap(arm(t), n=DRAWN, hashed=True))
 
 
 # Entities.

@@ -424,7 +424,7 @@ WIDER = " UNION ALL ".join(f"SELECT '{u}' AS unit, * FROM ({bounds_sql(u)})" for
 
 @query("b4_cluster_unit_sensitivity_hashed", f"SELECT unit, phase_from, phase_to, round(CASE WHEN rr_boot_lower > 0 AND rr_upper > rr_lower THEN (ln(rr_boot_upper) - ln(rr_boot_lower)) / (ln(rr_upper) - ln(rr_lower)) END, {DIGITS}) AS widening FROM ({WIDER}) JOIN ({ARM} {ratios_sql(counts_sql('f'), digits=15)}) USING (phase_from, phase_to)")
 def _(t):
-    return tidy(widening(t, n=DRAWN, draw=B.hashed_replicates))
+    return tidy(widening(t, n=DRAWN, hashed=True))
 
 
 @query("b5_per_source_enrichment", f"WITH {ctes('ct', 'ge', 'sim')}, s AS ({SUPPORTED}), {FLAGS} {ratios_sql(counts_sql('f', 'source'))}")
