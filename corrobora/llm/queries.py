@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, html_text, mixing, quality, sharding, simhash, spelling, toxicity, url_filter
+from . import bpe, chat, exact_dedup, html_text, leaks, mixing, quality, sharding, simhash, spelling, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_quality": quality.op10_quality,
+    "op11_leaks": leaks.op11_leaks,
     "op12_spelling": spelling.op12_spelling,
+    "op13_whitening": whitening.op13_whitening,
 }
-SQL = {"op1_mixing": mixing.OP1_SQL, "op4_chat": chat.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op9_url_filter": url_filter.OP9_SQL, "op12_spelling": spelling.OP12_SQL}
+SQL = {"op1_mixing": mixing.OP1_SQL, "op4_chat": chat.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op9_url_filter": url_filter.OP9_SQL, "op11_leaks": leaks.OP11_SQL, "op12_spelling": spelling.OP12_SQL}
