@@ -5,26 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise, new_path
+from ..storage import materialise, materialise_with, new_path, small
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of all nodes of edges (a, b); label: the smallest node of the component.
+    """(node, label) of all nodes of edges (a, b); label: the smallest node of the component. Edges with a null end are none.
 
-    Each round takes the smallest label around a node, hands it to the root that the node had, and jumps to the label's own label.
+    Each round hooks every node to its smallest neighbour, if that is smaller, follows these pointers to their roots by
+    doubling, and shrinks the edges to pairs of different roots: finished components are gone from the next round, and
+    of the others at least half of the nodes. Pointers only lead to smaller nodes, so a component's last root is its
+    smallest node.
     """
-    edges = materialise(edges.select("a", "b").dropna().distinct())
-    both = edges.union(edges.select("b", "a"))
-    state = materialise(both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+    given = materialise(edges.select("a", "b").dropna().distinct())
+    edges, seen = materialise_with(between(given), n=F.count("*"))
+    levels: list[DataFrame] = []
+    while seen["n"]:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).filter("up < node")
+        up = roots(hooks)
+        levels.append(up)
+        end = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))  # noqa: E731, B023
+        moved = edges.join(small(end("a")), "a", "left").join(small(end("b")), "b", "left")
+        edges, seen = materialise_with(between(moved.select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b"))), n=F.count("*"))
+    label = given.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    for up in levels:
+        label = label.join(small(up.select(F.col("node").alias("label"), F.col("up").alias("_up"))), "label", "left").select("node", F.coalesce("_up", "label").alias("label"))
+    return label
+
+
+def between(edges: DataFrame) -> DataFrame:
+    """The edges between different nodes, each once, the larger end first."""
+    return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def roots(hooks: DataFrame) -> DataFrame:
+    """(node, up) with up a root, of pointers (node, up) that lead to smaller nodes; roots have no row."""
+    state = materialise(hooks)
     while True:
-        near = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = materialise(state.join(near, "node").select("node", "label", F.least("label", "near").alias("next")))
-        hooks = step.groupBy(F.col("label").alias("node")).agg(F.min("next").alias("hook"))
-        lower = step.join(hooks, "node", "left").select("node", "label", F.least("next", "hook").alias("next"))
-        jump = lower.select(F.col("node").alias("of"), F.col("next").alias("top"))
-        after = materialise(lower.join(jump, F.col("next") == F.col("of")).select("node", "label", F.least("next", "top").alias("next")))
-        state = after.select("node", F.col("next").alias("label"))
-        if after.filter("label <> next").isEmpty():
+        further = state.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        after, seen = materialise_with(state.join(small(further), "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), moved=F.count_if("moved"))
+        state = after.select("node", "up")
+        if not seen["moved"]:
             return state
 
 

@@ -107,21 +107,50 @@ def information_content(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialise(above.groupBy(F.col("ancestor").alias("id")).agg((0.0 - F.ln(F.count("*") / n)).alias("ic"))), above
 
 
-def scored_ancestors(edges: DataFrame):
-    """((ancestor, id, ic_a, ic_m), score): all terms with their ancestors and the information content of both; score gives the similarity by the contents of two terms and a common ancestor."""
+#: Terms below one ancestor that one task compares.
+BLOCK_TERMS = 2000
+
+
+def ranked_ancestors(edges: DataFrame):
+    """((ancestor, id, ic_a, ic_m, before), score): all terms with their ancestors and the information content of both; score gives the similarity by the contents of two terms and a common ancestor.
+
+    Ancestors are ordered by falling content, then by number; before has the numbers of a term's ancestors that come before this one.
+    """
     ic, above = information_content(edges)
+    ic = materialise(ic.withColumn("number", F.monotonically_increasing_id()))
     top = ic.agg(F.max("ic")).first()[0] or 0.0
-    rows = above.join(small(ic.select("id", F.col("ic").alias("ic_a"))), "id").join(small(ic.select(F.col("id").alias("ancestor"), F.col("ic").alias("ic_m"))), "ancestor")
-    return rows, lambda a, b, m: (F.when(a + b > 0, 2 * m / F.when(a + b > 0, a + b)).otherwise(0.0) + (m / top if top else F.lit(0.0))) / 2
+    of_term = ic.select("id", F.col("ic").alias("ic_a"))
+    of_ancestor = ic.select(F.col("id").alias("ancestor"), F.col("ic").alias("ic_m"), "number")
+    rows = above.join(small(of_ancestor), "ancestor")
+    lists = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("ic_m")).alias("less"), "number", "ancestor"))).alias("list"))
+    each = lists.select("id", F.transform("list", lambda x: x["number"]).alias("numbers"), F.posexplode("list").alias("k", "x"))
+    ranked = each.select(F.col("x.ancestor").alias("ancestor"), "id", (-F.col("x.less")).alias("ic_m"), F.slice("numbers", F.lit(1), F.col("k")).alias("before"))
+    score = lambda a, b, m: (F.when(a + b > 0, 2 * m / F.when(a + b > 0, a + b)).otherwise(0.0) + (m / top if top else F.lit(0.0))) / 2
+    return ranked.join(small(of_term), "id").select("ancestor", "id", "ic_a", "ic_m", "before"), score
+
+
+def meet_first(left: DataFrame, right: DataFrame, condition=None) -> DataFrame:
+    """(id, id_b, ic_a, ic_b, ic_m) of rows of left and right (ancestor, id, ic_a, ic_m, before): each pair once, at the first of its common ancestors.
+
+    A pair that meets at a later one has a common ancestor before it in both lists and isn't emitted there, so nothing
+    is grouped. The terms below an ancestor are counted and dealt out in blocks of BLOCK_TERMS, so the root, which all
+    terms share, is as many tasks' work as it has blocks.
+    """
+    blocks = F.ceil(F.count("*") / BLOCK_TERMS).cast("int")
+    below = small(materialise(right.groupBy("ancestor").agg(blocks.alias("blocks"))))
+    dealt = right.join(below, "ancestor").select("ancestor", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("id_b"), F.col("ic_a").alias("ic_b"), F.col("before").alias("before_b"))
+    spread = left.join(below, "ancestor").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).drop("blocks")
+    met = spread.join(dealt, ["ancestor", "block"])
+    if condition is not None:
+        met = met.filter(condition)
+    return met.filter(~F.arrays_overlap("before", "before_b")).select("id", "id_b", "ic_a", "ic_b", "ic_m")
 
 
 def similarity_rows(edges: DataFrame, queries: DataFrame) -> DataFrame:
     """(efo_id_1, efo_id_2, similarity): rows of the full matrix, each of the queries (id) against all terms that share an ancestor with it; 1 on the diagonal."""
-    rows, score = scored_ancestors(edges)
+    rows, score = ranked_ancestors(edges)
     rows = materialise(rows)
-    own = rows.join(small(queries.select("id").distinct()), "id", "left_semi")
-    other = rows.select("ancestor", F.col("id").alias("id_b"), F.col("ic_a").alias("ic_b"))
-    pairs = own.join(other, "ancestor").groupBy("id", "id_b", "ic_a", "ic_b").agg(F.max("ic_m").alias("ic_m"))
+    pairs = meet_first(rows.join(small(queries.select("id").distinct()), "id", "left_semi"), rows)
     same = F.when(F.col("id") == F.col("id_b"), 1.0)
     return pairs.select(F.col("id").alias("efo_id_1"), F.col("id_b").alias("efo_id_2"), same.otherwise(score(F.col("ic_a"), F.col("ic_b"), F.col("ic_m"))).alias("similarity"))
 
@@ -131,14 +160,15 @@ def semantic_similarity(edges: DataFrame, threshold: float, terms: DataFrame | N
 
     With m the most informative common ancestor, a pair can only reach the threshold if on each side
     (2 ic_m / (ic_a + ic_m) + ic_m / max_ic) / 2 does, as ic_b >= ic_m: rows (a, m) below it are dropped before the
-    self-join, which takes away the root's fan-out and loses no pair.
+    terms meet. A row's earlier ancestors are more informative and pass if it does, so the first common one is kept.
     """
-    rows, score = scored_ancestors(edges)
+    rows, score = ranked_ancestors(edges)
     if terms is not None:
         rows = rows.join(small(terms.select("id").distinct()), "id", "left_semi")
+    rows = materialise(rows)
     ids = rows.select("id").distinct()
-    reach = materialise(rows.filter(score(F.col("ic_a"), F.col("ic_m"), F.col("ic_m")) >= threshold - 1e-12))
-    other = reach.select(F.col("ancestor"), F.col("id").alias("id_b"), F.col("ic_a").alias("ic_b"))
-    pairs = reach.join(other, "ancestor").filter("id < id_b").groupBy("id", "id_b", "ic_a", "ic_b").agg(F.max("ic_m").alias("ic_m"))
-    found = pairs.select("id", "id_b", score(F.col("ic_a"), F.col("ic_b"), F.col("ic_m")).alias("similarity")).filter(F.col("similarity") >= threshold)
-    return found.toDF("efo_id_1", "efo_id_2", "similarity").union(found.select("id_b", "id", "similarity")).union(ids.select("id", "id", F.lit(1.0)))
+    reach = rows.filter(score(F.col("ic_a"), F.col("ic_m"), F.col("ic_m")) >= threshold - 1e-12)
+    near = score(F.col("ic_a"), F.col("ic_b"), F.col("ic_m"))
+    pairs = meet_first(reach, reach, (F.col("id") < F.col("id_b")) & (near >= threshold))
+    found = materialise(pairs.select("id", "id_b", near.alias("similarity")).toDF("efo_id_1", "efo_id_2", "similarity"))
+    return found.union(found.select("efo_id_2", "efo_id_1", "similarity")).union(ids.select("id", "id", F.lit(1.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bootstrap as B
 from ..operators import enrichment as E
-from ..operators import entities, graph
+from ..operators import entities, graph, intervals
 from ..operators import matching as M
 from ..operators import ontology as O
 from .evaluate import evaluate
@@ -331,6 +331,11 @@ def _(t):
     return graph.descendants(t("is_a"), "X:3")
 
 
+@query("g8_descendants_by_interval", f"{BELOW} SELECT id FROM b")
+def _(t):
+    return intervals.descendants(intervals.label(t("is_a")), "X:3")
+
+
 CONTENT = f"WITH RECURSIVE {ctes('is_a')}, n AS (SELECT child AS id FROM is_a UNION SELECT parent FROM is_a), up(id, ancestor) AS (SELECT id, id FROM n UNION SELECT up.id, parent FROM up JOIN is_a ON child = ancestor), ic AS (SELECT ancestor AS id, -ln(count(*) / (SELECT count(*) FROM n)) AS ic FROM up GROUP BY ancestor)"
 
 
@@ -339,6 +344,11 @@ def _(t):
     return O.information_content(t("is_a"))[0].select("id", F.round(F.col("ic") + 0.0, DIGITS).alias("ic"))
 
 
+@query("g9_information_content_by_interval", f"{CONTENT} SELECT id, round(ic + 0, 6) AS ic FROM ic")
+def _(t):
+    return intervals.information_content(intervals.label(t("is_a"))).select("id", F.round(F.col("ic") + 0.0, DIGITS).alias("ic"))
+
+
 TERMS = "SELECT CASE p_size % 8 WHEN 0 THEN 'EFO:' WHEN 1 THEN 'PR:' WHEN 2 THEN 'x:' WHEN 3 THEN 'Orphanet:' WHEN 4 THEN 'abc:' WHEN 5 THEN 'MonDo:' WHEN 6 THEN 'A_1:' ELSE 'none' END || p_partkey AS id, CASE WHEN p_size > 45 THEN ' ' ELSE p_name END AS name, p_size % 11 = 0 AS is_obsolete FROM {part}"
 
 

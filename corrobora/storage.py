@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables of at most this many rows, a few short columns each, may be broadcast.
@@ -40,6 +40,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_with(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """materialise, and the values of aggregates over the rows, which Spark gathers as it writes them."""
+    seen = Observation()
+    written = materialise(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]))
+    return written, seen.get
+
+
 def small(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if it is counted to have at most BROADCAST_ROWS rows."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
