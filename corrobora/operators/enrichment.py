@@ -35,16 +35,35 @@ def step_counts(cells: DataFrame, transitions=TRANSITIONS, keys=()) -> DataFrame
     )
 
 
-def counts_by_arm(trials: DataFrame, supported: DataFrame, keys, transitions=TRANSITIONS) -> DataFrame:
-    """transition_counts for each arm (keys) of supported (keys, gene, efo_id; distinct). Trials aren't multiplied by arms: what an arm doesn't support is what all trials have less what it does."""
-    ongoing = F.col("is_ongoing").alias("ongoing")
-    yes = trials.join(supported, ["gene", "efo_id"]).groupBy(*keys, "max_phase", ongoing).agg(F.count("*").alias("n_yes"))
-    all_ = trials.groupBy("max_phase", ongoing).count().collect()  # a row for each phase and state
-    cells = F.array(*[F.struct(F.lit(r["max_phase"]).cast("int").alias("max_phase"), F.lit(r["ongoing"]).alias("ongoing"), F.lit(r["count"]).cast("long").alias("n")) for r in all_]) if all_ else F.array().cast("array<struct<max_phase: int, ongoing: boolean, n: bigint>>")
-    grid = supported.select(*keys).distinct().select(*keys, F.explode(cells).alias("cell")).select(*keys, "cell.*")
-    both = grid.join(yes.withColumn("max_phase", F.col("max_phase").cast("int")), [*keys, "max_phase", "ongoing"], "left").withColumn("n_yes", F.coalesce("n_yes", F.lit(0).cast("long")))
-    sides = F.explode(F.array(F.struct(F.lit(True).alias("yes"), F.col("n_yes").alias("n")), F.struct(F.lit(False).alias("yes"), (F.col("n") - F.col("n_yes")).alias("n"))))
-    return step_counts(both.select(*keys, "max_phase", "ongoing", sides.alias("side")).select(*keys, "max_phase", "ongoing", "side.*"), transitions, keys)
+def counts_by_arm(trials: DataFrame, supported: DataFrame, keys, transitions=TRANSITIONS, arms: DataFrame | None = None, within=(), without: DataFrame | None = None, censorings: bool = False) -> DataFrame:
+    """transition_counts for each arm (keys) of supported (keys, gene, efo_id; distinct), and for each value of the trials' columns `within`.
+
+    Trials aren't multiplied by arms: what an arm doesn't support is what all trials have less what it does. arms:
+    (keys) of all arms; without it, arms that support no pair at all have no row. without: (gene, efo_id) of pairs that
+    leave the trials of an arm unless it supports them. censorings: counts with and without censoring, by `censored`.
+    """
+    keys, within = list(keys), list(within)
+    by = [*within, "max_phase", "ongoing"]
+    trials = trials.withColumn("ongoing", F.col("is_ongoing")).withColumn("max_phase", F.col("max_phase").cast("int"))
+    rest = F.lit(True)
+    if without is not None:
+        trials = trials.join(without.select("gene", "efo_id").distinct().withColumn("_left", F.lit(True)), ["gene", "efo_id"], "left")
+        rest = F.col("_left").isNull()
+    yes = trials.join(supported, ["gene", "efo_id"]).groupBy(*keys, *by).agg(F.count("*").alias("n_yes"), F.count_if(rest).alias("n_both"))
+    all_ = trials.groupBy(*by).agg(F.count_if(rest).alias("n")).collect()  # a row for each phase and state
+    kind = dict(trials.dtypes)
+    cell = lambda r: F.struct(*[F.lit(r[c]).cast(kind[c]).alias(c) for c in by], F.lit(r["n"]).cast("long").alias("n"))
+    cells = F.array(*map(cell, all_)) if all_ else F.array().cast(f"array<struct<{', '.join(f'{c}: {kind[c]}' for c in by)}, n: bigint>>")
+    arms = supported if arms is None else arms
+    grid = arms.select(*keys).distinct().select(*keys, F.explode(cells).alias("cell")).select(*keys, "cell.*")
+    zero = F.lit(0).cast("long")
+    both = grid.join(yes, [*keys, *by], "left").withColumns({c: F.coalesce(c, zero) for c in ("n_yes", "n_both")})
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("yes"), F.col("n_yes").alias("n")), F.struct(F.lit(False).alias("yes"), (F.col("n") - F.col("n_both")).alias("n")))).alias("side")
+    counted = both.select(*keys, *by, sides).select(*keys, *by, "side.*")
+    if censorings:
+        counted = counted.withColumn("censored", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("ongoing", F.col("ongoing") & F.col("censored"))
+        within.append("censored")
+    return step_counts(counted, transitions, [*within, *keys])
 
 
 def with_ratios(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -58,7 +77,12 @@ def with_ratios(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def enrichment(trials: DataFrame, transitions=TRANSITIONS, keys=(), alpha: float = 0.05, flag: str = "has_genetic_evidence") -> DataFrame:
     """Counts, rates, ratios, exact p-values and labels for each arm and transition."""
-    counts = with_ratios(transition_counts(trials, transitions, keys, flag), alpha).withColumn("transition", phase_label(F.col("phase_from"), F.col("phase_to")))
+    return tested(transition_counts(trials, transitions, keys, flag), keys, alpha)
+
+
+def tested(counts: DataFrame, keys=(), alpha: float = 0.05) -> DataFrame:
+    """Counts by arm and transition with rates, ratios, exact p-values and labels."""
+    counts = with_ratios(counts, alpha).withColumn("transition", phase_label(F.col("phase_from"), F.col("phase_to")))
     return stats.with_fisher(counts, "x_yes", "n_yes", "x_no", "n_no", [*keys, "phase_from", "phase_to"])
 
 

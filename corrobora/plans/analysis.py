@@ -20,10 +20,8 @@ def named_union(tables: dict[str, DataFrame], key: str) -> DataFrame:
 
 def arm_grid(trials: DataFrame, evidence: DataFrame, similarity: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
     """Enrichment by trial table (column `trial_table`), evidence source and censoring."""
-    sources = sorted(r[0] for r in evidence.select("source").distinct().collect())
-    flagged = E.flag_sources(trials, M.supporting_pairs(evidence, similarity, threshold, ["source"]), sources)
-    both = flagged.withColumn("censored", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("is_ongoing", F.col("is_ongoing") & F.col("censored"))
-    return E.with_ratios(E.transition_counts(both, keys=["trial_table", "source", "censored"]))
+    supported = M.supporting_pairs(evidence, similarity, threshold, ["source"])
+    return E.with_ratios(E.counts_by_arm(trials, supported, ["source"], arms=evidence.select("source"), within=["trial_table"], censorings=True))
 
 
 def published_gap(own: DataFrame, published: DataFrame, on: str = "transition") -> DataFrame:
@@ -115,8 +113,8 @@ def pooled_sweep(associations: DataFrame, thresholds=(0.0, 0.25, 0.5, 0.75)) ->
 
 
 def enrich_arms(trials: DataFrame, evidence: DataFrame, keys: list[str], similarity: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
-    """Counts and ratios of each arm of the evidence (keys: scope, datasource and threshold, ...), in one pass over the trials."""
-    return E.with_ratios(E.counts_by_arm(trials, M.supporting_pairs(evidence, similarity, threshold, keys), keys))
+    """Counts and ratios of each arm of the evidence (keys: scope, datasource and threshold, ...), in one pass over the trials; an arm that supports no trial has its row too."""
+    return E.with_ratios(E.counts_by_arm(trials, M.supporting_pairs(evidence, similarity, threshold, keys), keys, arms=evidence.select(*keys)))
 
 
 def similarity_sweep(trials: DataFrame, evidence: DataFrame, similarity: DataFrame, thresholds=(0.5, 0.6, 0.7, 0.8, 0.9, 1.0)) -> DataFrame:

@@ -237,7 +237,7 @@ def bounds_sql(unit: str) -> str:
     """Bounds of the hash-drawn bootstrap of an arm, whose clusters are those of a column."""
     usable = "sum(x_yes) > 0 AND sum(x_no) > 0 AND sum(x_yes) < sum(n_yes) AND sum(x_no) < sum(n_no) AND count(*) FILTER (WHERE n_yes > 0) > 1 AND count(*) FILTER (WHERE n_no > 0) > 1"
     values = lambda c: f"list_sort(list({c}) FILTER (WHERE {c} IS NOT NULL))"
-    bound = lambda v, side, at: f"CASE WHEN usable AND len({v}s) >= {1 - B.MOST_UNDEFINED} * times THEN {v}s[CAST({at} AS INT) + 1] END AS {v}_boot_{side}".replace("LEN", f"(len({v}s) - 1)")
+    bound = lambda v, side, at: f"CASE WHEN usable AND least(len(rrs), len(ors)) >= {1 - B.MOST_UNDEFINED} * times THEN {v}s[CAST({at} AS INT) + 1] END AS {v}_boot_{side}".replace("LEN", f"(len({v}s) - 1)")
     bounds = [bound(v, side, at) for v in ("rr", "or") for side, at in (("lower", "floor(LEN * 0.025)"), ("upper", "ceil(LEN * 0.975)"))]
     return f"""{CELLS.replace('ct.gene AS cluster', f'ct.{unit} AS cluster')}, q AS (SELECT phase_from, phase_to, {usable} AS usable FROM c GROUP BY ALL),
         v AS (SELECT phase_from, phase_to, count(*) AS times, {values('rr')} AS rrs, {values('or_')} AS ors FROM z GROUP BY ALL)

@@ -37,8 +37,9 @@ def evaluate(
     seed: int = 0,
     check_similarity: bool = False,
     key: str = "source",
+    hashed: bool = False,
 ) -> Evaluation:
-    """Enrichment of each source of the evidence (column `key`). With a baseline, trials that it alone supports are left out. Inputs are frames or Parquet paths."""
+    """Enrichment of each source of the evidence (column `key`), also of one that supports no trial. With a baseline, trials that it alone supports are left out. Inputs are frames or Parquet paths. hashed: bootstrap draws that other engines repeat."""
     spark = SparkSession.active()
     trials, evidence, similarity, baseline, genes = (None if x is None else scan(spark, x) for x in (trials, evidence, similarity, baseline, genes))
     M.require_columns(evidence, [key, *M.PAIR], "evidence")
@@ -58,13 +59,15 @@ def evaluate(
     if genes is not None:
         base = base.join(genes.select("gene").distinct(), "gene", "left_semi").select(*base.columns)
     sources = sorted(r[0] for r in evidence.select(key).distinct().collect())  # names of arms
-    flagged = E.flag_sources(base, M.supporting_pairs(evidence, similarity, threshold, [key]), sources, key)
+    supported = M.supporting_pairs(evidence, similarity, threshold, [key])
+    flagged = E.flag_sources(base, supported, sources, key)
+    own = None
     if baseline is not None:
         own = M.supporting_pairs(baseline, similarity, threshold)
         flagged = M.membership_flags(flagged, {"_base": own}).filter(F.col("has_genetic_evidence") | ~F.col("_base")).drop("_base")
-    result = E.enrichment(flagged, transitions, [key])
+    result = E.tested(E.counts_by_arm(base, supported, [key], transitions, evidence.select(key), without=own), [key])
     if cluster:
-        result = result.join(B.bootstrap(flagged, cluster, replicates, seed, transitions=transitions, keys=[key]), [key, "phase_from", "phase_to"])
+        result = result.join(B.bootstrap(flagged, cluster, replicates, seed, transitions=transitions, keys=[key], hashed=hashed, warn=True), [key, "phase_from", "phase_to"])
     return Evaluation(result, flagged, audit(evidence, base, similarity, threshold, key), report)
 
 

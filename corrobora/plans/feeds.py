@@ -429,9 +429,7 @@ def _(t):
 
 @query("b5_per_source_enrichment", f"WITH {ctes('ct', 'ge', 'sim')}, s AS ({SUPPORTED}), {FLAGS} {ratios_sql(counts_sql('f', 'source'))}")
 def _(t):
-    sources = sorted(r[0] for r in t("ge").select("source").distinct().collect())
-    flagged = E.flag_sources(t("ct"), M.supporting_pairs(t("ge"), t("sim"), 0.8, ["source"]), sources)
-    return tidy(E.with_ratios(E.transition_counts(flagged, keys=["source"])))
+    return tidy(analysis.enrich_arms(t("ct"), t("ge"), ["source"], t("sim")))
 
 
 @query("b6_evidence_scope", f"WITH {ctes('assoc')} SELECT DISTINCT source, 'G' || targetId AS gene, diseaseId AS efo_id FROM assoc, (VALUES ('germline'), ('with somatic')) v(source) WHERE datasourceId IN ('eva', 'orphanet') OR (source = 'with somatic' AND datasourceId = 'eva_somatic')")
@@ -447,7 +445,7 @@ def keyed_arms(evidence: str, keys: str, *inputs: str) -> str:
     on = " AND ".join(f"s.{k} = a.{k}" for k in keys.split(", "))
     arms = ", ".join(f"a.{k}" for k in keys.split(", "))
     return f"""WITH {ctes('ct', 'ge', 'sim')}, ev AS ({evidence}), s AS (SELECT DISTINCT {keys}, gene, efo_id_2 AS efo_id FROM ev JOIN sim ON efo_id = efo_id_1 AND similarity >= 0.8),
-        f AS (SELECT {arms}, ct.*, s.gene IS NOT NULL AS yes FROM ct CROSS JOIN (SELECT DISTINCT {keys} FROM s) a LEFT JOIN s ON {on} AND s.gene = ct.gene AND s.efo_id = ct.efo_id) {ratios_sql(counts_sql('f', keys))}"""
+        f AS (SELECT {arms}, ct.*, s.gene IS NOT NULL AS yes FROM ct CROSS JOIN (SELECT DISTINCT {keys} FROM ev) a LEFT JOIN s ON {on} AND s.gene = ct.gene AND s.efo_id = ct.efo_id) {ratios_sql(counts_sql('f', keys))}"""
 
 
 @query("b6_scope_enrichment", keyed_arms(SCOPED, "source"))

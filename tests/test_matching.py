@@ -122,3 +122,42 @@ def test_counts_by_arm_are_those_of_flags(trials, evidence, similarity):
     want = E.transition_counts(E.flag_sources(flags, supported, ["a", "b"]), keys=["source"])
     assert sorted(E.counts_by_arm(flags, supported, ["source"]).collect()) == sorted(want.collect())
     assert E.counts_by_arm(flags.limit(0), supported, ["source"]).count() == 0
+
+
+def test_arms_without_support_have_rows(spark, trials, evidence, similarity):
+    """Evidence on a disease that the lookup lacks, and on a pair that no trial has, is an arm with nothing in it."""
+    from corrobora.plans import analysis
+
+    lone = spark.createDataFrame([("GENE1", "EFO:999", "unmatched"), ("GENE999", "EFO:001", "no trial")], "gene string, efo_id string, source string")
+    every = evidence.withColumn("source", F.lit("some")).unionByName(lone)
+    flags = trials.withColumn("is_ongoing", F.col("max_phase") == 2)
+    for out in (evaluate(flags, every, similarity).enrichment, analysis.enrich_arms(flags, every, ["source"], similarity)):
+        rows = out.filter("phase_from = 1 AND phase_to = 2").collect()
+        assert {r["source"]: r["n_yes"] > 0 for r in rows} == {"some": True, "unmatched": False, "no trial": False}
+        assert len({r["n_yes"] + r["n_no"] for r in rows}) == 1
+    grid = analysis.arm_grid(flags.withColumn("trial_table", F.lit("all")), every, similarity)
+    assert grid.count() == 3 * 4 * 2 and grid.filter("source = 'unmatched' AND n_yes = 0 AND n_no > 0").count() == 8
+
+
+def test_counts_beside_a_baseline_and_within_groups_are_those_of_flags(trials, evidence, similarity):
+    flags = trials.withColumn("is_ongoing", F.col("max_phase") == 2).withColumn("half", F.when(F.col("gene") < "GENE3", "x").otherwise("y"))
+    two = evidence.withColumn("source", F.when(F.col("gene") < "GENE4", "a").otherwise("b"))
+    supported, base = M.supporting_pairs(two, similarity, 0.5, ["source"]), M.supporting_pairs(evidence, similarity, 0.5)
+    flagged = M.membership_flags(E.flag_sources(flags, supported, ["a", "b"]), {"_base": base}).filter(F.col("has_genetic_evidence") | ~F.col("_base"))
+    want = E.transition_counts(flagged, keys=["half", "source"])
+    got = E.counts_by_arm(flags, supported, ["source"], within=["half"], without=base)
+    columns = ["half", "source", "phase_from", "phase_to", "x_yes", "n_yes", "x_no", "n_no"]
+    filled = lambda rows: sorted(tuple(r) for r in rows if r["n_yes"] + r["n_no"])
+    assert filled(got.select(columns).collect()) == filled(want.select(columns).collect())
+
+
+def test_validate_clustered_by_hashed_draws(spark, trials, evidence, similarity):
+    """m10_validate_clustered: the bounds of each source are those of its own bootstrap, and those of DuckDB's draws (t7_bootstrap_ci_hashed)."""
+    flags = trials.withColumn("is_ongoing", F.lit(False))
+    two = evidence.withColumn("source", F.lit("a")).unionByName(evidence.filter("gene < 'GENE5'").withColumn("source", F.lit("b")))
+    out = evaluate(flags, two, similarity, threshold=0.5, cluster="gene", replicates=200, hashed=True)
+    names = ["phase_from", "phase_to", "rr_boot_lower", "rr_boot_upper", "or_boot_lower", "or_boot_upper"]
+    for source in "ab":
+        alone = M.annotate_evidence(M.drop_unmatchable(M.clean_trials(flags), similarity), M.supporting_pairs(two.filter(F.col("source") == source), similarity, 0.5))
+        boot = B.bootstrap(alone, "gene", 200, hashed=True)
+        assert sorted(map(repr, out.enrichment.filter(F.col("source") == source).select(names).collect())) == sorted(map(repr, boot.select(names).collect()))

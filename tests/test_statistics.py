@@ -85,6 +85,57 @@ def test_bootstrap_bounds_may_be_infinite(spark):
     assert math.isinf(row["rr_boot_upper"]) and math.isfinite(row["rr_boot_lower"])
 
 
+def test_draws_down_a_tree_have_the_moments_of_direct_draws(spark, monkeypatch):
+    """The same sums by leaves of 5 cells, two or more levels deep, as by one leaf: equal means, variances and covariances."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    cells = [(1, 2, f"c{i}", int(x), int(x) + 1 + i % 7, i % 3, 3 + i % 11) for i, x in enumerate(rng.integers(0, 40, 200))]
+    df = spark.createDataFrame(cells, "phase_from int, phase_to int, cluster string, x_yes long, n_yes long, x_no long, n_no long")
+    own = np.array([c[3:] for c in cells], float)
+    mean, cov = own.sum(axis=0), len(own) * np.cov(own.T, bias=True)
+    taken = []
+    monkeypatch.setattr(B, "ratios", lambda a, m, c, n: (F.array(a, m, c, n), F.lit(1.0)))
+    for leaf, parts in ((4096, 3), (5, 3), (5, 7)):
+        monkeypatch.setattr(B, "LEAF", leaf)
+        monkeypatch.setattr(B, "FAN", 4)
+        drawn = {r["r"]: r["rr"] for r in B.replicates(df.repartition(parts), 3000).collect()}
+        assert sorted(drawn) == list(range(3000))
+        x = np.array([drawn[r] for r in range(3000)])
+        assert np.all(np.abs(x.mean(axis=0) - mean) < 5 * np.sqrt(np.diag(cov) / 3000))
+        assert (np.abs(np.cov(x.T) - cov) / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))).max() < 5 * np.sqrt(2 / 3000)
+        taken.append(x)
+    assert (taken[1] == taken[2]).all()  # for any partitioning
+    assert (taken[0] != taken[1]).any()
+
+
+def test_an_arm_of_many_clusters_is_drawn_in_parts(spark, monkeypatch):
+    n = 200_000
+    cells = spark.range(n).select(F.lit(1).alias("phase_from"), F.lit(2).alias("phase_to"), F.col("id").cast("string").alias("cluster"), F.col("id").alias("x_yes"), (F.col("id") + 1).alias("n_yes"), F.lit(1).cast("long").alias("x_no"), F.lit(2).cast("long").alias("n_no"))
+    seen = []
+    sums = B.leaf_sums
+    monkeypatch.setattr(B, "leaf_sums", lambda state, leaves, *a: seen.append(leaves) or sums(state, leaves, *a))
+    drawn = B.replicates(cells, 20).select("rr").collect()
+    assert len(drawn) == 20 and all(r["rr"] == pytest.approx(2, rel=1e-2) for r in drawn)
+    sizes = [r["s"] for leaves in seen for r in leaves.select(F.size("cells").alias("s")).collect()]
+    assert sum(sizes) == n and max(sizes) < 1.2 * B.LEAF
+
+
+def test_the_ratio_that_lost_more_decides(spark):
+    """All odds ratios of replicates without failures are lost, none of the risk ratios."""
+    sums = spark.createDataFrame([(1, 2, True)], "phase_from int, phase_to int, usable boolean")
+    drawn = lambda lost: spark.createDataFrame([(1, 2, r, 1.0 + r, None if r < lost else 2.0) for r in range(100)], "phase_from int, phase_to int, r int, rr double, or_ double")
+    kept, gone = B.intervals(drawn(20), sums).first(), B.intervals(drawn(30), sums).first()
+    assert kept["rr_boot_lower"] == 3.0 and kept["or_boot_upper"] == 2.0
+    assert math.isnan(gone["rr_boot_lower"]) and math.isnan(gone["or_boot_upper"])
+    assert B.losses(drawn(30)).first()["lost"] == pytest.approx(0.3)
+
+
+def test_lost_replicates_are_warned_of(spark):
+    with pytest.warns(UserWarning, match="leave a ratio undefined"):
+        B.bootstrap(rows(spark, 2, 3, 1, 3), transitions=((1, 2),), n=400, warn=True)
+
+
 SF = "/root/testdata/sf0.001"
 
 
