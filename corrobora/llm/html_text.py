@@ -7,21 +7,24 @@ occur equally often on every page form an equivalence class. The vector isn't ga
 (page, count) to a token's signature, which Spark sums in parts whatever the host's size; equal signatures and supports
 mean equal vectors. Tags on at least two of the host's pages (or on its only one) and on LEAST_SHARE of them are the
 template's; texts only if more than half of the pages have them beyond doubt (one over the root of the pages more than
-half, so a few pages never tell): texts on fewer pages are content that repeats.
+half, so one to three pages never tell): texts on fewer pages are content that repeats. Only texts outside articles
+depend on this, so an article gives the same text on a host of any number of pages.
 
 On each page a class is valid if its tokens occur equally often there, in the class's order, and if each round of them
 lies within one slot (the gap between two neighbouring tokens) of every larger valid class or encloses it. A class that
 isn't valid on a page is divided into its tokens, which nest as HTML does. Valid classes nest into the page's template;
 the text between its tokens fills slots.
 
-The template says what a slot is for. Only elements whose tags are the template's have a say, for all slots inside
-them: an article or main element, or another with such a name, makes them slots of the article; a name of menus,
-sidebars, notices, adverts, forms, comments and so on speaks against them. An element that one page alone has is part
-of what fills a slot and has no say, whatever its class, id or title; nor have headings, nor the ids of paragraphs and
-their like, whose class must be just such a word. What can't hold an article by its meaning in HTML (nav, aside,
-footer, form, dialog, button, menu, head and hidden elements; header outside an article) is left out like scripts and
-styles. Text tokens of the template are dropped as the host's own words, in the article too; an article that would lose
-more than half of its text keeps them, as most of the host's pages are then taken for near copies of it.
+The template says what a slot is for. An article or main element whose tag is the template's, or another with such a
+name, makes the slots in it slots of the article. A name (class, id or role) that is a word for menus, sidebars,
+notices, adverts, forms, comments and so on, alone or with words of layout only (related-posts, ad-box-2), speaks
+against an element and all slots in it; related-work, search-engines and notice-period don't. In an article it doesn't
+either where most of the text that varies between the host's pages stands in the element. That holds too for a box that
+one page alone has, if its host has a template to tell the article from the rest. Headings have no say, nor the ids of
+paragraphs and their like, whose class must be just such a word. What can't hold an article by its meaning in HTML
+(nav, aside, footer, form, dialog, button, menu, head and hidden elements; header outside an article) is left out like
+scripts and styles. What stands in the article stays, also if all pages of the host have it; outside, text tokens of the
+template are dropped as the host's own words.
 
 Names speak against an element, unless it is html or body, and against what it holds, but not against an article or
 main element in it whose own names don't: of these, the ones with the fewest such elements around them are the article,
@@ -68,7 +71,9 @@ WALLS = {"article", "aside", "body", "div", "dl", "footer", "form", "header", "h
 #: Elements, and words of class, id and role, that hold something other than the article.
 OTHER_ELEMENTS = {"aside", "button", "dialog", "footer", "form", "head", "menu", "nav", "title"}
 OTHER_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "reply", "respond", "search", "share", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
-#: Headings have no say; of these elements, only a class that is one of the words alone.
+#: Words that with one of OTHER_WORDS make a name that means the same.
+LAYOUT_WORDS = {"area", "bar", "block", "body", "bottom", "box", "card", "col", "column", "container", "content", "entry", "footer", "form", "global", "group", "inline", "inner", "item", "items", "large", "left", "links", "list", "main", "mobile", "module", "outer", "page", "panel", "post", "posts", "primary", "right", "secondary", "section", "site", "slot", "small", "stories", "thread", "top", "unit", "wrap", "wrapper", "zone"}
+#: Headings have no say; of the other elements, only a class that is one of the words alone.
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TEXT_ELEMENTS = {"blockquote", "caption", "dd", "dt", "figcaption", "figure", "li", "p", "pre", "summary", "td", "th"}
 #: These speak against an element only outside the article.
@@ -79,16 +84,19 @@ _ATTRIBUTES = r"""(?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+"""
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/]){_ATTRIBUTES}(?<=/)>|<({RAW})(?=[\s/>]|\Z){_ATTRIBUTES}(?:>|\Z).*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)|([^<]+|<)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([^\s/=>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_NUMBER = re.compile(r"\d+(?:x\d+)?")
 
 
 class Node:
-    """An element: its names (classes, id, role), the element around it, and its path, told by hash. Roles are filled in by judge(): hard: it or one around it can't hold the article; soft: so many have names that speak against them; main: it is in an article, in whose bounds the two count; outer: soft of what is around that."""
+    """An element: its names (classes, id, role), the element around it, and its path, told by hash. Roles are filled in by judge(): hard: it or one around it can't hold the article; soft: so many have names that speak against them; main: it is in an article, in whose bounds the two count; outer: soft of what is around that. chars: of the text in it that isn't the template's."""
 
-    __slots__ = ("tag", "parent", "path", "names", "hidden", "hard", "soft", "main", "outer")
+    __slots__ = ("tag", "parent", "path", "names", "hidden", "hard", "soft", "main", "outer", "root", "chars")
 
     def __init__(self, tag: str, parent: Node | None, path: int, names: tuple = ((), ()), hidden: bool = False):
         self.tag, self.parent, self.path, self.names, self.hidden = tag, parent, path, names, hidden
         self.hard, self.soft, self.main, self.outer = False, 0, False, 0
+        self.root: Node | None = None  # the article
+        self.chars = 0
 
     @property
     def other(self) -> bool:
@@ -110,22 +118,31 @@ def opened(parent: Node, tag: str, attributes: str) -> Node:
     return Node(tag, parent, path, (classes, others), hidden)
 
 
-def judge(node: Node, in_template: bool) -> None:
-    """Fills in the roles of an element from those around it and, if its tag is the template's, its own names."""
+def means_other(name: str) -> bool:
+    """Whether a name is one of OTHER_WORDS, alone or with numbers and words of layout."""
+    parts = [w for w in _SPLIT.split(name) if w]
+    return any(w in OTHER_WORDS for w in parts) and all(w in OTHER_WORDS or w in LAYOUT_WORDS or _NUMBER.fullmatch(w) for w in parts)
+
+
+def judge(node: Node, in_template: bool, told: bool) -> None:
+    """Fills in the roles of an element from those around it and its own names. in_template: its tag is the template's; told: the page has a template."""
     around = node.parent
-    node.hard, node.soft, node.main, node.outer = around.hard or node.hidden or node.tag in OTHER_ELEMENTS, around.soft, around.main, around.outer
-    words, spoken = (), False
-    if in_template and node.tag not in HEADINGS:
+    node.hard, node.soft, node.main, node.outer, node.root = around.hard or node.hidden or node.tag in OTHER_ELEMENTS, around.soft, around.main, around.outer, around.root
+    names, spoken = [], False
+    if told and node.tag not in HEADINGS and node.tag not in ("html", "body"):
         classes, others = node.names
-        words = set(classes) if node.tag in TEXT_ELEMENTS else {w for name in (*classes, *others) for w in _SPLIT.split(name)}
-        spoken = node.tag not in ("html", "body") and not words.isdisjoint(OTHER_WORDS)
+        names = [c for c in classes if c in OTHER_WORDS] if node.tag in TEXT_ELEMENTS else [*classes, *others]
+        most = around.root is not None and 2 * node.chars > around.root.chars
+        spoken = not most and any(map(means_other, names))
     if in_template and node.tag in ("article", "main") and not (around.main or node.hard or spoken):
-        node.soft, node.main, node.outer = 0, True, around.soft
+        node.soft, node.main, node.outer, node.root = 0, True, around.soft, node
         return
-    node.main = around.main or in_template and not around.other and not MAIN_WORDS.isdisjoint(words)
+    words = {w for name in names for w in _SPLIT.split(name)}
+    if in_template and not around.main and not around.other and not MAIN_WORDS.isdisjoint(words):
+        node.main, node.root = True, node
     if not node.main:
         node.hard = node.hard or node.tag == "header"
-        spoken = spoken or bool(words) and node.tag not in ("html", "body") and not HEADER_WORDS.isdisjoint(words)
+        spoken = spoken or not HEADER_WORDS.isdisjoint(words)
     node.soft += spoken
 
 
@@ -271,29 +288,27 @@ def main_text(page: str | None, classes=()) -> tuple[str, int, int]:
     """(text, slots that it was taken from, valid classes)."""
     items = list(read(page or ""))
     fixed, n_valid = valid_places([signed(t) for t, _, _ in items], classes) if len(classes) else (set(), 0)
-    levels, blocks, slot, seen = set(), [], 0, set()
+    levels, blocks, slot, starts = set(), [], 0, {}
     for at, (_, text, where) in enumerate(items):
         slot += at in fixed
         if text is not None:
             blocks.append((slot, text, where, at in fixed))
-        elif where.parent is not None and id(where) not in seen:  # a start tag
-            seen.add(id(where))
-            judge(where, at in fixed)
-            if where.main and not where.other:
-                levels.add(where.outer)
+            where.chars += 0 if at in fixed else len(text)
+        elif where.parent is not None:
+            starts.setdefault(id(where), (at, where))  # its end has the same element
+    for _, where in reversed(starts.values()):
+        where.parent.chars += where.chars
+    for at, where in starts.values():
+        judge(where, at in fixed, len(classes) > 0)
+        if where.main and not where.other:
+            levels.add(where.outer)
     chars = lambda found: sum(len(x[1]) for x in found)
     own = lambda found: [x for x in found if not x[3]]
     level = min(levels, default=0)
     article = [x for x in blocks if x[2].main and not x[2].other and x[2].outer == level]
-    if level:  # names around it speak against each article
-        rest = own(x for x in blocks if not x[2].main and not x[2].other)
-        out = rest if chars(rest) > chars(article) else None
-    else:
-        out = None if levels else own(x for x in blocks if not x[2].other)
-    if out is None:
-        out = own(article)
-        if chars(article) > 2 * chars(out):
-            out = article  # copies of one page, near or exact
+    rest = own(x for x in blocks if not x[2].main and not x[2].other)
+    # Names around it may speak against each article: then more text elsewhere is taken.
+    out = article if levels and not (level and chars(rest) > chars(article)) else rest
     if not out and not levels and n_valid:
         left = [x for x in own(blocks) if not x[2].hard]
         least = min((x[2].soft for x in left), default=0)

@@ -398,12 +398,34 @@ def test_html_without_article_drops_the_template(spark):
     assert all(r["text"] == f"Story {n} begins.\n\nIt ends {n}." for n, r in got.items())
 
 
-def test_html_template_decides_inside_articles(spark):
-    body = "<article><p>You read the Daily.</p><h1>T {n}</h1><p>Story {n} is told at some length, so that it is most of its page.</p><div><p>Write to our desk.</p><p>All rights kept.</p></div></article>"
-    got = texts(spark, [page("d.com", n, body.replace("{n}", str(n))) for n in range(8)])
-    assert all(r["text"] == f"T {n}\n\nStory {n} is told at some length, so that it is most of its page." for n, r in got.items())
-    copies = texts(spark, [page("e.com", n, "<article><p>One.</p><p>Two.</p></article>") for n in range(8)])
-    assert all(r["text"] == "One.\n\nTwo." for r in copies.values())
+@pytest.mark.parametrize("n_pages", [1, 3, 4, 12, 40])
+def test_html_what_repeats_in_articles_stays(spark, n_pages):
+    """Headings and last lines that all pages of a host have; its own words around the article go."""
+    body = "<article><h1>T {n}</h1><h2>Ingredients</h2><p>{n} eggs.</p><h2>Method</h2><p>Boil {n}.</p><p>Serves four.</p></article><div>All rights kept.</div>"
+    got = texts(spark, [page("d.com", n, body.replace("{n}", str(n))) for n in range(n_pages)])
+    assert all(r["text"] == f"T {n}\n\nIngredients\n\n{n} eggs.\n\nMethod\n\nBoil {n}.\n\nServes four." for n, r in got.items())
+
+
+@pytest.mark.parametrize("n_pages", [1, 6])
+def test_html_names_are_whole_words(spark, n_pages):
+    parts = {"<section id='related-work'>": True, "<div class='search-engines'>": True, "<div class='notice-period'>": True, "<div class='related-posts'>": False, "<div id=comments>": False, "<div class='x ad-box-2'>": False}
+    body = "<article><p>Story {n} at length, longer than the rest of it is by far, all of that being short.</p>" + "".join(f"{tag}<p>Part {k} of {{n}}.</p></{tag[1:].split()[0]}>" for k, tag in enumerate(parts)) + "</article>"
+    got = texts(spark, [page("k.com", n, body.replace("{n}", str(n))) for n in range(n_pages)])
+    want = [f"Part {k} of " for k, kept in enumerate(parts.values()) if kept]
+    assert all([x[: len(want[0])] for x in r["text"].split("\n\n")[1:]] == want for r in got.values())
+
+
+def test_html_boxes_of_one_page_go_by_their_names(spark):
+    body = "<article><p>Story {n} that is long enough to be most of what its page says, told anew.</p>{x}</article>"
+    boxes = "<div class=comments><p>First, says {n}!</p></div><div class=ad>Buy {n}</div><div class='share widget'>Only here {n}</div>"
+    got = texts(spark, [page("g.com", n, body.replace("{x}", boxes if n == 3 else "").replace("{n}", str(n))) for n in range(6)])
+    assert all(r["text"].endswith("told anew.") and r["text"].startswith(f"Story {n}") for n, r in got.items())
+
+
+def test_html_names_dont_speak_against_most_of_an_article(spark):
+    body = "<article><h1>T {n}</h1><section class=notice><p>Story {n}, which is nearly all that the article holds.</p></section></article>"
+    got = texts(spark, [page("l.com", n, body.replace("{n}", str(n))) for n in range(6)])
+    assert all(r["text"] == f"T {n}\n\nStory {n}, which is nearly all that the article holds." for n, r in got.items())
 
 
 def test_html_classes_nest_also_with_one_round():
@@ -465,10 +487,6 @@ def test_html_names_and_titles_leave_headings_and_paragraphs(spark):
     inside = "<h2 id='search-results'>Search results</h2><h2 id=comments-on-style class=comments>On style</h2><p class='related-work'>Related.</p><p class='lead notice-period'>Notice.</p><h2 title='The hidden cost of tea'>Tea</h2><p><img alt=\"5\" disk\" src=x>Shown.</p><p class=ad>Buy</p><p hidden>no</p>"
     want = "Search results\n\nOn style\n\nRelated.\n\nNotice.\n\nTea\n\nShown."
     assert alone(f"<body><nav>Home</nav><article>{inside}</article></body>") == want
-    body = "<article><p>Story {n} that is long enough to be most of what its page says, told anew.</p>{x}</article>"
-    one = "<div class='share widget'>Only here {n}</div>"
-    got = texts(spark, [page("g.com", n, body.replace("{x}", one if n == 3 else "<div class=promo>Buy {n}</div>").replace("{n}", str(n))) for n in range(8)])
-    assert all(r["text"].endswith("told anew.") for n, r in got.items() if n != 3) and got[3]["text"].endswith("Only here 3")
 
 
 def test_html_template_decides_most_pages(spark):
