@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_nonnull, normalize_name, not_blank, split_set, string_set
+from ..sources import scans
 from ..storage import materialise
 from . import entities
 
@@ -127,6 +128,14 @@ def aggregate_trials(gene_drug: dict[str, DataFrame], drug_indication: dict[str,
     }
 
 
+def aggregate_folder(spark: SparkSession, source_dir: str, output_dir: str, synonyms: DataFrame | None = None, unknown_ongoing: bool = False) -> str:
+    """Finds the sources' tables in a folder, aggregates them and writes the six tables as one set (scans.scan_set reads it). Returns the version. No gene-drug table at all is an error."""
+    gene_drug, drug_indication = scans.discover_folder(spark, source_dir, list(JOIN_KEYS))
+    if not gene_drug:
+        raise FileNotFoundError(f"{source_dir} holds no gene-drug table of a known source")
+    return scans.sink_set(aggregate_trials(gene_drug, drug_indication, synonyms, unknown_ongoing), output_dir)
+
+
 def aggregate_evidence(sources: dict[str, DataFrame]) -> DataFrame:
     """One row per (gene, disease) of evidence tables with trait, source, p_value or ot_score: set of sources, least p-value, largest score, first trait in order of source."""
     names = {"gene": "string", "efo_id": "string", "trait": "string", "source": "string", "p_value": "double", "ot_score": "double"}

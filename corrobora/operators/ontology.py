@@ -25,13 +25,29 @@ def parse_terms(stanzas: DataFrame) -> DataFrame:
     return rows.select(first("id").alias("id"), first("name").alias("name"), (F.coalesce(first("is_obsolete"), F.lit("false")) == "true").alias("is_obsolete"), word("is_a").alias("is_a"), word("replaced_by").alias("replaced_by"), word("consider").alias("consider"))
 
 
+def scan_stanzas(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of each stanza, from its "[" on, and of the header before the first one.
+
+    A line that begins with "[" begins a stanza, with or without a blank line before, and whether lines end with LF or
+    CRLF. Spark cuts the file into byte ranges and finds the first such line of each, so a large file is many tasks'.
+    Lines that end in a backslash go on in the next one.
+    """
+    rows = spark.read.text(path, lineSep="\n[").select(F.regexp_replace("value", r"\\\r?\n", "").alias("value"))
+    return rows.select(F.when(F.col("value").rlike(r"^[A-Za-z]+\][ \t]*(?:\r?\n|$)"), F.concat(F.lit("["), "value")).otherwise(F.col("value")).alias("value"))
+
+
 def scan_terms(spark: SparkSession, path: str) -> DataFrame:
-    return parse_terms(spark.read.text(path, lineSep="\n\n"))
+    return parse_terms(scan_stanzas(spark, path))
+
+
+def scan_version(spark: SparkSession, path: str) -> DataFrame:
+    """(version) of a file's header."""
+    return ontology_version(scan_stanzas(spark, path).filter(~F.startswith(F.col("value"), F.lit("["))))
 
 
 def ontology_version(header: DataFrame) -> DataFrame:
     """(version) of the header stanza: x.y.z where the tag holds /vx.y.z/."""
-    raw = F.regexp_extract("value", r"(?m)^data-version: (.*)$", 1)
+    raw = F.regexp_extract("value", r"(?m)^data-version: ([^\r\n]*)", 1)
     short = F.regexp_extract(raw, r"/v(\d+\.\d+\.\d+)/", 1)
     return header.filter(F.col("value").contains("data-version: ")).select(F.when(short != "", short).otherwise(raw).alias("version"))
 

@@ -149,12 +149,41 @@ def overlapping_strata(flagged: DataFrame, branch: DataFrame, name: str = "strat
     return E.with_ratios(E.transition_counts(rows, keys=[name]))
 
 
-def prior_art(trials: DataFrame, evidence: DataFrame, branch: DataFrame) -> DataFrame:
-    """Exact matching, uncensored, without the diseases of a branch: counts and ratios."""
-    rest = trials.join(branch.select(F.col("id").alias("efo_id")).distinct(), "efo_id", "left_anti").withColumn("is_ongoing", F.lit(False))
+#: The prior art's published cell, from I to approval: x_yes, n_yes, x_no, n_no; and its pairs by phase. Fixed values.
+PUBLISHED_COUNTS = (242, 742, 4322, 36635)
+PUBLISHED_PHASES = {1: 6163, 2: 14410, 3: 12240, 4: 4564}
+
+
+def prior_art_trials(trials: DataFrame, branch: DataFrame) -> DataFrame:
+    """Trials as the prior art has them: uncensored, without the diseases of a branch (id)."""
+    return trials.join(branch.select(F.col("id").alias("efo_id")).distinct(), "efo_id", "left_anti").withColumn("is_ongoing", F.lit(False))
+
+
+def prior_art(trials: DataFrame, evidence: DataFrame, branch: DataFrame, key: str | None = None) -> DataFrame:
+    """Exact matching on the prior art's trials: counts and ratios, of each arm of the evidence if it has a column `key`."""
+    rest = prior_art_trials(trials, branch)
+    if key:
+        return enrich_arms(rest, evidence, [key])
     return E.with_ratios(E.transition_counts(M.annotate_evidence(rest, M.matched_pairs(evidence, rest))))
 
 
+def prior_art_evidence(credible: DataFrame, direct: DataFrame, combined: DataFrame, least: float = 0.5) -> DataFrame:
+    """(targets, gene, efo_id) of the three arms: propagated credible sets and direct germline associations (gene, efo_id, score) from a score on, and the combined evidence (gene, efo_id)."""
+    from ..functions.text import at_least
+
+    strong = lambda df: df.filter(at_least(F.col("score"), least))
+    arms = {"credible sets": strong(credible), "direct": strong(direct), "combined": combined}
+    return named_union({n: df.select("gene", "efo_id").dropna().distinct() for n, df in arms.items()}, "targets").select("targets", "gene", "efo_id")
+
+
+def with_published(counts: DataFrame, published: tuple[int, int, int, int] = PUBLISHED_COUNTS, label: str = "published", key: str = "targets") -> DataFrame:
+    """Counts by arm (key) from I to approval with ratios, and the published counts as one more arm, through the same estimators."""
+    names = ["x_yes", "n_yes", "x_no", "n_no"]
+    own = counts.filter("phase_from = 1 AND phase_to = 4").select(F.col(key).cast("string").alias(key), "phase_from", "phase_to", *[F.col(c).cast("long").alias(c) for c in names])
+    row = counts.sparkSession.createDataFrame([(label, 1, 4, *published)], own.schema)
+    return E.with_ratios(own.unionByName(row))
+
+
 def composition_ratio(trials: DataFrame, published: DataFrame) -> DataFrame:
     """(max_phase, n, published_n, ratio) of shares by phase."""
     own = trials.groupBy("max_phase").agg(F.count("*").alias("n"))

@@ -11,9 +11,10 @@ from ..operators import graph
 from ..operators import matching as M
 from ..operators import ontology as O
 from ..sources import evidence as V
+from ..sources import scans
 from ..sources import status as S
 from ..sources import trials as N
-from ..storage import materialise
+from ..storage import materialise, new_path
 from . import analysis
 from .domain import ARM, CELLS, DIGITS, DRAWN, FLAGS, GONE, RESOLVED, SUPPORTED, YES, arm, bounds_sql, counts_sql, ratios_sql, release, tidy  # noqa: F401
 from .inputs import INPUTS, ctes, frame
@@ -559,3 +560,45 @@ def _(t):
 def _(t):
     published = t("dim").groupBy(F.col("phase").alias("max_phase")).agg(F.count("*").alias("published_n"))
     return tidy(analysis.composition_ratio(t("ct"), published))
+
+
+#: Propagated credible sets are view events, direct germline associations clicks, the combined evidence is all of it.
+PRIOR_ARMS = "SELECT DISTINCT 'credible sets' AS targets, gene, efo_id FROM ge WHERE source = 'view' AND score >= 0.5 UNION SELECT 'direct', gene, efo_id FROM ge WHERE source = 'click' AND score >= 0.5 UNION SELECT 'combined', gene, efo_id FROM ge"
+PRIOR = f"WITH RECURSIVE {ctes('ct', 'ge', 'is_a')}, {BRANCH}, ev AS ({PRIOR_ARMS}), f AS (SELECT a.targets, ct.* REPLACE (false AS is_ongoing), s.gene IS NOT NULL AS yes FROM ct CROSS JOIN (SELECT DISTINCT targets FROM ev) a LEFT JOIN ev s ON s.targets = a.targets AND s.gene = ct.gene AND s.efo_id = ct.efo_id WHERE ct.efo_id NOT IN (SELECT efo_id FROM br))"
+
+
+def prior_arms(t):
+    ge = t("ge")
+    return analysis.prior_art_evidence(ge.filter("source = 'view'"), ge.filter("source = 'click'"), ge)
+
+
+@query("b18_prior_art_arms", f"{PRIOR} {ratios_sql(counts_sql('f', 'targets'))}")
+def _(t):
+    return tidy(analysis.prior_art(t("ct"), prior_arms(t), branch(t), "targets"))
+
+
+@query("b18_prior_art_published", f"{PRIOR} {ratios_sql('SELECT * FROM (' + counts_sql('f', 'targets') + ') WHERE phase_from = 1 AND phase_to = 4 UNION ALL SELECT ' + repr('published') + ', 1, 4, ' + ', '.join(map(str, analysis.PUBLISHED_COUNTS)))}")
+def _(t):
+    return tidy(analysis.with_published(analysis.prior_art(t("ct"), prior_arms(t), branch(t), "targets")))
+
+
+PHASES = ", ".join(f"({p}, {n})" for p, n in analysis.PUBLISHED_PHASES.items())
+
+
+@query("b18_published_composition", f"WITH RECURSIVE {ctes('ct', 'is_a')}, {BRANCH}, o AS (SELECT max_phase, count(*) AS n FROM ct WHERE efo_id NOT IN (SELECT efo_id FROM br) GROUP BY max_phase), p AS (SELECT * FROM (VALUES {PHASES}) v(max_phase, published_n)) SELECT o.max_phase, n, published_n, round((n / (SELECT sum(n) FROM o)) / (published_n / (SELECT sum(published_n) FROM p)), 6) AS ratio FROM o JOIN p ON o.max_phase = p.max_phase")
+def _(t):
+    trials = analysis.prior_art_trials(t("ct"), branch(t))
+    return tidy(analysis.composition_ratio(trials, trials.sparkSession.createDataFrame(list(analysis.PUBLISHED_PHASES.items()), "max_phase int, published_n int")))
+
+
+@query("r9_written_tables", f"WITH {EDGES}, {RECORDS}, {R1}, {r3()}, {PAIRS}, c(name, n) AS (SELECT 'gene_drug_mapping', count(*) FROM r1 UNION ALL SELECT 'drug_indication_mapping', count(*) FROM r3 UNION ALL SELECT 'gene_indication_max_phase', count(*) FROM r7 UNION ALL SELECT 'drug_indication_mapping_by_source', count(DISTINCT (our_drug_id, efo_id, source)) FROM di2 UNION ALL SELECT 'gene_drug_mapping_by_source', count(DISTINCT (gene, our_drug_id, source)) FROM ge2 UNION ALL SELECT 'drug_id_mapping', count(DISTINCT our_drug_id) FROM (SELECT our_drug_id FROM ge2 UNION SELECT our_drug_id FROM di2)) SELECT name, n FROM c")
+def _(t):
+    """The sources' tables are found in a folder, and the six tables written as one set, which is read back."""
+    spark = t("gd").sparkSession
+    edges, records = legs(t)
+    folder, out = new_path(spark), new_path(spark)
+    for leg, tables in zip(scans.LEGS, (edges, records)):
+        for name, df in tables.items():
+            scans.sink_table(df, f"{folder}/{name}_{leg}.parquet")
+    A.aggregate_folder(spark, folder, out)
+    return analysis.named_union({n: df.agg(F.count("*").alias("n")) for n, df in scans.scan_set(spark, out).items()}, "name").select("name", "n")

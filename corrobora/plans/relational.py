@@ -93,6 +93,14 @@ def _(t, spark):
     return O.parse_terms(stanzas(t, spark)).select("id", "name", "is_obsolete", joined("is_a"), joined("replaced_by"))
 
 
+@query("s7_scan_ontology_windows", "SELECT 'X:' || p_partkey AS id, p_name AS name, p_size % 10 = 0 AS is_obsolete FROM part")
+def _(t, spark):
+    """Stanzas whose lines end with CRLF, with no blank line between them."""
+    path = scratch(spark)
+    t("part").select(F.replace(F.expr(STANZA), F.lit("\n"), F.lit("\r\n")).alias("value")).write.text(path)
+    return O.scan_terms(spark, path).select("id", "name", "is_obsolete")
+
+
 @query("s8_scan_ontology_edges", "SELECT 'X:' || p_partkey AS child, 'X:' || CAST(floor(p_partkey / 2) AS BIGINT) AS parent FROM part")
 def _(t, spark):
     return O.is_a_edges(O.parse_terms(stanzas(t, spark)))
@@ -133,6 +141,16 @@ def _(t, spark):
     return scans.concat_parts(*parts)
 
 
+@query("s13_discover_folder", f"WITH {ctes('gd', 'di')} SELECT 'a' AS source, 'gene_drug' AS leg, count(*) AS n FROM gd UNION ALL SELECT 'b', 'drug_indication', count(*) FROM di")
+def _(t, spark):
+    path = scratch(spark)
+    scans.sink_table(t("gd"), f"{path}/a_gene_drug.parquet")
+    scans.sink_table(t("di"), f"{path}/b_drug_indication.parquet")
+    scans.sink_table(t("region"), f"{path}/a_other.parquet")
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(s).alias("source"), F.lit(leg).alias("leg"), "n") for legs, leg in zip(scans.discover_folder(spark, path), scans.LEGS) for s, df in legs.items()]
+    return scans.concat_parts(*parts)
+
+
 @query("s14_concat_parts", "SELECT p_partkey, p_size FROM part UNION ALL SELECT s_suppkey, s_nationkey FROM supplier")
 def _(t, spark):
     return scans.concat_parts(t("part").select("p_partkey", "p_size"), t("supplier").select(F.col("s_suppkey").alias("p_partkey"), F.col("s_nationkey").alias("p_size")))

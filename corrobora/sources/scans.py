@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +56,8 @@ def variant_fields(lines: DataFrame, column: str = "info") -> DataFrame:
 
 
 def scan_variants(spark: SparkSession, path: str) -> DataFrame:
-    """Variant lines: tab-separated, # comments, INFO in the eighth column."""
-    lines = spark.read.option("sep", "\t").option("comment", "#").schema("chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string").csv(path)
+    """Variant lines: tab-separated, # comments, INFO in the eighth column; lines end with LF or CRLF, quotes are characters like others."""
+    lines = spark.read.option("sep", "\t").option("comment", "#").option("quote", "").schema("chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string").csv(path)
     return variant_fields(lines.select("chrom", "pos", "id", "info"))
 
 
@@ -71,6 +73,84 @@ def discover_sources(legs: dict[str, tuple[DataFrame | None, DataFrame | None]])
     return tuple({s: pair[k] for s, pair in legs.items() if pair[k] is not None} for k in (0, 1))
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path): any scheme that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+#: Endings of the names of a source's two tables.
+LEGS = ("gene_drug", "drug_indication")
+
+
+def discover_folder(spark: SparkSession, folder: str, names: Sequence[str] | None = None) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """By source, the tables <source>_gene_drug.parquet and <source>_drug_indication.parquet (files or folders) of a folder; either may be absent. names: the sources to look for, all by default. A folder that isn't there has none."""
+    fs, at = file_system(spark, folder)
+    found: tuple[dict, dict] = {}, {}
+    for status in fs.listStatus(at) if fs.exists(at) else ():
+        name = status.getPath().getName()
+        for k, leg in enumerate(LEGS):
+            source = name.removesuffix(f"_{leg}.parquet")
+            if source != name and (names is None or source in names):
+                found[k][source] = spark.read.parquet(status.getPath().toString())
+    return tuple(dict(sorted(legs.items())) for legs in found)
+
+
+#: Names of the folder of a version, and of the file that tells which version holds.
+VERSION, POINTER = "version=", "_CURRENT"
+
+
+def sink_set(tables: dict[str, DataFrame], folder: str) -> str:
+    """Writes tables together: as <name>.parquet in a new version's folder, which readers see once all of them are there. Returns the version.
+
+    The pointer is replaced by a rename; a writer that is lost before leaves the version before as it was, and the
+    files of its own, which no reader looks at.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = f"{time.time_ns():020}-{uuid.uuid4().hex[:8]}"
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{VERSION}{version}/{name}.parquet")
+    jvm = spark.sparkContext._jvm
+    fs, fresh = file_system(spark, f"{folder}/.{version}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark.sparkContext._gateway.new_array(options, 1)
+    overwrite[0] = options.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fresh, jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTER}"), overwrite)
+    return version
+
+
+def current_version(spark: SparkSession, folder: str) -> str | None:
+    """The version that the pointer names; None where no set has been written."""
+    fs, at = file_system(spark, f"{folder}/{POINTER}")
+    if not fs.exists(at):
+        return None
+    return read_small(spark, fs, at)
+
+
+def read_small(spark: SparkSession, fs, at) -> str:
+    """The text of a small file, also of one whose name Spark's scans skip."""
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def scan_set(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the current version by name."""
+    version = current_version(spark, folder)
+    if version is None:
+        raise FileNotFoundError(f"{folder} holds no written set")
+    fs, at = file_system(spark, f"{folder}/{VERSION}{version}")
+    names = sorted(x.getPath().getName() for x in fs.listStatus(at))
+    return {n.removesuffix(".parquet"): spark.read.parquet(f"{folder}/{VERSION}{version}/{n}") for n in names if n.endswith(".parquet")}
+
+
 def concat_parts(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
