@@ -12,8 +12,9 @@ so no task holds a whole shard at scale.
 The law is `bytes`: shard sizes are as near to equal as whole rows and the tolerance allow. The driver sees sums for
 probes, whose number depends on the number of parts alone.
 
-Defined cases: null text has no bytes and the checksum of the empty text; a null doc_id sorts first; rows that agree in
-text and doc_id aren't separated; with fewer rows than shards some shards are empty, as all are for an empty table.
+Defined cases: null text has no bytes and the checksum of the empty text; a null doc_id sorts first; a text larger than
+a shard's share stays whole, and shards beside it may be empty; rows that agree in text and doc_id aren't separated;
+with fewer rows than shards some shards are empty, as all are for an empty table.
 Only doc_id and text are read, so other columns can't clash.
 """
 
@@ -73,19 +74,23 @@ class Histogram:
 
     probes: list[int]
     sums: dict[int, tuple[int, int, int, int]] = field(default_factory=dict)
+    ends: tuple | None = None
+
+    def upto(self) -> tuple[np.ndarray, ...]:
+        """Of the buckets that hold rows: bytes and rows up to the end of each, least and greatest keys. Summed once for all boundaries of a round."""
+        if self.ends is None:
+            each = np.array([self.sums[i] for i in sorted(self.sums)], dtype=np.int64).reshape(-1, 4)
+            self.ends = (np.cumsum(each[:, 0]), np.cumsum(each[:, 1]), each[:, 2], each[:, 3])
+        return self.ends
 
     def narrow(self, b: Boundary, base: tuple[int, int]) -> None:
         """Moves b's interval to the bucket in which its mark is passed. base: bytes and rows below all keys of this histogram."""
-        size, rows = base
-        for i in range(len(self.probes) + 1):
-            s = self.sums.get(i)
-            if s is None:
-                continue
-            if size + s[0] >= b.wanted or i == max(self.sums):
-                b.below, b.upto = (size, rows), (size + s[0], rows + s[1])
-                b.low, b.high = s[2], s[3] + 1
-                break
-            size, rows = size + s[0], rows + s[1]
+        sizes, rows, least, most = self.upto()
+        if len(sizes):
+            k = min(int(np.searchsorted(sizes, b.wanted - base[0], "left")), len(sizes) - 1)
+            b.below = (base[0] + int(sizes[k - 1]), base[1] + int(rows[k - 1])) if k else base
+            b.upto = (base[0] + int(sizes[k]), base[1] + int(rows[k]))
+            b.low, b.high = int(least[k]), int(most[k]) + 1
 
 
 def measured(docs: DataFrame) -> DataFrame:

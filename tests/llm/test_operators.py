@@ -553,6 +553,30 @@ def test_splitters_against_sorted_prefix_sums(spark):
         assert abs(sums[below] - wanted) <= min(abs(x - wanted) for x in sums) + sharding.TOLERANCE * total / 24
 
 
+def test_a_text_larger_than_a_shard_stays_whole(spark):
+    rows = [(k, "some words", "s") for k in range(100)] + [(500, "long " * 100_000, "s")]
+    got = sharding.assign(docs_of(spark, rows)).collect()
+    check_shards(got)
+    assert len(got) == 101 and max(r["size"] for r in got) == 500_008
+
+
+def test_many_boundaries_are_quick_on_the_driver():
+    """50,000 boundaries in 200,000 buckets, the buckets' sums looped over once for all of them."""
+    import time
+
+    n, buckets = 50_000, 200_000
+    h = sharding.Histogram(list(range(buckets)), {i: (10 + i % 7, 1, 100 * i, 100 * i + 50) for i in range(buckets)})
+    sums = np.cumsum([0] + [10 + i % 7 for i in range(buckets)])
+    bounds = [sharding.Boundary(float(sums[-1]) * k / n, 0.0) for k in range(1, n)]
+    began = time.process_time()
+    for b in bounds:
+        h.narrow(b, (0, 0))
+    assert time.process_time() - began < 10
+    for b in bounds[:: n // 50]:
+        k = int(np.searchsorted(sums[1:], b.wanted, "left"))
+        assert (b.below, b.upto, b.low, b.high) == ((sums[k], k), (sums[k + 1], k + 1), 100 * k, 100 * k + 51)
+
+
 def test_shards_of_many_parts_keep_slots_gapless(spark, monkeypatch):
     rng = random.Random(7)
     docs = docs_of(spark, [(i % 90, words(rng, rng.randint(0, 9), 30), "s") for i in range(900)])
