@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import at_least
-from ..storage import small
+from ..storage import materialise, materialise_with, small
 
 PAIR = ["gene", "efo_id"]
 
@@ -20,6 +20,32 @@ def require_columns(df: DataFrame, columns, what: str = "table") -> DataFrame:
     return df
 
 
+class MissingOngoingWarning(UserWarning):
+    """Trials have no is_ongoing column."""
+
+
+class UnmatchableDiseaseWarning(UserWarning):
+    """Rows have a disease that the lookup lacks."""
+
+
+BAD_FLAG = "is_ongoing holds other values than 0 and 1"
+
+
+def ongoing_flag(trials: DataFrame) -> tuple[Column, Column]:
+    """(is_ongoing as a boolean without nulls, whether its value is none of true, false, 0 and 1). Text is an error; without the column nothing is ongoing, with a warning."""
+    if "is_ongoing" not in trials.columns:
+        warnings.warn("no is_ongoing column: nothing is censored", MissingOngoingWarning, stacklevel=3)
+        return F.lit(False), F.lit(False)
+    kind = dict(trials.dtypes)["is_ongoing"]
+    if kind == "string":
+        raise ValueError("is_ongoing holds text")
+    if kind == "boolean":
+        return F.coalesce("is_ongoing", F.lit(False)), F.lit(False)
+    number = F.col("is_ongoing").cast("double")
+    absent = number.isNull() | F.isnan(number)
+    return F.coalesce(number == 1.0, F.lit(False)), ~absent & ~F.coalesce(number.isin(0.0, 1.0), F.lit(False))
+
+
 def clean_trials(trials: DataFrame) -> DataFrame:
     """Trials without null keys, is_ongoing as a boolean without nulls. Repeated pairs and other values of is_ongoing are errors; a missing is_ongoing censors nothing, with a warning."""
     require_columns(trials, [*PAIR, "max_phase"], "clinical trials")
@@ -27,17 +53,57 @@ def clean_trials(trials: DataFrame) -> DataFrame:
     again = trials.groupBy(*PAIR).count().filter("count > 1")
     if found := again.orderBy(*PAIR).limit(3).collect():
         raise ValueError(f"{again.count()} pairs are repeated, such as {[(r['gene'], r['efo_id']) for r in found]}")
-    if "is_ongoing" not in trials.columns:
-        warnings.warn("no is_ongoing column: nothing is censored", stacklevel=2)
-        return trials.withColumn("is_ongoing", F.lit(False))
-    kind = dict(trials.dtypes)["is_ongoing"]
-    if kind == "string":
-        raise ValueError("is_ongoing holds text")
-    if kind != "boolean":
-        number = F.col("is_ongoing").cast("double")
-        flag = F.when(number.isNull() | F.isnan(number), F.lit(False)).when(number.isin(0.0, 1.0), number == 1.0).otherwise(F.raise_error(F.lit("is_ongoing holds other values than 0 and 1")).cast("boolean"))
-        return trials.withColumn("is_ongoing", flag)
-    return trials.withColumn("is_ongoing", F.coalesce("is_ongoing", F.lit(False)))
+    flag, bad = ongoing_flag(trials)
+    return trials.withColumn("is_ongoing", F.when(~bad, flag).otherwise(F.raise_error(F.lit(BAD_FLAG)).cast("boolean")))
+
+
+def checked_trials(trials: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
+    """clean_trials and drop_unmatchable in the one pass that writes the trials: what is wrong is counted on the way.
+
+    Errors: repeated pairs, other values of is_ongoing, a lookup that knows no trial's disease. Warnings: no is_ongoing,
+    pairs whose disease the lookup lacks, which are left out.
+    """
+    require_columns(trials, [*PAIR, "max_phase"], "clinical trials")
+    flag, bad = ongoing_flag(trials)
+    columns = [*trials.columns, *(["is_ongoing"] if "is_ongoing" not in trials.columns else [])]
+    rows = trials.withColumns({"_bad": bad, "is_ongoing": flag}).dropna(subset=[*PAIR, "max_phase"])
+    others = F.struct(*[F.col(f"`{c}`") for c in columns if c not in PAIR], "_bad")
+    pairs = rows.groupBy(*PAIR).agg(F.count("*").alias("_n"), F.first(others).alias("_row"), F.bool_or("_bad").alias("_odd"))
+    known = F.lit(True)
+    if similarity is not None:
+        ids = small(similarity.select(F.col("efo_id_2").alias("_id")).dropna().distinct())
+        pairs, known = pairs.join(ids, F.col("efo_id") == F.col("_id"), "left"), F.col("_id").isNotNull()
+    pairs = pairs.select(*PAIR, *[F.col(f"_row.`{c}`").alias(c) for c in columns if c not in PAIR], "_n", "_odd", known.alias("_known"))
+    pair = F.struct(*PAIR)
+    first = lambda condition: F.min(F.when(condition, pair))
+    counts = {"pairs": F.count("*"), "repeated": F.count_if(F.col("_n") > 1), "odd": F.count_if("_odd"), "lost": F.count_if(~F.col("_known")), "again": first(F.col("_n") > 1), "unknown": first(~F.col("_known"))}
+    written, seen = materialise_with(pairs, **counts)
+    if seen["repeated"]:
+        raise ValueError(f"{seen['repeated']} pairs are repeated, such as {tuple(seen['again'])}")
+    if seen["odd"]:
+        raise ValueError(f"{BAD_FLAG}, in {seen['odd']} pairs")
+    if similarity is not None and seen["lost"] == seen["pairs"]:
+        raise ValueError("no trial pair has a disease that the lookup knows" + (f", such as {seen['unknown']['efo_id']}" if seen["lost"] else ""))
+    if seen["lost"]:
+        warnings.warn(f"{seen['lost']} of {seen['pairs']} trial pairs have a disease that the lookup lacks, such as {seen['unknown']['efo_id']}, and are left out", UnmatchableDiseaseWarning, stacklevel=3)
+    return written.filter("_known").select(*[f"`{c}`" for c in columns])
+
+
+def checked_evidence(evidence: DataFrame, similarity: DataFrame | None, key: str = "source") -> tuple[DataFrame, DataFrame | None]:
+    """((key, gene, efo_id, n) of the evidence's distinct rows, written out; unmatchable_report of it), in one pass. Rows whose disease the lookup lacks are warned of, by value of the key."""
+    require_columns(evidence, [key, *PAIR], "evidence")
+    rows = evidence.groupBy(key, *PAIR).agg(F.count("*").alias("n"))
+    if similarity is None:
+        return materialise(rows), None
+    ids = small(similarity.select(F.col("efo_id_1").alias("_id")).dropna().distinct())
+    lost = F.col("efo_id").isNotNull() & F.col("_id").isNull()
+    written, seen = materialise_with(rows.join(ids, F.col("efo_id") == F.col("_id"), "left").select(key, *PAIR, "n", lost.alias("lost")), lost=F.count_if("lost"))
+    examples = F.array_join(F.slice(F.array_sort(F.collect_set(F.when(F.col("lost"), F.col("efo_id")))), 1, 3), ",")
+    n, gone = F.sum("n"), F.sum(F.when(F.col("lost"), F.col("n")).otherwise(0))
+    report = written.filter("efo_id IS NOT NULL").groupBy(key).agg(n.alias("n_rows"), gone.alias("n_unmatched"), (gone / n).alias("share"), examples.alias("examples"))
+    for r in report.filter("n_unmatched > 0").orderBy(key).collect() if seen["lost"] else ():
+        warnings.warn(f"{r[key]}: {r['n_unmatched']} of {r['n_rows']} rows ({100 * r['share']:.1f} %) have a disease that the lookup lacks, such as {r['examples']}, and can't match", UnmatchableDiseaseWarning, stacklevel=3)
+    return written.select(key, *PAIR, "n"), report
 
 
 def narrow_lookup(similarity: DataFrame, threshold: float) -> DataFrame:

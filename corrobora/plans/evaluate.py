@@ -46,16 +46,13 @@ def evaluate(
     M.require_columns(trials, [*M.PAIR, "max_phase"], "clinical trials")
     if cluster and cluster not in trials.columns:
         raise ValueError(f"no column {cluster} to resample by")
-    base, report = M.clean_trials(materialise(trials)), None  # checks, and every arm, start from what is written out
     if similarity is not None:
         M.require_columns(similarity, ["efo_id_1", "efo_id_2", "similarity"], "similarity lookup")
         if check_similarity:
             M.check_similarity_lookup(similarity)
         similarity = materialise(similarity)
-        report = M.unmatchable_report(evidence, similarity, key)
-        base = M.drop_unmatchable(base, similarity)
-        if base.isEmpty():
-            raise ValueError("no trial pair has a disease that the lookup knows")
+    base = M.checked_trials(trials, similarity)  # checks, and every arm, start from what is written out
+    evidence, report = M.checked_evidence(evidence, similarity, key)
     if genes is not None:
         base = base.join(genes.select("gene").distinct(), "gene", "left_semi").select(*base.columns)
     sources = sorted(r[0] for r in evidence.select(key).distinct().collect())  # names of arms

@@ -74,6 +74,50 @@ def test_trials_are_checked(spark, trials):
     assert M.clean_trials(nulls).filter("is_ongoing").count() == 3
 
 
+def jobs_of(spark, name, f):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = f()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_trials_are_checked_in_the_pass_that_writes_them(spark, trials, similarity):
+    flags = trials.withColumn("is_ongoing", F.when(F.col("max_phase") == 1, F.lit(1.0)))
+    with pytest.warns(M.UnmatchableDiseaseWarning, match="1 of 10 trial pairs"):
+        out = M.checked_trials(flags.withColumn("note", F.lit("x")), similarity)
+    assert out.columns == [*trials.columns, "is_ongoing", "note"] and out.count() == 9 and out.filter("is_ongoing").count() == 2
+    with pytest.raises(ValueError, match="10 pairs are repeated, such as"):
+        M.checked_trials(flags.union(flags), similarity)
+    with pytest.raises(ValueError, match="lacks"):
+        M.checked_trials(trials.drop("gene"))
+    with pytest.raises(ValueError, match="text"):
+        M.checked_trials(trials.withColumn("is_ongoing", F.lit("yes")))
+    with pytest.raises(ValueError, match="other values"):
+        M.checked_trials(trials.withColumn("is_ongoing", F.lit(2)))
+    with pytest.raises(ValueError, match="knows"):
+        M.checked_trials(flags, similarity.withColumn("efo_id_2", F.lit("EFO_1")))
+    with pytest.warns(M.MissingOngoingWarning):
+        assert M.checked_trials(trials).filter("is_ongoing").count() == 0
+    assert M.checked_trials(flags.limit(0)).count() == 0
+    booleans = trials.withColumn("is_ongoing", F.when(F.col("gene") == "GENE1", F.lit(True)))
+    assert sorted(M.checked_trials(booleans).collect()) == sorted(M.clean_trials(booleans).collect())
+    small_lookup = similarity.filter("similarity < 2").cache()
+    small_lookup.count()
+    _, n = jobs_of(spark, "check", lambda: M.checked_trials(booleans.withColumn("k", F.lit(1))))
+    assert n <= 2  # the write, of which adaptive execution may run the shuffle on its own
+
+
+def test_evidence_is_checked_in_one_pass(spark, evidence, similarity):
+    rows = evidence.withColumn("source", F.lit("a")).unionByName(spark.createDataFrame([("GENE1", "EFO:777", "b"), ("GENE1", "EFO:777", "b"), ("GENE1", None, "b"), ("GENE1", "EFO:001", "b")], "gene string, efo_id string, source string"))
+    with pytest.warns(M.UnmatchableDiseaseWarning, match=r"b: 2 of 3 rows \(66.7 %\).*EFO:777"):
+        pairs, report = M.checked_evidence(rows, similarity)
+    assert pairs.count() == 8 + 3
+    assert sorted(map(tuple, report.collect())) == sorted(map(tuple, M.unmatchable_report(rows, similarity).collect()))
+    assert M.checked_evidence(rows, None)[1] is None
+
+
 def test_censoring_is_by_transition(spark):
     df = spark.createDataFrame([("G1", "E1", 1, True, True), ("G3", "E1", 1, False, False)], "gene string, efo_id string, max_phase int, is_ongoing boolean, has_genetic_evidence boolean")
     row = E.transition_counts(df, ((1, 2),)).first()
