@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import at_least
-from ..storage import materialise, materialise_with, small
+from ..storage import join_dealt, materialise, materialise_with, small
 
 PAIR = ["gene", "efo_id"]
 
@@ -132,8 +132,8 @@ def supporting_pairs(evidence: DataFrame, similarity: DataFrame | None, threshol
     pairs = evidence.select(*keys, *PAIR).dropna(subset=PAIR).distinct()
     if similarity is None:
         return pairs
-    near = small(narrow_lookup(similarity, threshold).select("efo_id_1", "efo_id_2"))
-    return pairs.join(near, F.col("efo_id") == F.col("efo_id_1")).select(*keys, "gene", F.col("efo_id_2").alias("efo_id")).distinct()
+    near = narrow_lookup(similarity, threshold).select(F.col("efo_id_1").alias("efo_id"), "efo_id_2")
+    return join_dealt(pairs, near, "efo_id").select(*keys, "gene", F.col("efo_id_2").alias("efo_id")).distinct()
 
 
 def matched_pairs(evidence: DataFrame, trials: DataFrame, similarity: DataFrame | None = None, threshold: float = 0.8, genes: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from ..operators import aggregate as A
 from ..operators import enrichment as E
 from ..operators import matching as M
 from ..sources.evidence import GERMLINE, SOMATIC
+from ..storage import bucketed, materialise
 
 
 def named_union(tables: dict[str, DataFrame], key: str) -> DataFrame:
@@ -20,8 +22,31 @@ def named_union(tables: dict[str, DataFrame], key: str) -> DataFrame:
 
 def arm_grid(trials: DataFrame, evidence: DataFrame, similarity: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
     """Enrichment by trial table (column `trial_table`), evidence source and censoring."""
-    supported = M.supporting_pairs(evidence, similarity, threshold, ["source"])
-    return E.with_ratios(E.counts_by_arm(trials, supported, ["source"], arms=evidence.select("source"), within=["trial_table"], censorings=True))
+    return grid_of(Stored(trials, M.supporting_pairs(evidence, similarity, threshold, ["source"]), evidence.select("source")))
+
+
+@dataclass
+class Stored:
+    """Trials, the pairs (keys, gene, efo_id) that arms of evidence support, and the keys of all arms. As store() gives them, trials and pairs lie in buckets of (gene, efo_id), so each analysis of them joins without moving rows."""
+
+    trials: DataFrame
+    supported: DataFrame
+    arms: DataFrame
+
+
+def store(trials: DataFrame, evidence: DataFrame, keys: list[str], similarity: DataFrame | None = None, threshold: float = 0.8, buckets: int | None = None) -> Stored:
+    """Writes what sweeps and arms start from, once for all of them."""
+    return Stored(bucketed(trials, M.PAIR, buckets), bucketed(M.supporting_pairs(evidence, similarity, threshold, keys), M.PAIR, buckets), materialise(evidence.select(*keys).distinct()))
+
+
+def grid_of(stored: Stored) -> DataFrame:
+    """arm_grid of stored tables with the key `source`."""
+    return E.with_ratios(E.counts_by_arm(stored.trials, stored.supported, ["source"], arms=stored.arms, within=["trial_table"], censorings=True))
+
+
+def arms_of(stored: Stored) -> DataFrame:
+    """Counts and ratios of each arm of stored tables."""
+    return E.with_ratios(E.counts_by_arm(stored.trials, stored.supported, stored.arms.columns, arms=stored.arms))
 
 
 def published_gap(own: DataFrame, published: DataFrame, on: str = "transition") -> DataFrame:

@@ -380,6 +380,13 @@ def _(t):
     return tidy(analysis.arm_grid(trials, t("ge"), t("sim")))
 
 
+@query("b1_arm_grid_stored", f"{GRID} {ratios_sql(counts_sql('g', 'trial_table, source, censored'))}")
+def _(t):
+    """The grid of tables in buckets of (gene, efo_id)."""
+    trials = t("ct").withColumn("trial_table", F.explode(F.when(F.col("max_phase") >= 2, F.array(F.lit("all"), F.lit("late"))).otherwise(F.array(F.lit("all")))))
+    return tidy(analysis.grid_of(analysis.store(trials, t("ge"), ["source"], t("sim"))))
+
+
 PUBLISHED = "(VALUES (1, 2, 1.1), (2, 3, 1.2), (3, 4, 1.3), (1, 4, 1.5)) v(phase_from, phase_to, published_rr)"
 
 

@@ -47,6 +47,37 @@ def materialise_with(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]
     return written, seen.get or written.agg(*wanted).first().asDict()
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Writes df in the shared folder as a table of buckets by hash of the keys, sorted in them, and reads it back: joins and groupings by these keys of tables with as many buckets move no rows. buckets: spark.sql.shuffle.partitions by default."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"corrobora_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", new_path(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
+#: Rows of one key that a join's task takes.
+HOT_ROWS = 100_000
+
+
+def join_dealt(left: DataFrame, right: DataFrame, on: str, hot_rows: int | None = None) -> DataFrame:
+    """The inner join by one column of a large left side, whose keys may be hot, with a right side too large to broadcast.
+
+    Keys with more than HOT_ROWS rows on the left are counted; their rows are dealt out to blocks of that many by a
+    hash of the row, and the right side's rows of these keys, and only these, are repeated for each block. Each pair of
+    rows meets once. The counted keys are at most the left side's rows over HOT_ROWS.
+    """
+    most = hot_rows or HOT_ROWS
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on)
+    hot = materialise(left.groupBy(on).agg(F.ceil(F.count("*") / most).cast("int").alias("_blocks")).filter("_blocks > 1"))
+    n = F.coalesce("_blocks", F.lit(1))
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    dealt = left.join(small(hot), on, "left").withColumn("_block", F.pmod(row, n).cast("int")).drop("_blocks")
+    spread = right.join(small(hot), on, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), n - 1))).drop("_blocks")
+    return dealt.join(spread, [on, "_block"]).drop("_block")
+
+
 def small(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if it is counted to have at most BROADCAST_ROWS rows."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

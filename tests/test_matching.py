@@ -205,3 +205,43 @@ def test_validate_clustered_by_hashed_draws(spark, trials, evidence, similarity)
         alone = M.annotate_evidence(M.drop_unmatchable(M.clean_trials(flags), similarity), M.supporting_pairs(two.filter(F.col("source") == source), similarity, 0.5))
         boot = B.bootstrap(alone, "gene", 200, hashed=True)
         assert sorted(map(repr, out.enrichment.filter(F.col("source") == source).select(names).collect())) == sorted(map(repr, boot.select(names).collect()))
+
+
+def test_stored_tables_are_joined_without_moving_rows(spark, trials, evidence, similarity):
+    """Only sums are exchanged: below each join stand scans of buckets."""
+    from corrobora.plans import analysis
+
+    flags = trials.withColumn("is_ongoing", F.col("max_phase") == 2).withColumn("trial_table", F.lit("all"))
+    two = evidence.withColumn("source", F.when(F.col("gene") < "GENE4", "a").otherwise("b"))
+    stored = analysis.store(flags, two, ["source"], similarity, buckets=4)
+    assert sorted(map(repr, analysis.grid_of(stored).collect())) == sorted(map(repr, analysis.arm_grid(flags, two, similarity).collect()))
+    assert sorted(map(repr, analysis.arms_of(stored).collect())) == sorted(map(repr, analysis.enrich_arms(flags, two, ["source"], similarity).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = stored.trials.join(stored.supported, M.PAIR).groupBy("source").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan and "SortMergeJoin" in plan and "Exchange" not in plan[plan.index("SortMergeJoin") :]
+
+
+def test_a_hot_disease_is_dealt_out(spark, monkeypatch):
+    """A disease on half of all evidence rows, a lookup that isn't broadcast: no task has three times the median's rows, and the pairs are those of a plain join."""
+    from corrobora import storage
+
+    n = 40_000
+    pairs = spark.range(n).select(F.concat(F.lit("G"), "id").alias("gene"), F.when(F.col("id") % 2 == 0, F.lit("EFO:0")).otherwise(F.concat(F.lit("EFO:"), F.col("id") % 500)).alias("efo_id"))
+    lookup = spark.range(500).select(F.concat(F.lit("EFO:"), "id").alias("efo_id"), F.concat(F.lit("EFO:"), (F.col("id") * 7) % 500).alias("efo_id_2")).unionByName(spark.createDataFrame([("EFO:0", "EFO:1")], "efo_id string, efo_id_2 string"))
+    plain = sorted(pairs.join(lookup, "efo_id").collect())
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        joined = storage.join_dealt(pairs, lookup, "efo_id", 200)
+        assert sorted(joined.collect()) == plain
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(sizes) == 8 and sizes[-1] < 3 * sizes[4]
