@@ -22,7 +22,7 @@ def named_union(tables: dict[str, DataFrame], key: str) -> DataFrame:
 
 def arm_grid(trials: DataFrame, evidence: DataFrame, similarity: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
     """Enrichment by trial table (column `trial_table`), evidence source and censoring."""
-    return grid_of(Stored(trials, M.supporting_pairs(evidence, similarity, threshold, ["source"]), evidence.select("source")))
+    return grid_of(Stored(materialise(trials), M.supporting_pairs(evidence, similarity, threshold, ["source"]), evidence.select("source")))
 
 
 @dataclass
@@ -139,6 +139,7 @@ def pooled_sweep(associations: DataFrame, thresholds=(0.0, 0.25, 0.5, 0.75)) ->
 
 def enrich_arms(trials: DataFrame, evidence: DataFrame, keys: list[str], similarity: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
     """Counts and ratios of each arm of the evidence (keys: scope, datasource and threshold, ...), in one pass over the trials; an arm that supports no trial has its row too."""
+    trials, evidence = materialise(trials), materialise(evidence.select(*keys, *M.PAIR).distinct())  # each is read more than once
     return E.with_ratios(E.counts_by_arm(trials, M.supporting_pairs(evidence, similarity, threshold, keys), keys, arms=evidence.select(*keys)))
 
 

@@ -62,7 +62,8 @@ def evaluate(
     if baseline is not None:
         own = M.supporting_pairs(baseline, similarity, threshold)
         flagged = M.membership_flags(flagged, {"_base": own}).filter(F.col("has_genetic_evidence") | ~F.col("_base")).drop("_base")
-    result = E.tested(E.counts_by_arm(base, supported, [key], transitions, evidence.select(key), without=own), [key])
+    counts = materialise(E.counts_by_arm(base, supported, [key], transitions, evidence.select(key), without=own))  # a few rows, which tests read twice
+    result = E.tested(counts, [key])
     if cluster:
         result = result.join(B.bootstrap(flagged, cluster, replicates, seed, transitions=transitions, keys=[key], hashed=hashed, warn=True), [key, "phase_from", "phase_to"])
     return Evaluation(result, flagged, audit(evidence, base, similarity, threshold, key), report)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Paths of the scopes that are open, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is materialised in it is deleted at its end, so results have to be written or collected before. Without a scope, tables stay until the shared folder is cleared."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def new_path(spark: SparkSession) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/corrobora/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corrobora/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -95,3 +95,16 @@ def test_prior_art_arms_and_published_counts(spark):
     cell = lambda r: (r["x_yes"], r["n_yes"], r["x_no"], r["n_no"])
     assert {n: cell(r) for n, r in rows.items()} == {"credible sets": (1, 1, 1, 2), "direct": (0, 0, 2, 3), "combined": (1, 2, 1, 1), "published": (242, 742, 4322, 36635)}
     assert rows["published"]["rr"] == pytest.approx(2.7645, abs=1e-4) and rows["published"]["or"] == pytest.approx(3.6186, abs=1e-4)
+
+
+def test_a_scope_clears_what_was_materialised_in_it(spark):
+    from corrobora import storage
+
+    fs = lambda path: scans.file_system(spark, path)
+    there = lambda path: fs(path)[0].exists(fs(path)[1])
+    outside = storage.materialise(spark.range(3))
+    with pytest.raises(KeyError), storage.scope(spark):
+        inside = storage.materialise(spark.range(5))
+        assert inside.count() == 5 and there(inside.inputFiles()[0])
+        raise KeyError("lost")
+    assert not there(inside.inputFiles()[0]) and outside.count() == 3 and not storage._SCOPES
