@@ -52,6 +52,17 @@ def test_large_counts(spark):
     assert row["rr"] == pytest.approx(1.0288, abs=1e-4) and 0 < row["p_value"] < 1
 
 
+@pytest.mark.parametrize("cells", [(5100, 10000, 4900, 10000), (300, 20000, 200, 20000), (9000, 10000, 100, 10000), (4000, 8000, 5, 9), (2500, 5000, 2500, 5000)])
+def test_exact_test_over_many_blocks(spark, monkeypatch, cells):
+    """The sum over all tables, of which most blocks are left out."""
+    monkeypatch.setattr(stats, "FISHER_BLOCK", 64)
+    a, m, c, n = cells
+    s = a + c
+    log_p = lambda k: sum(math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(x - y + 1) for x, y in ((m, k), (n, s - k))) - (math.lgamma(m + n + 1) - math.lgamma(s + 1) - math.lgamma(m + n - s + 1))
+    want = min(1.0, math.fsum(math.exp(log_p(k)) for k in range(max(0, s - n), min(m, s) + 1) if log_p(k) <= log_p(a) + 1e-7))
+    assert ratios(spark, *cells)["p_value"] == pytest.approx(want, rel=1e-6, abs=1e-300)
+
+
 def rows(spark, a, m, c, n, copies=1, unique=True):
     cells = [(1, i < a, True, i) for i in range(m)] + [(1, i < c, False, m + i) for i in range(n)]
     df = spark.createDataFrame(cells, "p int, s boolean, has_genetic_evidence boolean, k int")
