@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -142,6 +143,27 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert toxicity.score(empty(odd), toxicity.fit(empty(odd), some)).count() == 0
 
 
+def test_toxicity_counts_repeated_rows_once(spark):
+    rng = random.Random(13)
+    rows = [(i, words(rng, 30) + (" vile rotten" if i % 4 == 0 else ""), "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    once, often = toxicity.fit(docs_of(spark, rows), labels), toxicity.fit(docs_of(spark, rows + rows[:40] * 5), labels)
+    assert len(once.weights) > 2 and once.features.upto == often.features.upto and (once.weights == often.weights).all()
+
+
+def test_toxicity_settings_are_chosen_by_folds_of_learned_rows(spark):
+    rng = random.Random(14)
+    rows = [(i, words(rng, 30) + (f" vile{rng.randrange(10**6)}" if i % 4 == 0 else ""), "s") for i in range(800)]
+    truth = [(i, 1, int(i % 4 == 0)) for i in range(800)]
+    labels, held = (spark.createDataFrame(x, "doc_id long, quality int, toxic int") for x in (truth, [t for t in truth if zlib.crc32(str(t[0]).encode()) % 5]))
+    grid = (toxicity.Settings(prefixes=(9,)), toxicity.Settings(prefixes=(4,)))  # only the beginning of 4 characters tells
+    errors = toxicity.fold_errors(docs_of(spark, rows), labels, grid, folds=2)
+    assert errors == toxicity.fold_errors(docs_of(spark, rows), held, grid, folds=2)  # held-out labels have no part in it
+    n = sum(t[2] for t in truth if zlib.crc32(str(t[0]).encode()) % 5)
+    assert all(e[1] + e[3] == n for e in errors) and errors[1][1] > 0.9 * n and toxicity.best(errors) == grid[1]
+    assert toxicity.best([(grid[0], 3, 1, 1), (grid[1], 3, 1, 1)]) == grid[0]
+
+
 # Byte-level BPE
 
 
