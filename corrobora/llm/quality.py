@@ -5,8 +5,8 @@ first 1, 2, 4, ... words. The kept ranks give the longest common prefix of neigh
 power down. Neighbours that share m words make an LCP interval: a repeated substring with all its places. Intervals
 nest, and the innermost around a suffix is as deep as the larger of the common prefixes with its two neighbours: that
 is the longest repeated substring that starts there. The union of the spans of all maximal repeats is the union of
-these, so intervals aren't listed (a text of one repeated word has as many as words, nested): the share of words that
-repeats of at least REPEAT_WORDS words cover, and the longest, are limited. Both passes are sorts and comparisons of
+these, so intervals aren't listed (a text of one repeated word has as many as words, nested): the shares of words that
+repeats of certain lengths and more cover, and the longest, are limited. Both passes are sorts and comparisons of
 whole numpy arrays, and cover the whole text.
 
 Defined cases: null and empty texts have no words, no repeats, fail the base rule (fewer than 20 words) and aren't
@@ -32,8 +32,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: The base's limits: fewest words, most repeated words in a hundred.
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: The method's limits: words that make a repeat worth counting, share of words that such repeats cover, words of the longest.
-REPEAT_WORDS, MOST_COVERED, LONGEST_REPEAT = 12, 0.2, 50
+#: The method's limits: (words of a repeat worth counting, largest share of words that such repeats cover), the first of which gives n_covered; words of the longest.
+MOST_COVERED, LONGEST_REPEAT = ((5, 0.5), (12, 0.2)), 50
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered long, longest_repeat long, longest_at long"
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -89,8 +89,10 @@ def measure(text: str | None) -> tuple:
     longest = longest_from(*suffix_array(ids))
     windows = np.flatnonzero(longest >= WINDOW)
     n_repeat = covered(windows, WINDOW, n) if len(windows) else 0
-    spans = np.flatnonzero(longest >= REPEAT_WORDS)
-    n_covered = covered(spans, longest[spans], n) if len(spans) else 0
+    in_repeats = []
+    for least, _ in MOST_COVERED:
+        spans = np.flatnonzero(longest >= least)
+        in_repeats.append(covered(spans, longest[spans], n) if len(spans) else 0)
     top = int(longest.max()) if n else 0
     lines, dup = set(), 0
     for line in text.split("\n"):
@@ -99,9 +101,9 @@ def measure(text: str | None) -> tuple:
         elif line.strip(" \t\n\v\f\r"):
             lines.add(line)
     failed = n < LEAST_WORDS or 100 * n_repeat > MOST_REPEATED * n
-    kept = not failed and n_covered <= MOST_COVERED * n and top <= LONGEST_REPEAT
+    kept = not failed and all(c <= share * n for c, (_, share) in zip(in_repeats, MOST_COVERED)) and top <= LONGEST_REPEAT
     chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
-    return n, chars, sum(map(text.count, SYMBOLS)), dup, n_repeat, failed, kept, n_covered, top, int(longest.argmax()) if top else -1
+    return n, chars, sum(map(text.count, SYMBOLS)), dup, n_repeat, failed, kept, in_repeats[0], top, int(longest.argmax()) if top else -1
 
 
 def rate(docs: DataFrame) -> DataFrame:

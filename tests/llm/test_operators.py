@@ -715,6 +715,20 @@ def test_quality_base_and_verdicts(spark):
     assert got[4]["base_failed"] and got[4]["n_covered"] == 500 and got[4]["longest_repeat"] == 499 and got[5]["base_failed"]
 
 
+def test_repeats_too_short_for_the_base_are_rejected():
+    """Runs of a word, which no window of eight words holds twice; half of the words in such runs are still kept, more aren't."""
+    rng = random.Random(6)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered"]
+    for runs, singles, kept in ((10, 0, False), (10, 71, True), (10, 69, False), (0, 70, True)):
+        words_ = [f"r{k}" for k in range(runs) for _ in range(7)] + rng.sample([f"w{k}" for k in range(1000)], singles)
+        got = dict(zip(names, quality.measure(" ".join(words_))))
+        assert got["n_repeat_words"] == 0 and not got["base_failed"] and got["n_covered"] == 7 * runs and got["kept"] is kept
+    line = rng.sample([f"v{k}" for k in range(1000)], 12)
+    for least, kept in ((90, False), (110, True)):  # a line of 12 words, twice, in more than a fifth of the words or less
+        got = dict(zip(names, quality.measure(" ".join(line + [f"w{k}" for k in range(least - 12)] + line))))
+        assert not got["base_failed"] and got["kept"] is kept
+
+
 def test_quality_of_odd_rows(spark, odd):
     got = quality.rate(clashing(odd)).collect()
     assert len(got) == odd.count() and not any(r["kept"] for r in got if not r["n_words"])
