@@ -74,15 +74,16 @@ _WORD = re.compile(r"\w+")
 class Settings:
     """prefixes: lengths of the beginnings of longer words; batch, positive_batch: unlabelled texts and positives in a step; decay: of weights."""
 
-    prefixes: tuple[int, ...] = (5,)
+    prefixes: tuple[int, ...] = (6,)
     batch: int = 1024
     positive_batch: int = 384
     decay: float = 1e-3
 
 
 DEFAULT = Settings()
-#: What `best` chooses from.
-GRID = (DEFAULT, replace(DEFAULT, decay=3e-4), replace(DEFAULT, decay=3e-3), replace(DEFAULT, prefixes=(4,)), replace(DEFAULT, prefixes=(6,)), replace(DEFAULT, batch=512, positive_batch=192))
+#: What `best` chose the default from.
+_FIVE = replace(DEFAULT, prefixes=(5,))
+GRID = (_FIVE, replace(_FIVE, decay=3e-4), replace(_FIVE, decay=3e-3), replace(_FIVE, prefixes=(4,)), replace(_FIVE, prefixes=(6,)), replace(_FIVE, batch=512, positive_batch=192))
 
 
 def keys_of(word: str, prefixes: tuple[int, ...] = DEFAULT.prefixes) -> list[str]:
