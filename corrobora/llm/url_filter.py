@@ -29,7 +29,7 @@ SOFT = ("ads", "bet", "bets", "betting", "bonus", "cheap", "click", "deal", "dea
 #: Distinct soft terms that reject a URL; a strict term weighs as much.
 SOFT_LIMIT = 2
 #: The rules of the query: (verdict, rule's host and path).
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
 def automaton(strict=STRICT, soft=SOFT, limit: int = SOFT_LIMIT):
