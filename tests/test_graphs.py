@@ -37,6 +37,30 @@ def test_labels_count_what_is_below(spark, seed):
     assert [r["id"] for r in intervals.descendants(labels, "none").collect()] == ["none"]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ancestors_by_number(spark, seed):
+    edges = random_edges(seed)
+    names, above = graph.ancestors(spark.createDataFrame([*edges, *edges[:3], (None, "t01"), ("t01", None), ("t05", "t05")], "child string, parent string"))
+    of = {r["number"]: r["id"] for r in names.collect()}
+    found = {of[r["number"]]: [of[x] for x in r["above"]] for r in above.collect()}
+    assert {x: sorted(up) for x, up in found.items()} == {x: sorted(up) for x, up in ancestors(edges).items()}
+
+
+def test_ancestors_of_a_chain_and_a_cycle(spark):
+    edges = [*((f"c{i}", f"c{i - 1}") for i in range(1, 70)), ("c5", "c1"), ("k1", "k2"), ("k2", "k3"), ("k3", "k1")]
+    names, above = graph.ancestors(spark.createDataFrame(edges, "child string, parent string"))
+    sizes = {r["id"]: r["n"] for r in above.join(names, "number").select("id", F.size("above").alias("n")).collect()}
+    assert sizes == {f"c{i}": i + 1 for i in range(70)} | {"k1": 3, "k2": 3, "k3": 3}
+
+
+def test_ancestors_ask_only_nodes_at_the_last_distance(spark, monkeypatch):
+    """In a ladder all nodes below are ancestors over many ways; a doubled closure meets each pair once for each node between."""
+    asked, write = [], graph.materialise_with
+    monkeypatch.setattr(graph, "materialise_with", lambda df, **m: (lambda out: (asked.append(out[0].agg(F.sum(F.size("far"))).first()[0]), out)[1])(write(df, **m)))
+    graph.ancestors(spark.createDataFrame([(f"c{i:02}", f"c{i - k:02}") for i in range(3, 64) for k in (1, 2, 3)], "child string, parent string"))
+    assert max(asked) <= 3 * 64
+
+
 def test_a_chain_takes_a_row_a_node(spark):
     n = 20_000
     chain = spark.range(1, n).select(F.concat(F.lit("c"), "id").alias("child"), F.concat(F.lit("c"), F.col("id") - 1).alias("parent"))
