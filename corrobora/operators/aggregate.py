@@ -113,19 +113,37 @@ def drug_records(gene_drug: dict[str, DataFrame], drug_indication: dict[str, Dat
     return out.withColumn("record_id", F.xxhash64(*out.columns))
 
 
-def aggregate_trials(gene_drug: dict[str, DataFrame], drug_indication: dict[str, DataFrame], synonyms: DataFrame | None = None, unknown_ongoing: bool = False) -> dict[str, DataFrame]:
-    """The six tables. A source whose indications are excluded still takes part in clustering. An unknown source is an error."""
+#: The tables of aggregate_trials.
+TABLES = ("drug_id_mapping", "gene_drug_mapping", "gene_drug_mapping_by_source", "drug_indication_mapping", "drug_indication_mapping_by_source", "gene_indication_max_phase")
+
+
+def aggregate_trials(gene_drug: dict[str, DataFrame], drug_indication: dict[str, DataFrame], synonyms: DataFrame | None = None, unknown_ongoing: bool = False, wanted=TABLES) -> dict[str, DataFrame]:
+    """The wanted ones of the six tables. What none of them needs isn't computed, and only what several need is written first. A source whose indications are excluded still takes part in clustering. An unknown source is an error."""
     if unknown := (gene_drug.keys() | drug_indication.keys()) - JOIN_KEYS.keys():
         raise ValueError(f"unknown sources: {sorted(unknown)}")
-    clustered = materialise(entities.connected_entities(drug_records(gene_drug, drug_indication), synonyms=synonyms))
-    members = materialise(entities.membership(clustered))
-    edges = materialise(gene_drug_records(gene_drug, members))
-    records = materialise(drug_indication_records({s: d for s, d in drug_indication.items() if s not in EXCLUDED_INDICATIONS}, members, unknown_ongoing))
-    mapped, indicated = materialise(gene_drug_mapping(edges)), materialise(drug_indication_mapping(records))
-    return {
-        "drug_id_mapping": entities.representatives(clustered), "gene_drug_mapping": mapped, "gene_drug_mapping_by_source": gene_drug_by_source(edges),
-        "drug_indication_mapping": indicated, "drug_indication_mapping_by_source": drug_indication_by_source(records), "gene_indication_max_phase": gene_indication_max_phase(mapped, indicated),
-    }
+    if unknown := set(wanted) - set(TABLES):
+        raise ValueError(f"unknown tables: {sorted(unknown)}")
+
+    def shared(df: DataFrame, *users: bool) -> DataFrame:
+        return materialise(df) if sum(users) > 1 else df
+
+    ids, mapped, edged, indicated, recorded, paired = (name in wanted for name in TABLES)
+    edges_needed, records_needed = mapped or edged or paired, indicated or recorded or paired
+    clustered = shared(entities.connected_entities(drug_records(gene_drug, drug_indication), synonyms=synonyms), ids, edges_needed or records_needed)
+    out = {"drug_id_mapping": entities.representatives(clustered)} if ids else {}
+    if edges_needed or records_needed:
+        members = materialise(entities.membership(clustered))
+    if edges_needed:
+        edges = shared(gene_drug_records(gene_drug, members), mapped or paired, edged)
+        gene_drugs = shared(gene_drug_mapping(edges), mapped, paired)
+        out |= {"gene_drug_mapping": gene_drugs, "gene_drug_mapping_by_source": gene_drug_by_source(edges)}
+    if records_needed:
+        records = shared(drug_indication_records({s: d for s, d in drug_indication.items() if s not in EXCLUDED_INDICATIONS}, members, unknown_ongoing), indicated or paired, recorded)
+        indications = shared(drug_indication_mapping(records), indicated, paired)
+        out |= {"drug_indication_mapping": indications, "drug_indication_mapping_by_source": drug_indication_by_source(records)}
+    if paired:
+        out["gene_indication_max_phase"] = gene_indication_max_phase(gene_drugs, indications)
+    return {name: out[name] for name in TABLES if name in wanted}
 
 
 def aggregate_folder(spark: SparkSession, source_dir: str, output_dir: str, synonyms: DataFrame | None = None, unknown_ongoing: bool = False) -> str:

@@ -72,12 +72,12 @@ def evidence_scope(associations: DataFrame) -> DataFrame:
     return associations.withColumn("source", F.explode(scope)).select("source", "gene", "efo_id").distinct()
 
 
-def rebuild(gene_drug: dict[str, DataFrame], drug_indication: dict[str, DataFrame], names: list[str], synonyms: DataFrame | None = None) -> dict[str, DataFrame]:
+def rebuild(gene_drug: dict[str, DataFrame], drug_indication: dict[str, DataFrame], names: list[str], synonyms: DataFrame | None = None, wanted=A.TABLES) -> dict[str, DataFrame]:
     """The aggregate of some sources alone: filtering a combined table would keep the others' phases. Synonyms count only with their own source."""
     if missing := [n for n in names if n not in gene_drug and n not in drug_indication]:
         raise ValueError(f"no leg of {missing}")
     pick = lambda legs: {n: df for n, df in legs.items() if n in names}
-    return A.aggregate_trials(pick(gene_drug), pick(drug_indication), synonyms if "dgidb" in names and "dgidb" in gene_drug else None)
+    return A.aggregate_trials(pick(gene_drug), pick(drug_indication), synonyms if "dgidb" in names and "dgidb" in gene_drug else None, wanted=wanted)
 
 
 def coverage(pairs: DataFrame, genes: DataFrame, key: str = "source") -> DataFrame:

@@ -106,3 +106,25 @@ def test_strata_with_a_branch_hold_all_rows(spark):
     df = spark.createDataFrame([("G1", "D1", 2, False, True), ("G2", "D1", 1, False, False), ("G3", "D2", 2, False, True), ("G4", "D3", 1, False, False)], "gene string, efo_id string, max_phase int, is_ongoing boolean, has_genetic_evidence boolean")
     got = {r["stratum"]: (r["n_yes"], r["n_no"]) for r in analysis.overlapping_strata(df, spark.createDataFrame([("D1",)], "id string")).filter("phase_from = 1 AND phase_to = 2").collect()}
     assert got == {"with": (2, 2), "without": (1, 1)}
+
+
+def test_only_wanted_tables_are_computed(spark, monkeypatch):
+    edges = {"chembl": spark.createDataFrame([("G", "C1", "a", "X")], "gene string, chembl_id string, drug_name string, action_type string")}
+    records = {"opentargets": spark.createDataFrame([("C1", "a", "E", 2, True)], "chembl_id string, drug_name string, efo_id string, phase int, is_concluded boolean")}
+    whole = A.aggregate_trials(edges, records)
+    assert tuple(whole) == A.TABLES
+    for name in A.TABLES:
+        alone = A.aggregate_trials(edges, records, wanted=(name,))
+        assert list(alone) == [name] and alone[name].collect() == whole[name].collect() and alone[name].count() == 1
+    monkeypatch.setattr(A, "drug_indication_records", None)
+    assert A.aggregate_trials(edges, records, wanted=("gene_drug_mapping",))["gene_drug_mapping"].count() == 1
+    with pytest.raises(ValueError, match="unknown tables"):
+        A.aggregate_trials(edges, records, wanted=("x",))
+
+
+def test_records_are_joined_once_for_all_legs(spark):
+    from corrobora.plans import feeds
+    from corrobora.plans.inputs import frame
+
+    _, records = feeds.legs(lambda n: frame(spark, "/root/testdata/sf0.001", n))
+    assert not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in records.values())
