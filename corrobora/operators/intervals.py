@@ -11,6 +11,7 @@ into blocks of aligned powers of two, at most two of each size, and a point lies
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,13 +25,18 @@ DEALT, ROOT = 64, "\x00"
 
 @dataclass
 class Labels:
-    """nodes: (id, low, high), low being the node's own number. extra: (id, low, high), further intervals of a node. n: the number of nodes. levels: sizes of blocks."""
+    """nodes: (id, low, high), low being the node's own number. left: (child, point, child_low, child_high), the edges that the forest left out; point is the parent's number. n: the number of nodes. levels: sizes of blocks."""
 
     nodes: DataFrame
-    extra: DataFrame
+    left: DataFrame
     n: int
     levels: int
 
+    @cached_property
+    def extra(self) -> DataFrame:
+        """(id, low, high): further intervals of a node. Those of all nodes are many more than the edges, so they are computed where they are asked for."""
+        return further(self.nodes, self.left, self.levels)
+
 
 def siblings(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, parent, sibling), (id, child)): of each child the next one of its parent, of each parent the first. Children are dealt to DEALT parts that are chained, so one parent of many isn't one task's."""
@@ -86,7 +92,7 @@ def label(edges: DataFrame) -> Labels:
     left = left.join(at("child"), "child").join(at("parent"), "parent")
     outside = (F.col("child_low") < F.col("parent_low")) | (F.col("child_low") >= F.col("parent_high"))
     left = materialise(left.filter(outside).select("child", F.col("parent_low").alias("point"), "child_low", "child_high"))
-    return Labels(nodes, further(nodes, left, levels), n, levels)
+    return Labels(nodes, left, n, levels)
 
 
 def blocks(intervals: DataFrame, levels: int) -> DataFrame:
@@ -133,11 +139,16 @@ def further(nodes: DataFrame, left: DataFrame, levels: int) -> DataFrame:
 
 
 def descendants(labels: Labels, root: str) -> DataFrame:
-    """(id) at or below a root; the root alone where it has no edge."""
+    """(id) at or below a root; the root alone where it has no edge. Only the root's intervals are followed: an edge that the forest left out adds its child's interval once, when its parent is reached."""
     spark = labels.nodes.sparkSession
-    intervals = labels.nodes.unionByName(labels.extra).filter(F.col("id") == root).select("low", "high")
+    new = materialise(labels.nodes.filter(F.col("id") == root).select("low", "high"))
+    seen, jumps = new, labels.left.select("point", "child_low", "child_high").distinct()
+    while new.limit(1).count():
+        met = points_within(jumps, new, labels.levels).filter("child_low < low OR child_low >= high")
+        new = materialise(met.select(F.col("child_low").alias("low"), F.col("child_high").alias("high")).distinct().join(seen, "low", "left_anti"))
+        seen = seen.unionByName(new)
     points = labels.nodes.select("id", F.col("low").alias("point"))
-    return points_within(points, intervals, labels.levels).select("id").union(spark.createDataFrame([(root,)], "id string")).distinct()
+    return points_within(points, seen, labels.levels).select("id").union(spark.createDataFrame([(root,)], "id string")).distinct()
 
 
 def counts_below(labels: Labels) -> DataFrame:

@@ -71,6 +71,14 @@ def test_a_chain_takes_a_row_a_node(spark):
     assert intervals.information_content(labels).filter("id = 'c10000'").first()["ic"] == pytest.approx(math.log(2))
 
 
+def test_descendants_follow_one_roots_intervals(spark, monkeypatch):
+    edges = random_edges(7)
+    labels = intervals.label(spark.createDataFrame(edges, "child string, parent string"))
+    monkeypatch.setattr(intervals, "further", None)
+    above = ancestors(edges)
+    assert {r["id"] for r in intervals.descendants(labels, "t02").collect()} == {x for x in above if "t02" in above[x]}
+
+
 def test_a_cycle_is_an_error(spark):
     with pytest.raises(ValueError, match="cycle"):
         intervals.label(spark.createDataFrame([("b", "c"), ("c", "b"), ("a", "r")], "child string, parent string"))
