@@ -113,6 +113,37 @@ def test_pairs_meet_at_the_most_informative_ancestor(spark, monkeypatch, seed, b
     assert found == {(a, b): pytest.approx(1 if a == b else near(a, b)) for a in above for b in above if a == b or (near(a, b) or 0) >= 0.4}
 
 
+def test_ancestors_that_cannot_reach_the_threshold_are_not_listed(spark, monkeypatch):
+    """Lists of earlier ancestors are written for rows that can reach the threshold alone; rows of the whole matrix need none."""
+    listed, write = [], O.materialise
+
+    def counted(df):
+        out = write(df)
+        listed.extend([out.agg(F.sum(F.size("before"))).first()[0] or 0] if "before" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(O, "materialise", counted)
+    chain = spark.createDataFrame([(f"c{i:03}", f"c{i - 1:03}") for i in range(1, 100)], "child string, parent string")
+    assert O.semantic_similarity(chain, 0.85).count() > 100
+    assert sum(listed) < 100 * 100 / 2
+    listed.clear()
+    assert O.similarity_rows(chain, chain.select(F.col("child").alias("id")).limit(7)).count() == 7 * 100
+    assert not listed
+
+
+def test_blocks_of_separate_trees_and_shared_descendants(spark, monkeypatch):
+    monkeypatch.setattr(O, "BLOCK_TERMS", 4)
+    monkeypatch.setattr(O, "BATCH_PAIRS", 5)
+    edges = [(f"{t}{i}", f"{t}{(i - 1) // 2}") for t in "abcdef" for i in range(1, 9)] + [("a7", "b2"), ("c8", "b1"), ("k1", "k2"), ("k2", "k1"), ("k3", "k1"), ("s", "s")]
+    above = ancestors(edges)
+    df = spark.createDataFrame(edges, "child string, parent string")
+    rows = O.similarity_rows(df, df.select(F.col("child").alias("id"))).collect()
+    asked = {c for c, _ in edges}
+    assert sorted((r[0], r[1]) for r in rows) == sorted((a, b) for a in asked for b in above if above[a] & above[b])
+    found = O.semantic_similarity(df, 0.0).collect()
+    assert sorted((r[0], r[1]) for r in found) == sorted((a, b) for a in above for b in above if above[a] & above[b])
+
+
 def test_components_shrink(spark, monkeypatch):
     sizes = []
     write = graph.materialise_with
