@@ -129,10 +129,10 @@ def aggregate_trials(gene_drug: dict[str, DataFrame], drug_indication: dict[str,
 
     ids, mapped, edged, indicated, recorded, paired = (name in wanted for name in TABLES)
     edges_needed, records_needed = mapped or edged or paired, indicated or recorded or paired
-    clustered = shared(entities.connected_entities(drug_records(gene_drug, drug_indication), synonyms=synonyms), ids, edges_needed or records_needed)
-    out = {"drug_id_mapping": entities.representatives(clustered)} if ids else {}
+    drugs = shared(drug_records(gene_drug, drug_indication), ids, edges_needed or records_needed)
+    out = {"drug_id_mapping": entities.representatives(entities.connected_entities(drugs, synonyms=synonyms))} if ids else {}
     if edges_needed or records_needed:
-        members = materialise(entities.membership(clustered))
+        members = materialise(entities.membership(drugs, synonyms=synonyms))
     if edges_needed:
         edges = shared(gene_drug_records(gene_drug, members), mapped or paired, edged)
         gene_drugs = shared(gene_drug_mapping(edges), mapped, paired)

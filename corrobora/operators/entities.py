@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name, string_set
-from .graph import components
+from .graph import smaller
 
 #: Identifier columns in order of preference, and descriptive ones.
 ID_COLUMNS = ("chembl_id", "drugbank_id", "drug_name_normalized", "stitch_id")
@@ -15,9 +15,9 @@ METADATA_COLUMNS = ("molecule_type", "target_class", "trade_names", "synonyms")
 NAME_PRIORITY = ("ChEMBL", "OpenTargets", "DrugBank", "DGIdb", "TrialPanorama", "STITCH")
 
 
-def identifiers(record: str = "record_id", columns=ID_COLUMNS):
-    """Array of the non-blank identifiers of a row as (id_type, id_value)."""
-    return F.filter(F.array(*[F.struct(F.lit(c).alias("id_type"), F.col(c).alias("id_value")) for c in columns]), lambda x: F.trim(x["id_value"]) != "")
+def identifiers(columns=ID_COLUMNS) -> list[Column]:
+    """Of each identifier column "type:value", null where it is blank."""
+    return [F.when(F.trim(c) != "", F.concat(F.lit(f"{c}:"), F.col(c))) for c in columns]
 
 
 def synonym_edges(drugs: DataFrame) -> DataFrame:
@@ -27,25 +27,32 @@ def synonym_edges(drugs: DataFrame) -> DataFrame:
     return rows.groupBy("a").agg(F.max("b").alias("b"))
 
 
+def identifier_labels(records: DataFrame, columns=ID_COLUMNS, synonyms: DataFrame | None = None) -> DataFrame:
+    """(node, label) of the identifiers "type:value" that hang together with a smaller one; label: the smallest. synonyms: (a, b) of normalised names."""
+    first, *others = identifiers(columns)
+    star = records.select(F.coalesce(first, *others).alias("a"), F.explode(F.array(*others)).alias("b")).filter("a <> b")
+    if synonyms is not None:
+        name = lambda c: F.concat(F.lit("drug_name_normalized:"), F.col(c))
+        star = star.union(synonyms.select(name("a"), name("b")))
+    return smaller(star)
+
+
 def connected_entities(records: DataFrame, record: str = "record_id", columns=ID_COLUMNS, synonyms: DataFrame | None = None) -> DataFrame:
     """Adds drug_cluster: the smallest "type:value" among all identifiers that hang together, or "record:<id>" for a record without any.
 
     Blank identifiers are no identifiers. synonyms: (a, b) of normalised names.
     """
-    key = F.transform(identifiers(record, columns), lambda x: F.concat(x["id_type"], F.lit(":"), x["id_value"]))
-    keyed = records.withColumn("_keys", key)
-    star = keyed.filter(F.size("_keys") > 0).select(F.get("_keys", 0).alias("a"), F.explode("_keys").alias("b")).distinct()
-    if synonyms is not None:
-        name = lambda c: F.concat(F.lit("drug_name_normalized:"), F.col(c))
-        star = star.union(synonyms.select(name("a"), name("b")))
-    labels = components(star)
-    out = keyed.withColumn("_key", F.get("_keys", 0)).join(labels, F.col("_key") == F.col("node"), "left")
-    return out.withColumn("drug_cluster", F.coalesce("label", F.concat(F.lit("record:"), F.col(record).cast("string")))).drop("_keys", "_key", "node", "label")
+    labels = identifier_labels(records, columns, synonyms).select(F.col("node").alias("_key"), F.col("label").alias("_label"))
+    out = records.withColumn("_key", F.coalesce(*identifiers(columns))).join(labels, "_key", "left")
+    return out.withColumn("drug_cluster", F.coalesce("_label", "_key", F.concat(F.lit("record:"), F.col(record).cast("string")))).drop("_key", "_label")
 
 
-def membership(clustered: DataFrame, columns=ID_COLUMNS) -> DataFrame:
-    """(id_type, id_value, our_drug_id), distinct."""
-    return clustered.select(F.explode(identifiers(columns=columns)).alias("x"), F.col("drug_cluster").alias("our_drug_id")).select("x.*", "our_drug_id").distinct()
+def membership(records: DataFrame, columns=ID_COLUMNS, synonyms: DataFrame | None = None) -> DataFrame:
+    """(id_type, id_value, our_drug_id), distinct, of the identifiers of records; our_drug_id is the drug_cluster of connected_entities. The records themselves aren't joined, only their distinct identifiers."""
+    labels = identifier_labels(records, columns, synonyms).select("node", F.col("label").alias("our_drug_id"))
+    each = records.select(F.explode(F.array(*[F.struct(F.lit(c).alias("id_type"), F.col(c).alias("id_value")) for c in columns])).alias("x")).select("x.*").filter("trim(id_value) <> ''").distinct()
+    named = each.withColumn("node", F.concat("id_type", F.lit(":"), "id_value")).join(labels, "node", "left")
+    return named.select("id_type", "id_value", F.coalesce("our_drug_id", "node").alias("our_drug_id"))
 
 
 def ambiguous_identifiers(members: DataFrame) -> DataFrame:

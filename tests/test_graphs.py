@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corrobora.operators import graph, intervals
+from corrobora.operators import entities, graph, intervals
 from corrobora.operators import ontology as O
 
 
@@ -172,3 +172,18 @@ def test_a_hub_is_one_component(spark):
     edges = spark.range(200_000).select(F.lit(10**6).alias("a"), F.col("id").alias("b"))
     out = graph.components(edges)
     assert out.count() == 200_001 and out.filter("label <> 0").count() == 0
+
+
+def test_identities_write_only_what_hangs_together(spark, monkeypatch):
+    """Records with one identifier make no edge, so none of them is written, grouped or followed; membership has the clusters of the records."""
+    written, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df: (lambda out: (written.append(out.count()), out)[1])(write(df)))
+    monkeypatch.setattr(graph, "materialise_with", lambda df, **m: (lambda out: (out, out.agg(*[c.alias(n) for n, c in m.items()]).first().asDict()))(graph.materialise(df)))
+    rows = [(k, f"C{k}", None, " ", None) for k in range(100)] + [(100, "C3", "D1", None, None), (101, None, "D1", "n", None), (102, None, None, "n", "S"), (103, None, "D2", None, "S2"), (104, "", None, None, None)]
+    df = spark.createDataFrame(rows, "record_id int, chembl_id string, drugbank_id string, drug_name_normalized string, stitch_id string")
+    found = {r["record_id"]: r["drug_cluster"] for r in entities.connected_entities(df).collect()}
+    assert max(written) <= 4
+    assert found == {k: f"chembl_id:C{k}" for k in range(100)} | dict.fromkeys((100, 101, 102), "chembl_id:C3") | {103: "drugbank_id:D2", 104: "record:104"}
+    members = sorted(tuple(r) for r in entities.membership(df).collect())
+    kinds = ("chembl_id", "drugbank_id", "drug_name_normalized", "stitch_id")
+    assert members == sorted({(c, x, found[r[0]]) for r in rows for c, x in zip(kinds, r[1:]) if x and x.strip()})
