@@ -129,7 +129,8 @@ def aggregate_trials(gene_drug: dict[str, DataFrame], drug_indication: dict[str,
 
     ids, mapped, edged, indicated, recorded, paired = (name in wanted for name in TABLES)
     edges_needed, records_needed = mapped or edged or paired, indicated or recorded or paired
-    drugs = shared(drug_records(gene_drug, drug_indication), ids, edges_needed or records_needed)
+    # Read for the identifiers' edges, for the identifiers, and for the records: distinct once.
+    drugs = materialise(drug_records(gene_drug, drug_indication))
     out = {"drug_id_mapping": entities.representatives(entities.connected_entities(drugs, synonyms=synonyms))} if ids else {}
     if edges_needed or records_needed:
         members = materialise(entities.membership(drugs, synonyms=synonyms))

@@ -176,3 +176,13 @@ def test_pairs_of_the_newer_layout(spark):
     assert sorted(map(tuple, few.collect())) == [("C1", "E:1"), ("C1", "E:2"), ("C3", "E:1")] and sorted(map(tuple, few_genes.collect())) == [("G1", "C1"), ("G1", "C2")]
     with pytest.raises(Exception, match="unknown status: odd"):
         give([*rows, ("r", "PHASE_1", None, "odd", None, None, [("C1",)], [("E_1",)])], pairs=True)[1].collect()
+
+
+def test_drugs_are_made_distinct_once(spark, monkeypatch):
+    """The records of all legs are read once for drug identity, and what is written of them are the distinct names, not the clustered records."""
+    written, write = [], A.materialise
+    monkeypatch.setattr(A, "materialise", lambda df: (lambda out: (written.append(out.columns), out)[1])(write(df)))
+    edges = {"chembl": spark.createDataFrame([("G1", "C1", "one"), ("G1", "C1", "one")], "gene string, chembl_id string, drug_name string"), "dgidb": spark.createDataFrame([("G2", " One ")], "gene string, drug_name string")}
+    out = A.aggregate_trials(edges, {}, wanted=("gene_drug_mapping",))["gene_drug_mapping"]
+    assert sorted((r["gene"], r["our_drug_id"]) for r in out.collect()) == [("G1", "chembl_id:C1"), ("G2", "chembl_id:C1")]
+    assert ["record_id" in c for c in written] == [True, False] and not any("drug_cluster" in c for c in written)
