@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import matching as M
 from ..operators import ontology as O
 from ..sources import evidence, scans, status
-from ..storage import shared_dir
+from ..storage import fan_out, shared_dir
 from .inputs import ctes, frame
 
 QUERIES, SQL = {}, {}
@@ -374,7 +374,8 @@ def _(t, spark):
 
 @query("j13_crosswalk_join_fanout", "SELECT c_custkey, s_suppkey FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey")
 def _(t, spark):
-    return t("customer").join(t("supplier"), F.col("c_nationkey") == F.col("s_nationkey"), "left").select("c_custkey", "s_suppkey")
+    suppliers = t("supplier").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey")
+    return fan_out(t("customer").select("c_custkey", "c_nationkey"), suppliers, "c_nationkey", "s_suppkey").select("c_custkey", "s_suppkey")
 
 
 @query("j14_null_as_value_join", f"WITH a AS ({NULLED}), b AS (SELECT k, count(*) AS n FROM a GROUP BY k) SELECT a.o_orderkey, b.n FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k")

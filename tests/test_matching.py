@@ -245,3 +245,22 @@ def test_a_hot_disease_is_dealt_out(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(sizes) == 8 and sizes[-1] < 3 * sizes[4]
+
+
+@pytest.mark.parametrize("list_rows, listed_rows", [(10_000, 1_000_000), (7, 1_000_000), (7, 0)])
+def test_a_join_that_fans_out_is_dealt_to_tasks(spark, monkeypatch, tmp_path, list_rows, listed_rows):
+    """One key has most rows of both sides, in one file; null keys, null values, repeated rows and rows without a match stay."""
+    from corrobora import storage
+    from corrobora.plans.relational import QUERIES
+
+    for name, n in (("LIST_ROWS", list_rows), ("LISTED_ROWS", listed_rows), ("FAN_ROWS", 10), ("HOT_ROWS", 10)):
+        monkeypatch.setattr(storage, name, n, raising=False)
+    customers = [*((i, 1) for i in range(50)), (50, 2), (50, 2), (51, None), (52, 3), (None, 1)]
+    suppliers = [*((i, 1) for i in range(40)), (40, 2), (40, 2), (None, 2), (41, None), (42, 4)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = QUERIES["j13_crosswalk_join_fanout"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    wanted = [(c, s) for c, k in customers for s in ([s for s, n in suppliers if n == k and k is not None] or [None])]
+    order = lambda r: [(x is None, x or 0) for x in r]
+    assert sorted(((r[0], r[1]) for r in rows), key=order) == sorted(wanted, key=order)
+    assert len({r["task"] for r in rows if r[0] is not None and r[0] < 50}) > 1
