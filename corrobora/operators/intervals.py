@@ -4,7 +4,8 @@ Every node keeps one of its parents; that makes a forest, whose nodes are number
 nodes below one have the numbers of an interval. The walk is a linked list of steps down and up, and pointers are
 doubled along it: a chain of n nodes takes 2 n rows in each of log n rounds, never the n^2 / 2 pairs of a closure. The
 edges that the forest leaves out add intervals: what is below their child counts for all nodes above their parent,
-unless it is in their interval anyway. Points are found in intervals by equality of dyadic blocks: an interval is cut
+unless it is in their interval anyway. For the counts below all nodes, the other way round, a node keeps the lowest
+points whose paths to the root hold its ancestors: few where it has many ancestors. Points are found in intervals by equality of dyadic blocks: an interval is cut
 into blocks of aligned powers of two, at most two of each size, and a point lies in one block of each size.
 """
 
@@ -16,18 +17,22 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, materialise_with, small
+from .graph import ancestors, roots
 
 
 #: Parts of the children of one parent. The root above all roots.
 DEALT, ROOT = 64, "\x00"
+#: Edges left for a closure when the layers below are taken off. Numbers of one block of a running sum: 2 to this power.
+TOP_EDGES, SUM_BITS = 5_000, 16
 
 
 @dataclass
 class Labels:
-    """nodes: (id, low, high), low being the node's own number. left: (child, point, child_low, child_high), the edges that the forest left out; point is the parent's number. n: the number of nodes. levels: sizes of blocks."""
+    """nodes: (id, low, high), low being the node's own number. tree: (child, parent), the forest under ROOT. left: (child, point, point_high, child_low, child_high), the edges that the forest left out; point is the parent's number. n: the number of nodes. levels: sizes of blocks."""
 
     nodes: DataFrame
+    tree: DataFrame
     left: DataFrame
     n: int
     levels: int
@@ -91,8 +96,8 @@ def label(edges: DataFrame) -> Labels:
     at = lambda s: nodes.select(F.col("id").alias(s), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high"))
     left = left.join(at("child"), "child").join(at("parent"), "parent")
     outside = (F.col("child_low") < F.col("parent_low")) | (F.col("child_low") >= F.col("parent_high"))
-    left = materialise(left.filter(outside).select("child", F.col("parent_low").alias("point"), "child_low", "child_high"))
-    return Labels(nodes, left, n, levels)
+    left = materialise(left.filter(outside).select("child", F.col("parent_low").alias("point"), F.col("parent_high").alias("point_high"), "child_low", "child_high"))
+    return Labels(nodes, whole, left, n, levels)
 
 
 def blocks(intervals: DataFrame, levels: int) -> DataFrame:
@@ -151,15 +156,100 @@ def descendants(labels: Labels, root: str) -> DataFrame:
     return points_within(points, seen, labels.levels).select("id").union(spark.createDataFrame([(root,)], "id string")).distinct()
 
 
+def lowest(df: DataFrame) -> DataFrame:
+    """df (..., points), an array of (low, high), sorted and without points above another one."""
+    rows = df.withColumn("points", F.sort_array(F.array_distinct("points")))
+    return rows.withColumn("points", F.filter("points", lambda x, i: F.coalesce(F.get("points", i + 1)["low"] >= x["high"], F.lit(True))))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """(point, points) of each point: the lowest of all its rows' points."""
+    return lowest(rows.groupBy("point").agg(F.flatten(F.collect_list("points")).alias("points")))
+
+
+def layers(edges: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
+    """Edges (child, parent, ...) by child: layer by layer those of nodes that are no parents any more, and what is left: at most TOP_EDGES, what hangs above a cycle, or what is above so many layers. A null parent is none."""
+    out: list[DataFrame] = []
+    rest, seen = materialise_with(edges, n=F.count("*"))
+    while seen["n"] > TOP_EDGES and len(out) < most:
+        parents = rest.select(F.col("parent").alias("child")).dropna().distinct().withColumn("inner", F.lit(True))
+        flagged, now = materialise_with(rest.select(*edges.columns).join(parents, "child", "left").withColumn("inner", F.col("inner").isNotNull()), n=F.count_if("inner"))
+        if now["n"] == seen["n"]:
+            break
+        out.append(flagged.filter("NOT inner"))
+        rest, seen = flagged.filter("inner"), now
+    return out, rest
+
+
+def covers(labels: Labels, ups: DataFrame) -> DataFrame:
+    """(point, points) of each node of ups (id, point, high, up): the lowest points (low, high) whose paths to the root in the forest hold all its ancestors, and no more.
+
+    Only nodes that have edges which the forest left out get more than their own point, and what is below them. These
+    nodes' points are handed down layer by layer, so each is sent along an edge once; the few nodes at the top, and
+    cycles, are met by their closure.
+    """
+    span = lambda low, high: F.struct(F.col(low).alias("low"), F.col(high).alias("high"))
+    keys = materialise(labels.left.select(F.col("child_low").alias("point")).distinct())
+    # Of the other nodes, the nearest such node above, or 0.
+    held = roots(ups.join(keys, "point", "left_anti").select(F.col("point").alias("node"), "up"))
+    steps = ups.join(keys, "point", "left_semi").select(F.col("point").alias("child"), F.col("up").alias("parent"), span("point", "high").alias("span"))
+    steps = steps.unionByName(labels.left.select(F.col("child_low").alias("child"), F.col("point").alias("parent"), span("point", "point_high").alias("span")))
+    steps = steps.join(small(held.select(F.col("node").alias("parent"), F.col("up").alias("key"))), "parent", "left").withColumn("parent", F.coalesce("key", "parent"))
+    edges = steps.select("child", F.when((F.col("parent") > 0) & (F.col("parent") != F.col("child")), F.col("parent")).alias("parent"), "span")
+    below, top = layers(edges, 4 * labels.n.bit_length())
+    names, above = ancestors(top.select("child", "parent"))
+    at = lambda c, n: names.select(F.col("number").alias(n), F.col("id").alias(c))
+    reach = above.select("number", F.explode("above").alias("up")).join(at("point", "number"), "number").join(at("child", "up"), "up").select("point", "child")
+    reach = reach.unionByName(top.select(F.col("child").alias("point"), "child")).distinct()
+    done = materialise(merged(reach.join(top, "child").select("point", F.array("span").alias("points"))))
+    for layer in reversed(below):
+        told = layer.join(done.select(F.col("point").alias("parent"), "points"), "parent", "left")
+        told = told.select(F.col("child").alias("point"), F.when(F.col("points").isNull(), F.array("span")).otherwise(F.array_append("points", F.col("span"))).alias("points"))
+        done = done.unionByName(materialise(merged(told)))
+    plain = ups.join(held.select(F.col("node").alias("point"), F.col("up").alias("key")), "point").join(done.select(F.col("point").alias("key"), "points"), "key", "left")
+    own = span("point", "high")
+    plain = plain.select("point", F.when(F.col("points").isNull(), F.array(own)).otherwise(F.array_append("points", own)).alias("points"))
+    return done.unionByName(lowest(plain))
+
+
+def meeting(pairs: DataFrame, ups: DataFrame) -> DataFrame:
+    """pairs (a, b, ...), a before b and not above it, with `up`, the number of the lowest node of the forest above both; 0 for none. b climbs by powers of two as long as it stays behind a."""
+    jumps = [ups.filter("up > 0").select("point", "up")]
+    while True:
+        last = jumps[-1]
+        twice, seen = materialise_with(last.join(last.select(F.col("point").alias("up"), F.col("up").alias("top")), "up").select("point", F.col("top").alias("up")), n=F.count("*"))
+        if not seen["n"]:
+            break
+        jumps.append(twice)
+    at = pairs.withColumn("point", F.col("b"))
+    for jump in reversed(jumps):
+        at = at.join(small(jump), "point", "left").withColumn("point", F.when(F.col("up") > F.col("a"), F.col("up")).otherwise(F.col("point"))).drop("up")
+    return at.join(ups.select("point", "up"), "point").drop("point")
+
+
 def counts_below(labels: Labels) -> DataFrame:
-    """(id, n) of each node: the nodes at or below it, as the length of the union of its intervals."""
-    some = labels.extra.select("id").distinct()
-    order = Window.partitionBy("id").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
-    rows = labels.nodes.join(some, "id", "left_semi").unionByName(labels.extra)
-    rows = rows.withColumn("upto", F.coalesce(F.max("high").over(order), F.lit(0)))
-    counted = rows.groupBy("id").agg(F.sum(F.greatest(F.lit(0), F.col("high") - F.greatest("low", "upto"))).cast("long").alias("n"))
-    plain = labels.nodes.join(some, "id", "left_anti").select("id", (F.col("high") - F.col("low")).cast("long").alias("n"))
-    return counted.unionByName(plain)
+    """(id, n) of each node: the nodes at or below it.
+
+    A node's ancestors are the paths to the root from its points: 1 at each point and -1 where neighbouring ones meet,
+    summed over an interval, is 1 for each node above one of them, and 0 for others. So a count is a sum over the node's
+    interval, the difference of two running sums. Neighbours that many nodes share are counted first.
+    """
+    if labels.left.isEmpty():
+        return labels.nodes.select("id", (F.col("high") - F.col("low")).cast("long").alias("n"))
+    at = lambda c, n: labels.nodes.select(F.col("id").alias(c), F.col("low").alias(n))
+    ups = labels.nodes.join(labels.tree, F.col("id") == F.col("child")).join(at("parent", "up"), "parent", "left")
+    ups = materialise(ups.select("id", F.col("low").alias("point"), "high", F.coalesce("up", F.lit(0)).cast("long").alias("up")))
+    neighbours = F.transform("points", lambda x, i: F.struct(F.get("points", i - 1)["low"].alias("a"), x["low"].alias("b")))
+    pairs = materialise(covers(labels, ups).select(F.explode(neighbours).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")))
+    met = meeting(pairs.filter("a IS NOT NULL"), ups).select(F.col("up").alias("point"), (-F.col("n")).alias("n"))
+    weights = pairs.select(F.col("b").alias("point"), "n").unionByName(met).groupBy("point").agg(F.sum("n").alias("n"))
+    rows = ups.select("id", "point", "high").join(weights, "point", "left").select("id", "point", "high", F.coalesce("n", F.lit(0)).alias("n"), F.shiftright("point", SUM_BITS).alias("block"))
+    rows = materialise(rows)
+    before = rows.groupBy("block").agg(F.sum("n").alias("all")).select("block", (F.sum("all").over(Window.orderBy("block")) - F.col("all")).alias("before"))
+    upto = (F.col("before") + F.sum("n").over(Window.partitionBy("block").orderBy("point"))).alias("upto")
+    sums = materialise(rows.join(F.broadcast(before), "block").select("id", "point", "high", "n", upto))
+    ends = sums.select((F.col("point") + 1).alias("high"), F.col("upto").alias("end"))
+    return sums.join(ends, "high").select("id", (F.col("end") - F.col("upto") + F.col("n")).alias("n"))
 
 
 def information_content(labels: Labels) -> DataFrame:

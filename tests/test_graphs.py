@@ -79,6 +79,19 @@ def test_descendants_follow_one_roots_intervals(spark, monkeypatch):
     assert {r["id"] for r in intervals.descendants(labels, "t02").collect()} == {x for x in above if "t02" in above[x]}
 
 
+@pytest.mark.parametrize("top_edges", [10, 5_000])
+def test_counts_below_hand_points_down(spark, monkeypatch, top_edges):
+    """Halves and thirds, nodes without such edges below them, a cycle over an edge that the forest leaves out and nodes on both sides of it; no node's further intervals are made."""
+    for name, value in (("TOP_EDGES", top_edges), ("SUM_BITS", 3), ("further", None)):
+        monkeypatch.setattr(intervals, name, value, raising=False)
+    edges = [(f"X:{p}", f"X:{p // k}") for p in range(2, 120) for k in (2, 3) if p >= k]
+    edges += [(f"c{i}", f"c{i - 1}") for i in range(1, 9)] + [("c0", "X:77"), ("c5", "X:64")]
+    edges += [("a", "a0"), ("a", "b"), ("b", "a"), ("a0", "X:5"), ("a0", "X:7"), ("d", "b"), ("d", "X:9"), ("e", "d")]
+    above = ancestors(sorted(set(edges)))
+    labels = intervals.label(spark.createDataFrame(edges, "child string, parent string"))
+    assert {r["id"]: r["n"] for r in intervals.counts_below(labels).collect()} == {x: sum(x in y for y in above.values()) for x in above}
+
+
 def test_a_cycle_is_an_error(spark):
     with pytest.raises(ValueError, match="cycle"):
         intervals.label(spark.createDataFrame([("b", "c"), ("c", "b"), ("a", "r")], "child string, parent string"))
