@@ -45,6 +45,11 @@ def lookup(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame
     return df.join(small, on, how)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, as a side of a join that Spark is not to broadcast: it sizes a table by its compressed files and an explode by the rows that go in."""
+    return df.hint("merge")
+
+
 def slot_of(bits: int):
     return F.pmod(F.xxhash64("id", "sha"), F.lit(bits))
 

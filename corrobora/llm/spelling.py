@@ -8,6 +8,8 @@ vectors at distance two or less agree outside some two parts, so each vector giv
 parts to leave out, the projection on the rest. Vectors, not words, are joined on equal signatures. A pair that meets
 under several signatures is taken under one of them, which the parts in which it differs fix, so nothing needs to be
 made distinct. Pairs whose vectors are within two are joined with their words, and words verified by edit distance.
+Every join is shuffled: from the files' sizes Spark would take tables of millions of rows, and an exploded one as if it
+had the rows before, to be small enough to broadcast.
 
 A word's form is its near word with the largest count, if that is at least TIMES its own; forms lead to larger counts,
 so following them ends at a root. Pointers are doubled: a chain of n forms takes log n rounds.
@@ -80,7 +82,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     two = one.toDF(*[f"{c}_" for c in one.columns])
     mask = reduce(lambda x, y: x + y, [F.when(F.col(f"p{k}") != F.col(f"p{k}_"), 1 << k).otherwise(0) for k in range(PARTS)])
     own = F.get(F.array(*[F.lit(out) for out in taken_under()]), mask)
-    met = one.join(two, (F.col("sig") == F.col("sig_")) & (F.col("out") == F.col("out_")) & (F.col("v") < F.col("v_")) & (F.col("out") == own))
+    met = one.join(common.shuffled(two), (F.col("sig") == F.col("sig_")) & (F.col("out") == F.col("out_")) & (F.col("v") < F.col("v_")) & (F.col("out") == own))
     return met.filter(F.levenshtein("v", "v_", DISTANCE) >= 0).select("v", "v_").toDF("va", "vb")
 
 
@@ -90,7 +92,7 @@ def near_words(words: DataFrame) -> DataFrame:
     vectors = common.materialise(keyed.select("v").distinct().select("v", vector(F.col("v")).alias("bits")))
     pairs = near_vectors(vectors)
     left, right = (keyed.select(F.col("word").alias(f"word_{s}"), F.col("n").alias(f"n_{s}"), F.col("v").alias(f"v{s}")) for s in "ab")
-    met = pairs.join(left, "va").join(right, "vb").filter(F.levenshtein("word_a", "word_b", 1) == 1)
+    met = pairs.join(common.shuffled(left), "va").join(common.shuffled(right), "vb").filter(F.levenshtein("word_a", "word_b", 1) == 1)
     ways = F.explode(F.array(F.struct(F.col("word_a").alias("word"), F.col("word_b").alias("other"), F.col("n_b").alias("n")), F.struct(F.col("word_b").alias("word"), F.col("word_a").alias("other"), F.col("n_a").alias("n"))))
     return met.select(ways.alias("x")).select("x.*")
 
@@ -100,7 +102,7 @@ def roots(forms: DataFrame) -> DataFrame:
     state = common.materialise(forms.select("word", F.col("form").alias("at")).filter("at IS NOT NULL"))
     while True:
         further = state.select(F.col("word").alias("of"), F.col("at").alias("on"))
-        moved = common.materialise(state.join(further, F.col("at") == F.col("of"), "left").select("word", F.coalesce("on", "at").alias("at"), F.col("on").isNotNull().alias("moved")))
+        moved = common.materialise(state.join(common.shuffled(further), F.col("at") == F.col("of"), "left").select("word", F.coalesce("on", "at").alias("at"), F.col("on").isNotNull().alias("moved")))
         state = moved.select("word", "at")
         if moved.filter("moved").isEmpty():
             return state.withColumnRenamed("at", "root")
@@ -110,10 +112,10 @@ def group_variants(docs: DataFrame) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of each word."""
     words = common.materialise(count_words(docs))
     best = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), F.max("n").alias("most"), F.min_by("other", F.struct(-F.col("n"), F.col("other"))).alias("best"))
-    joined = words.join(best, "word", "left")
+    joined = words.join(common.shuffled(best), "word", "left")
     has = F.col("most") >= TIMES * F.col("n")
     rows = common.materialise(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, F.col("best")).alias("form"), F.when(has, F.col("most")).alias("form_n")))
-    return rows.join(roots(rows), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(common.shuffled(roots(rows)), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling(spark, sf_dir) -> DataFrame:

@@ -81,3 +81,16 @@ def test_chains_of_forms_and_ties(spark):
 
 def test_empty_table(spark):
     assert spelling.group_variants(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Spark takes any table to be small enough: no join is one by broadcast, neither of written tables nor of the result."""
+    seen, write = [], spelling.common.materialise
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spelling.common, "materialise", lambda df: (seen.append(plan(df)), write(df))[1])
+    docs = random_docs(3)
+    found = spelling.group_variants(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = rows_of(found)
+    seen.append(plan(found))
+    assert rows == brute(docs)
+    assert sum(x.count("SortMergeJoin") for x in seen) >= 6 and not any("Broadcast" in x for x in seen)
