@@ -126,6 +126,17 @@ def test_pairs_meet_at_the_most_informative_ancestor(spark, monkeypatch, seed, b
     assert found == {(a, b): pytest.approx(1 if a == b else near(a, b)) for a in above for b in above if a == b or (near(a, b) or 0) >= 0.4}
 
 
+def test_rows_of_the_matrix_are_small_and_no_block_is_repeated(spark, tmp_path):
+    """Rows take under six bits each in a file, and blocks meet where they are read: what is shuffled doesn't grow with the pairs of blocks."""
+    n = 4000
+    edges = spark.range(2, n).selectExpr("'X:' || id AS child", "'X:' || CAST(floor(id / 2) AS BIGINT) AS parent").union(spark.range(3, n).selectExpr("'X:' || id", "'X:' || CAST(floor(id / 3) AS BIGINT)"))
+    found = O.similarity_rows(edges, spark.range(0, n, 20).selectExpr("'X:' || id AS id"))
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    found.write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == (n - 1) * (n // 20 - 1)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < n * n / 20 * 6 / 8
+
+
 def test_ancestors_that_cannot_reach_the_threshold_are_not_listed(spark, monkeypatch):
     """Lists of earlier ancestors are written for rows that can reach the threshold alone; rows of the whole matrix need none."""
     listed, write = [], O.materialise
